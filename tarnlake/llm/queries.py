@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
+from tarnlake.llm.mixing import op4_mixing
 from tarnlake.llm.packing import op10_packing
 
-QUERIES = {"op10_packing": op10_packing}
+QUERIES = {"op4_mixing": op4_mixing, "op10_packing": op10_packing}
 ORACLES: dict[str, str] = {}
