@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from tarnlake.core.session import table
 from tarnlake.core.shared import materialize
+from tarnlake.llm.words import groups
 
 CAPACITY = 2048
 END_ID = 0
@@ -109,6 +110,16 @@ class WordEncoder:
         return out
 
 
+_coders: dict[str, WordEncoder] = {}
+
+
+def _coder(path: str) -> WordEncoder:
+    """The worker's encoder; workers outlive tasks, and with them the table of words."""
+    if path not in _coders:
+        _coders[path] = WordEncoder(path)
+    return _coders[path]
+
+
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -116,12 +127,12 @@ def _cut(path: str, capacity: int, end_id: int, with_ids: bool):
     """Arrow batches of (doc_id, text as UTF-8 bytes) to pieces."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = WordEncoder(path)
+        coder = _coder(path)
         end = np.asarray([end_id], "<u4").tobytes()
         width = 4 * capacity
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for lo, hi in _groups(texts, 4_000_000):
+            for lo, hi in groups(texts):
                 cols: list[list] = [[], [], [], [], []]
                 raw = []
                 for doc, body in zip(ids[lo:hi], coder.batch([t or b"" for t in texts[lo:hi]]), strict=True):
@@ -142,18 +153,6 @@ def _cut(path: str, capacity: int, end_id: int, with_ids: bool):
     return run
 
 
-def _groups(texts: list[bytes | None], most: int) -> Iterator[tuple[int, int]]:
-    """Ranges of texts with about `most` bytes each."""
-    lo = size = 0
-    for i, t in enumerate(texts):
-        size += len(t or b"") + 50
-        if size >= most:
-            yield lo, i + 1
-            lo, size = i + 1, 0
-    if lo < len(texts):
-        yield lo, len(texts)
-
-
 def fill_bins(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[dict[int, int], int]]:
     """Minimum bin slack over a histogram: [({length: times in a sequence}, sequences), ...].
 
