@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from tarnlake.llm.mixing import op4_mixing
 from tarnlake.llm.packing import op10_packing
+from tarnlake.llm.toxicity import op7_toxicity
 
-QUERIES = {"op4_mixing": op4_mixing, "op10_packing": op10_packing}
+QUERIES = {"op4_mixing": op4_mixing, "op7_toxicity": op7_toxicity, "op10_packing": op10_packing}
 ORACLES: dict[str, str] = {}
