@@ -57,3 +57,8 @@ class WordTable:
             at.update(zip(new, range(self.used, need), strict=True))
             self.used = need
         return np.fromiter(map(at.__getitem__, words), np.int64, len(words))
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        """The rows themselves."""
+        at = self.rows(words)
+        return self.values[at]
