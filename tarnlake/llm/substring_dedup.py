@@ -23,9 +23,9 @@ from tarnlake.llm.words import WordTable, words_of
 
 PUNCT = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Units of fewer words are never removed: short lines repeat by chance.
-MIN_WORDS = 5
+MIN_WORDS = 7
 #: A phrase ends at one of so many word pairs, once it has MIN_WORDS words.
-ENDS = 3
+ENDS = 2
 SPACE = np.zeros(33, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 
