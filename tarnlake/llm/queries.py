@@ -6,8 +6,9 @@ from tarnlake.llm.fingerprints import op8_fingerprints
 from tarnlake.llm.mixing import op4_mixing
 from tarnlake.llm.near_dup import op5_near_dup
 from tarnlake.llm.packing import op10_packing
+from tarnlake.llm.quality import op6_quality
 from tarnlake.llm.substring_dedup import op9_substring_dedup
 from tarnlake.llm.toxicity import op7_toxicity
 
-QUERIES = {"op4_mixing": op4_mixing, "op5_near_dup": op5_near_dup, "op7_toxicity": op7_toxicity, "op8_fingerprints": op8_fingerprints, "op9_substring_dedup": op9_substring_dedup, "op10_packing": op10_packing}
+QUERIES = {"op4_mixing": op4_mixing, "op5_near_dup": op5_near_dup, "op6_quality": op6_quality, "op7_toxicity": op7_toxicity, "op8_fingerprints": op8_fingerprints, "op9_substring_dedup": op9_substring_dedup, "op10_packing": op10_packing}
 ORACLES: dict[str, str] = {}
