@@ -7,9 +7,10 @@ from tarnlake.llm.licenses import op3_licenses
 from tarnlake.llm.mixing import op4_mixing
 from tarnlake.llm.near_dup import op5_near_dup
 from tarnlake.llm.packing import op10_packing
+from tarnlake.llm.pii import op2_pii
 from tarnlake.llm.quality import op6_quality
 from tarnlake.llm.substring_dedup import op9_substring_dedup
 from tarnlake.llm.toxicity import op7_toxicity
 
-QUERIES = {"op3_licenses": op3_licenses, "op4_mixing": op4_mixing, "op5_near_dup": op5_near_dup, "op6_quality": op6_quality, "op7_toxicity": op7_toxicity, "op8_fingerprints": op8_fingerprints, "op9_substring_dedup": op9_substring_dedup, "op10_packing": op10_packing}
+QUERIES = {"op2_pii": op2_pii, "op3_licenses": op3_licenses, "op4_mixing": op4_mixing, "op5_near_dup": op5_near_dup, "op6_quality": op6_quality, "op7_toxicity": op7_toxicity, "op8_fingerprints": op8_fingerprints, "op9_substring_dedup": op9_substring_dedup, "op10_packing": op10_packing}
 ORACLES: dict[str, str] = {}
