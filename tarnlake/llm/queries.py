@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tarnlake.llm.fingerprints import op8_fingerprints
+from tarnlake.llm.lattice import op1_lm_score
 from tarnlake.llm.licenses import op3_licenses
 from tarnlake.llm.mixing import op4_mixing
 from tarnlake.llm.near_dup import op5_near_dup
@@ -12,5 +13,5 @@ from tarnlake.llm.quality import op6_quality
 from tarnlake.llm.substring_dedup import op9_substring_dedup
 from tarnlake.llm.toxicity import op7_toxicity
 
-QUERIES = {"op2_pii": op2_pii, "op3_licenses": op3_licenses, "op4_mixing": op4_mixing, "op5_near_dup": op5_near_dup, "op6_quality": op6_quality, "op7_toxicity": op7_toxicity, "op8_fingerprints": op8_fingerprints, "op9_substring_dedup": op9_substring_dedup, "op10_packing": op10_packing}
+QUERIES = {"op1_lm_score": op1_lm_score, "op2_pii": op2_pii, "op3_licenses": op3_licenses, "op4_mixing": op4_mixing, "op5_near_dup": op5_near_dup, "op6_quality": op6_quality, "op7_toxicity": op7_toxicity, "op8_fingerprints": op8_fingerprints, "op9_substring_dedup": op9_substring_dedup, "op10_packing": op10_packing}
 ORACLES: dict[str, str] = {}
