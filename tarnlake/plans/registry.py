@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from tarnlake.plans import analysis, behaviour
+
+QUERIES: dict = {**behaviour.QUERIES, **analysis.QUERIES}
+ORACLES: dict[str, str] = {**behaviour.ORACLES, **analysis.ORACLES}
