@@ -150,17 +150,17 @@ def first_words(text: pd.Series, n: pd.Series) -> pd.Series:
 def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     """The mix itself with the columns of documents: a row for each whole pass over a document and
     one with its first words for what remains; n_chars is that of the text in the row."""
-    keep = tuple(c for c in docs.columns if c not in ("doc_id", "source"))
-    rows = mix(docs, carry=keep, **how).filter("taken > 0")
+    names = {f"_d{i}": c for i, c in enumerate(docs.columns) if c not in ("doc_id", "source", "text")}
+    own = docs.select("doc_id", "source", "text", *[F.col(c).alias(n) for n, c in names.items()])
+    rows = mix(own, carry=("text", *names), **how).where("taken > 0")
     passes = F.expr("taken div size").cast("int")
     rows = rows.withColumn("take", F.explode(F.concat(F.array_repeat("size", passes), F.expr("filter(array(taken % size), x -> x > 0)"))))
-    cut = F.when(F.col("take") < F.col("size"), F.col("text"))
-    head = first_words(cut, F.col("take"))
-    text = F.when(F.col("take") == F.col("size"), F.col("text")).otherwise(head)
-    rows = rows.withColumn("text", text)
+    cut = first_words(F.when(F.col("take") < F.col("size"), F.col("text")), F.col("take"))
+    rows = rows.withColumn("text", F.when(F.col("take") == F.col("size"), F.col("text")).otherwise(cut))
+    back = {c: F.col(n) for n, c in names.items()}
     if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.length("text").cast("long"))
-    return rows.select(*docs.columns)
+        back["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType)
+    return rows.select(*[back.get(c, F.col(c)).alias(c) for c in docs.columns])
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

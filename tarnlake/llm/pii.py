@@ -236,10 +236,10 @@ def sanitised(text: pd.Series, terms: pd.Series) -> pd.Series:
 def sanitise(docs: DataFrame) -> DataFrame:
     """docs with the text sanitised, and n_chars that of the new text where docs has it."""
     _, terms = detect(docs)
-    t = terms.select(F.col("doc_id").alias("_d"), F.col("row").alias("_r"), "terms")
-    both = docs.withColumn("_k", F.xxhash64(F.col("doc_id").cast("long"), "text"))
-    both = both.join(t, (F.col("_k") == F.col("_r")) & F.col("doc_id").eqNullSafe(F.col("_d")), "left")
-    both = both.withColumn("text", sanitised("text", "terms"))
+    t = terms.select(F.col("doc_id").alias("_tl_id"), F.col("row").alias("_tl_row"), F.col("terms").alias("_tl_terms"))
+    both = docs.withColumn("_tl_key", F.xxhash64(F.col("doc_id").cast("long"), "text"))
+    both = both.join(t, (F.col("_tl_key") == F.col("_tl_row")) & F.col("doc_id").eqNullSafe(F.col("_tl_id")), "left")
+    both = both.withColumn("text", sanitised("text", "_tl_terms"))
     if "n_chars" in docs.columns:
         both = both.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return both.select(*docs.columns)
