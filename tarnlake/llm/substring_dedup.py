@@ -1,8 +1,8 @@
 """Substring dedup by hashes of lines and of phrases in lines.
 
 A unit is a line, or in a longer line a phrase that ends where the hash of two neighbouring words
-says so. Such ends depend on the words alone, so a passage has the same units wherever it stands
-in a line. Units are normalised (a-z, no ASCII punctuation at a word's ends, no white space) and
+is the least around. Such ends depend on the words nearby alone, so a passage has the same units
+wherever it stands in a line, but for its ends. Units are normalised (a-z, no ASCII punctuation at a word's ends, no white space) and
 hashed to 128 bits; the digests are grouped over all documents, the earliest ranked occurrence
 stays and the others go. Offsets are those of the original text, in code points.
 """
@@ -23,9 +23,9 @@ from tarnlake.llm.words import WordTable, words_of
 
 PUNCT = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Units of fewer words are never removed: short lines repeat by chance.
-MIN_WORDS = 7
-#: A phrase ends at one of so many word pairs, once it has MIN_WORDS words.
-ENDS = 2
+MIN_WORDS = 6
+#: A phrase ends at a word pair whose hash is the least of all within so many words of its line.
+REACH = 5
 SPACE = np.zeros(33, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 
@@ -47,15 +47,19 @@ def units(text: str, hashes: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
     lines = np.flatnonzero(code == 10)
     last_of_line = np.searchsorted(starts, lines) - 1  # the word before each line end
     pair = mixed(np.concatenate([hashes[:1], hashes[:-1]]) * np.uint64(3) + hashes)
-    stop = pair % np.uint64(ENDS) == 0
     hard = np.zeros(len(hashes), bool)
     hard[last_of_line[last_of_line >= 0]] = True
     hard[-1] = True
+    line = np.cumsum(np.concatenate([[0], hard[:-1]]))
+    least = np.ones(len(hashes), bool)
+    for k in range(1, min(REACH, len(hashes) - 1) + 1):
+        other = line[k:] != line[:-k]
+        least[k:] &= (pair[k:] < pair[:-k]) | other
+        least[:-k] &= (pair[:-k] <= pair[k:]) | other
     begin = 0
-    for i in np.flatnonzero(stop | hard).tolist():
-        if hard[i] or i + 1 - begin >= MIN_WORDS:
-            yield begin, i + 1, int(starts[begin]), int(ends[i])
-            begin = i + 1
+    for i in np.flatnonzero(least | hard).tolist():
+        yield begin, i + 1, int(starts[begin]), int(ends[i])
+        begin = i + 1
 
 
 def _list(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -101,20 +105,20 @@ def removals(docs: DataFrame) -> DataFrame:
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """docs with clean_text (without repeated units) and removed (their spans in the original text,
+    """docs with clean_text (the text without repeated units; columns of these two names are replaced) and removed (their spans in the original text,
     empty if none). A null or empty text has no units. Rows that share a doc_id share their spans
     only if their texts are equal; an empty table gives an empty result; columns of docs stay."""
-    gone = removals(docs).select(F.col("doc_id").alias("_id"), F.col("spans").alias("removed"))
-    keep = docs.columns
-    both = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")), "left").drop("_id")
-    both = both.withColumn("removed", F.coalesce("removed", F.expr("cast(array() as array<struct<start:int,end:int>>)")))
-
-    pieces = F.expr(
-        "aggregate(removed, struct(cast('' as string) as s, 0 as at),"
-        " (a, r) -> struct(concat(a.s, substring(text, a.at + 1, greatest(r.start - a.at, 0))) as s, greatest(a.at, r.end) as at))"
-    )
-    text = F.when(F.size("removed") == 0, F.col("text")).otherwise(F.expr("concat(_p.s, substring(text, _p.at + 1))"))
-    return both.withColumn("_p", pieces).withColumn("clean_text", text).select(*keep, "removed", "clean_text")
+    gone = removals(docs).select(F.col("doc_id").alias("_tl_id"), F.col("spans").alias("_tl_spans"))
+    both = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_tl_id")), "left")
+    spans = F.coalesce("_tl_spans", F.expr("cast(array() as array<struct<start:int,end:int>>)"))
+    kept = F.aggregate(
+        spans,
+        F.struct(F.lit("").alias("s"), F.lit(0).alias("at")),
+        lambda a, r: F.struct(F.concat(a["s"], F.substring(F.col("text"), a["at"] + 1, F.greatest(r["start"] - a["at"], F.lit(0)))).alias("s"), F.greatest(a["at"], r["end"]).alias("at")),
+        lambda a: F.concat(a["s"], F.substring(F.col("text"), a["at"] + 1, F.lit(2147483647))),
+    )
+    text = F.when(F.size(spans) == 0, F.col("text")).otherwise(kept)
+    return both.select(*[c for c in docs.columns if c not in ("removed", "clean_text")], spans.alias("removed"), text.alias("clean_text"))
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
