@@ -237,12 +237,12 @@ def common_parts(spark, d):
 
 
 @query("missing_cells", """WITH e AS (SELECT n_nationkey AS nation, p.pr AS priority FROM nation, (SELECT DISTINCT o_orderpriority AS pr FROM orders) p),
-h AS (SELECT DISTINCT c_nationkey AS nation, o_orderpriority AS priority FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_totalprice > 290000)
+h AS (SELECT DISTINCT c_nationkey AS nation, o_orderpriority AS priority FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_totalprice > 495000)
 SELECT nation, priority FROM e WHERE (nation, priority) NOT IN (SELECT nation, priority FROM h) AND nation % 5 <> 0""")
 def missing_cells(spark, d):
     o, n = table(spark, d, "orders"), table(spark, d, "nation").select(F.col("n_nationkey").alias("nation"))
     pr = o.select(F.col("o_orderpriority").alias("priority")).distinct()
-    have = o.where("o_totalprice > 290000").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).select(F.col("c_nationkey").alias("nation"), F.col("o_orderpriority").alias("priority"))
+    have = o.where("o_totalprice > 495000").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).select(F.col("c_nationkey").alias("nation"), F.col("o_orderpriority").alias("priority"))
     expected = n.join(F.broadcast(pr))  # the two lists of a declared grid
     return R.missing_cells(expected, have, expected.where("nation % 5 = 0"), ["nation", "priority"])
 
