@@ -71,10 +71,10 @@ def gram_sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"i": np.arange(len(total)), "n": n, "total": total, "cross": list(cross)})
 
 
-def moments(rows: DataFrame, vector: str, target: str) -> tuple[int, np.ndarray, np.ndarray]:
+def moments(rows: DataFrame, vector: str, target: str | Column) -> tuple[int, np.ndarray, np.ndarray]:
     """Count, means and centred cross products of [vector, target]: one row per element and task is
     shuffled, whatever the number of rows; width squared numbers reach the driver."""
-    part = rows.select(F.col(vector).alias("v"), F.col(target).cast("double").alias("y")).mapInPandas(gram_sums, "i long, n long, total double, cross array<double>")
+    part = rows.select(F.col(vector).alias("v"), (F.col(target) if isinstance(target, str) else target).cast("double").alias("y")).mapInPandas(gram_sums, "i long, n long, total double, cross array<double>")
     each = part.select("i", "n", "total", F.posexplode("cross").alias("j", "c")).groupBy("i", "j").agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.sum("c").alias("c"))
     got = each.toPandas()
     if not len(got):
@@ -89,7 +89,7 @@ def moments(rows: DataFrame, vector: str, target: str) -> tuple[int, np.ndarray,
 
 def principal_components(rows: DataFrame, vector: str, n_components: int) -> tuple[np.ndarray, np.ndarray]:
     """Mean and the leading components (rows) of the vectors; signs: largest entry positive."""
-    _, mean, cross = moments(rows, vector, "0")
+    _, mean, cross = moments(rows, vector, F.lit(0.0))
     k = len(mean) - 1
     values, vectors = np.linalg.eigh(cross[:k, :k])
     top = vectors[:, np.argsort(-values)[:n_components]].T

@@ -25,7 +25,7 @@ def survival_table(episodes: DataFrame, agent: list[str], levels: int = 9, strea
     blocked = F.coalesce(F.max((~F.coalesce("mastered", F.lit(False))).cast("int")).over(before), F.lit(0)) == 1
     seen = F.coalesce("mastered", F.lit(False)) & (~blocked if censor_after_failure else F.lit(True))
     full = full.withColumn("observed", seen)
-    otherwise = F.col("limit") if censor_after_failure else F.coalesce(F.greatest("realised", F.lit(1)), "limit")
+    otherwise = F.col("limit") if censor_after_failure else F.when(F.col("realised").isNotNull(), F.greatest("realised", F.lit(1))).otherwise(F.col("limit"))
     return full.select(*agent, "level", F.when(F.col("observed"), F.col("own")).otherwise(otherwise).alias("time"), "observed")
 
 

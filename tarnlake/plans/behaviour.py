@@ -77,7 +77,7 @@ def sessions(spark, d):
 
 def surv_sql(streak: int, after: bool = True) -> str:
     seen = "m AND NOT blocked" if after else "m"
-    other = "lim" if after else "coalesce(greatest(realised, 1), lim)"
+    other = "lim" if after else "CASE WHEN realised IS NOT NULL THEN greatest(realised, 1) ELSE lim END"
     return f"""{STREAK}, d AS (SELECT user_id, level, sum(steps) FILTER (fw IS NULL OR fw = 0 OR i <= fw) AS own, sum(steps) AS realised FROM epx GROUP BY ALL),
 lim AS (SELECT user_id, greatest(sum(realised), 1) AS lim FROM d GROUP BY 1),
 grid AS (SELECT user_id, lim, CAST(l AS INTEGER) AS level FROM lim, (SELECT unnest(range(0, 9)) AS l)),
