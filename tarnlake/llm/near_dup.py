@@ -6,10 +6,10 @@ batch by batch, and a pair is dropped as soon as the posterior probability that
 reaches the threshold falls below the chosen miss probability; what survives is decided exactly on
 the full sets.
 
-Candidates of a bucket are not all its pairs. In the first two rounds each member meets the
-bucket's centre, and buckets whose members then are in one component need no more. In the rest,
-members of different components that also share a second band meet each other. So a large group
-of near copies costs a few comparisons a member, and no link between components is given up.
+Candidates of a bucket are not all its pairs: first each member meets the bucket's centre, and
+buckets whose members then are in one component need no more. What is still apart within a bucket
+is compared in blocks of bounded size, exactly. So a large group of near copies costs a few
+comparisons a member, no pairs are written, and no link between components is given up.
 """
 
 from __future__ import annotations
@@ -45,6 +45,10 @@ class Settings:
     seed: int = 11
 
 
+#: Bounds of a block in the last comparison: documents, and bytes of their sets (one document may have more).
+BLOCK_DOCS, BLOCK_BYTES = 256, 2_000_000
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """splitmix64's finaliser."""
     x = x.astype(np.uint64, copy=True)
@@ -193,6 +197,93 @@ def _confirm(s: Settings):
     return run
 
 
+def _sets(s: Settings):
+    """Arrow batches of (doc_id, text) to doc_id and the shingle set as bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = WordTable(word_hashes)
+        for b in batches:
+            got = [shingles(words.of(words_of(t)), s.width).tobytes() for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got, pa.binary())], ["doc_id", "shingles"])
+
+    return run
+
+
+def shared_counts(left: list[np.ndarray], right: list[np.ndarray], step: int = 4096) -> np.ndarray:
+    """Sizes of the intersections of all sets of left with all of right."""
+    out = np.zeros((len(left), len(right)), np.float64)
+    l, r = np.concatenate(left), np.concatenate(right)
+    both = np.intersect1d(l, r)
+
+    def places(sets: list[np.ndarray], flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+        at = np.searchsorted(both, flat)
+        hit = both[np.minimum(at, len(both) - 1)] == flat
+        order = np.argsort(at[hit], kind="stable")
+        return row[hit][order], at[hit][order]
+
+    if not len(both):
+        return out
+    (lr, lc), (rr, rc) = places(left, l), places(right, r)
+    for lo in range(0, len(both), step):
+        a, b = (np.zeros((len(x), step), np.float32) for x in (left, right))
+        for m, row, col in ((a, lr, lc), (b, rr, rc)):
+            i, j = np.searchsorted(col, [lo, lo + step])
+            m[row[i:j], col[i:j] - lo] = 1
+        out += a @ b.T
+    return out
+
+
+def _blocks(s: Settings):
+    """Arrow batches of two blocks of one group (their members' ids, components and sets) to the
+    links between members of different components."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = [], []
+            for left, right in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                x, y = ([np.frombuffer(m["shingles"], np.uint64) for m in side] for side in (left, right))
+                ids = [np.asarray([m["doc_id"] for m in side]) for side in (left, right)]
+                parts = [np.asarray([m["component"] for m in side]) for side in (left, right)]
+                both = shared_counts(x, y)
+                sizes = np.asarray([len(v) for v in x])[:, None] + np.asarray([len(v) for v in y])[None, :]
+                link = (100 * both >= s.percent * (sizes - both)) & (parts[0][:, None] != parts[1][None, :])
+                i, j = np.nonzero(link)
+                a.append(ids[0][i]), b.append(ids[1][j])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v) if v else np.zeros(0, np.int64), pa.int64()) for v in (a, b)], ["a", "b"])
+
+    return run
+
+
+def _between(members: DataFrame, labels: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
+    """Links that the comparisons with the centres didn't find: between members of one bucket that
+    are still in different components, decided exactly.
+
+    Buckets that overlap make one group where that means fewer comparisons than bucket by bucket.
+    A group is dealt into blocks of bounded size, and blocks meet in tasks of their own: a large
+    group is neither gathered nor are its pairs written, only the links found."""
+    rows = members.join(labels, F.col("doc_id") == F.col("id"), "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("component"))
+    keys = rows.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.min("doc_id").alias("low"), F.count("*").cast("double").alias("m")).where("x < y")
+    rows = materialize(rows.join(keys.select("key", "low", "m"), "key"))
+    groups = components(rows.where("doc_id <> low").select(F.col("doc_id").alias("a"), F.col("low").alias("b")))
+    rows = rows.join(groups.select(F.col("id").alias("doc_id"), F.col("component").alias("grp")), "doc_id")
+    rows = materialize(rows)
+    cost = rows.groupBy("grp").agg(F.sum("m").alias("by_key"), F.approx_count_distinct("doc_id").cast("double").alias("n"))
+    small = rows.join(cost.withColumn("whole", F.col("n") * F.col("n") <= F.col("by_key")).select("grp", "whole"), "grp")
+    at = F.when(F.col("whole"), F.struct(F.lit(0).cast("long").alias("key"), "grp")).otherwise(F.struct("key", "grp"))
+    at = small.select(at.alias("at"), "doc_id", "component").distinct()
+    need = at.select("doc_id").distinct()
+    sets = materialize(texts.join(need, "doc_id", "left_semi").mapInArrow(_sets(s), "doc_id long, shingles binary"))
+    full = at.join(sets, "doc_id")
+    size = at.join(sets.select("doc_id", F.length("shingles").alias("bytes")), "doc_id").groupBy("at").agg(F.sum("bytes").alias("bytes"), F.count("*").alias("n"))
+    size = size.select("at", F.greatest(F.ceil(F.col("n") / BLOCK_DOCS), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int").alias("blocks"))
+    dealt = full.join(size, "at").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    blocks = materialize(dealt.groupBy("at", "block", "blocks").agg(F.collect_list(F.struct("doc_id", "component", "shingles")).alias("side")))
+    left = blocks.select("at", "side", F.explode(F.sequence(F.col("block"), F.col("blocks") - 1)).alias("other"))
+    pairs = left.join(blocks.select("at", F.col("block").alias("other"), F.col("side").alias("right")), ["at", "other"]).select("side", "right")
+    return pairs.mapInArrow(_blocks(s), "a long, b long").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row of docs (doc_id, text).
 
@@ -228,24 +319,9 @@ def near_duplicates(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
         held = likely.join(tb, "b").join(ta, "a").select("a", "b", "ta", "tb")
         return materialize(held.mapInArrow(_confirm(s), "a long, b long").distinct())
 
-    tried = members.where("doc_id <> low").select(F.col("doc_id").alias("a"), F.col("low").alias("b")).distinct()
-    tried = materialize(tried)
+    tried = materialize(members.where("doc_id <> low").select(F.col("doc_id").alias("a"), F.col("low").alias("b")).distinct())
     edges = verified(tried)
-    for last in (False, True):
-        labels = components(edges)
-        labelled = members.join(labels, F.col("doc_id") == F.col("id"), "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("component"))
-        open_keys = labelled.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.min_by(F.struct("doc_id", "component"), F.xxhash64("doc_id", "key")).alias("centre")).where("x < y")
-        rest = materialize(labelled.join(open_keys.select("key", "centre"), "key"))
-        if last:
-            # members that share a second band as well, of different components
-            wide = rest.join(nodes.select("doc_id", "bands"), "doc_id").select("doc_id", "component", "key", F.explode("bands").alias("other")).where("other > key")
-            l, r = wide, wide.select("key", "other", F.col("doc_id").alias("d2"), F.col("component").alias("c2"))
-            pairs = l.join(r, ["key", "other"]).where("doc_id > d2 and component <> c2").select(F.col("doc_id").alias("a"), F.col("d2").alias("b"))
-        else:
-            pairs = rest.where("component <> centre.component").select(F.greatest("doc_id", "centre.doc_id").alias("a"), F.least("doc_id", "centre.doc_id").alias("b"))
-        new = materialize(pairs.distinct().join(tried, ["a", "b"], "left_anti"))
-        edges = materialize(edges.union(verified(new)))
-        tried = tried.union(new)
+    edges = materialize(edges.union(_between(members, components(edges), texts, s)))
     label = materialize(components(edges.union(copy_edges)))
     out = base.select("doc_id", "n_shingles").join(label, F.col("doc_id") == F.col("id"), "left")
     component = F.coalesce("component", "doc_id")
