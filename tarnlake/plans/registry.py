@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tarnlake.plans import analysis, behaviour
+from tarnlake.plans import analysis, behaviour, observed
 
-QUERIES: dict = {**behaviour.QUERIES, **analysis.QUERIES}
-ORACLES: dict[str, str] = {**behaviour.ORACLES, **analysis.ORACLES}
+QUERIES: dict = {**behaviour.QUERIES, **analysis.QUERIES, **observed.QUERIES}
+ORACLES: dict[str, str] = {**behaviour.ORACLES, **analysis.ORACLES, **observed.ORACLES}
