@@ -118,6 +118,7 @@ class Lattice:
         p = np.where(known, counts + 0.5, 0.0)
         logp = np.log(np.maximum(p, 1e-300) / p.sum())
         self.byte = [-30.0] * 256
+        self.bytes_of: dict[str, float] = {}
         self.arcs: dict[str, float | None] = {}
         for s, lp in zip(pieces, logp.tolist(), strict=True):
             if s.startswith("<0x") and len(s) == 6:
@@ -129,29 +130,38 @@ class Lattice:
                 self.arcs.setdefault(s[:k], None)
 
     def word(self, text: str) -> float:
-        """Forward recursion over the word with its start mark. A character that no piece starts
-        with is spelled by its bytes."""
+        """Forward recursion over the word with its start mark: what arrives at a place is summed
+        when its own arcs are followed. A character that is no piece is spelled by its bytes."""
         s = START + text
         n = len(s)
-        alpha = [-math.inf] * (n + 1)
-        alpha[0] = 0.0
-        arcs, exp, log1p, inf = self.arcs, math.exp, math.log1p, math.inf
+        arrived: list[list[float]] = [[] for _ in range(n + 1)]
+        arrived[0].append(0.0)
+        get, exp, log = self.arcs.get, math.exp, math.log
         for i in range(n):
-            a = alpha[i]
-            if a == -inf:
+            x = arrived[i]
+            if len(x) == 1:
+                a = x[0]
+            else:
+                m = max(x)
+                a = m + log(sum([exp(v - m) for v in x]))
+            lp = get(s[i], 0.0)
+            arrived[i + 1].append(a + (lp or self.spelled(s[i])))
+            if lp == 0.0:
                 continue
-            for j in range(i + 1, n + 1):
-                lp = arcs.get(s[i:j], 0.0)
-                if lp == 0.0:
+            for j in range(i + 2, n + 1):
+                lp = get(s[i:j], 0.0)
+                if lp:
+                    arrived[j].append(a + lp)
+                elif lp is not None:
                     break
-                if lp is not None:
-                    x, y = a + lp, alpha[j]
-                    alpha[j] = x if y == -inf else x + log1p(exp(y - x)) if x > y else y + log1p(exp(x - y))
-            x = a + sum(self.byte[c] for c in s[i].encode("utf-8", "replace"))
-            y = alpha[i + 1]
-            if x > y - 40:  # below that it adds nothing
-                alpha[i + 1] = x if y == -inf else max(x, y) + log1p(exp(-abs(x - y)))
-        return alpha[n]
+        m = max(arrived[n])
+        return m + log(sum([exp(v - m) for v in arrived[n]]))
+
+    def spelled(self, char: str) -> float:
+        lp = self.bytes_of.get(char)
+        if lp is None:
+            lp = self.bytes_of[char] = sum(self.byte[c] for c in char.encode("utf-8", "replace"))
+        return lp
 
 
 def _lattice(pieces: list[str], sent):
