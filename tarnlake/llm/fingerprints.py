@@ -24,7 +24,7 @@ from tarnlake.llm.near_dup import mixed, word_hashes
 from tarnlake.llm.words import WordTable, words_of
 
 BITS = 128
-RADIUS, BLOCKS = 5, 8
+RADIUS, BLOCKS = 3, 4
 PAIR_WEIGHT = 2
 #: Characters of text in a range of neighbouring documents; beyond the most ranges they have more,
 #: which only makes longer tasks, as a range is streamed.
