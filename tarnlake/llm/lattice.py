@@ -31,8 +31,8 @@ from tarnlake.core.shared import materialize
 from tarnlake.llm.words import groups
 
 START = "▁"
-#: Bytes of text in a block.
-BLOCK_BYTES = 6_000_000
+#: Bytes of text in a block: larger blocks have fewer (block, word) rows and need more memory.
+BLOCK_BYTES = 20_000_000
 #: Training documents: crc32(doc_id as text) mod HELD_MOD isn't HELD_REST.
 HELD_MOD, HELD_REST = 7, 2
 LOG10 = math.log(10)
