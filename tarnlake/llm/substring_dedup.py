@@ -90,6 +90,7 @@ def repeated_units(docs: DataFrame) -> DataFrame:
     found = materialize(rows.mapInArrow(_list, "low long, high long, doc_id long, start int, end int"))
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "start")
     first = found.groupBy("low", "high").agg(F.count("*").alias("n"), F.min(rank).alias("f")).where("n > 1").select("low", "high", "f")
+    first = materialize(first)  # else the join runs in the partitions of the aggregate, where a hot unit can't be split
     both = found.join(first, ["low", "high"])
     again = both.where("not (doc_id <=> f.doc_id and start = f.start)")
     return again.select("doc_id", "start", "end", F.col("f.doc_id").alias("first_doc"), F.col("f.start").alias("first_start"))
