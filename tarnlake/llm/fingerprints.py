@@ -24,7 +24,7 @@ from tarnlake.llm.near_dup import mixed, word_hashes
 from tarnlake.llm.words import WordTable, words_of
 
 BITS = 128
-RADIUS, BLOCKS = 3, 4
+RADIUS, BLOCKS = 5, 7
 PAIR_WEIGHT = 2
 #: Characters of text in a range of neighbouring documents; beyond the most ranges they have more,
 #: which only makes longer tasks, as a range is streamed.
@@ -141,27 +141,36 @@ def edits(docs: DataFrame) -> DataFrame:
 
 def block_keys(fp: str | F.Column, radius: int = RADIUS, blocks: int = BLOCKS) -> F.Column:
     """A key for each choice of blocks - radius blocks of a hex fingerprint."""
-    step = BITS // 4 // blocks
+    cuts = [BITS // 4 * i // blocks for i in range(blocks + 1)]
     col = F.col(fp) if isinstance(fp, str) else fp
-    parts = [F.substring(col, 1 + i * step, step) for i in range(blocks)]
+    parts = [F.substring(col, 1 + lo, hi - lo) for lo, hi in zip(cuts[:-1], cuts[1:], strict=True)]
     return F.array(*[F.xxhash64(F.lit(k), *[parts[i] for i in c]) for k, c in enumerate(combinations(range(blocks), blocks - radius))])
 
 
 def within_radius(queries: DataFrame, corpus: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
     """Pairs (query fingerprint, corpus fingerprint, distance) within the radius, each distinct
-    fingerprint once; corpus rows with equal fingerprints are one entry with their number."""
+    fingerprint once; corpus rows with equal fingerprints are one entry with their number.
+
+    Tables hold a key and the bits as two numbers; what else an entry has joins the pairs found."""
     entry = corpus.groupBy("fingerprint").agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("first_doc"))
     asked = queries.select(F.col("fingerprint").alias("query")).distinct()
-    left = asked.select("query", F.explode(block_keys("query", radius, blocks)).alias("key"))
-    right = entry.select("fingerprint", "n_docs", "first_doc", F.explode(block_keys("fingerprint", radius, blocks)).alias("key"))
-    distance = sum(F.bit_count(_long(F.col("query"), i).bitwiseXOR(_long(F.col("fingerprint"), i))) for i in range(BITS // 32))
-    found = left.join(right, "key").select("query", "fingerprint", "n_docs", "first_doc", distance.alias("distance")).where(F.col("distance") <= radius)
-    return found.distinct()
+    left = asked.select(_half("query", 0).alias("a0"), _half("query", 1).alias("a1"), F.explode(block_keys("query", radius, blocks)).alias("key"))
+    right = corpus.select("fingerprint").distinct()
+    right = right.select(_half("fingerprint", 0).alias("b0"), _half("fingerprint", 1).alias("b1"), F.explode(block_keys("fingerprint", radius, blocks)).alias("key"))
+    distance = sum(F.bit_count(F.col(f"a{i}").bitwiseXOR(F.col(f"b{i}"))) for i in (0, 1))
+    found = left.join(right, "key").withColumn("distance", distance).where(F.col("distance") <= radius)
+    found = found.select(_text("a").alias("query"), _text("b").alias("fingerprint"), "distance").distinct()
+    return found.join(entry, "fingerprint").select("query", "fingerprint", "n_docs", "first_doc", "distance")
+
+
+def _half(fp: str, i: int) -> F.Column:
+    """64 bits of a hex fingerprint as a signed number."""
+    return F.conv(F.substring(fp, 1 + 16 * i, 16), 16, -10).cast("long")
 
 
-def _long(c: F.Column, i: int) -> F.Column:
-    """32 bits of a hex fingerprint as a number."""
-    return F.conv(F.substring(c, 1 + 8 * i, 8), 16, 10).cast("long")
+def _text(name: str) -> F.Column:
+    """The hex fingerprint of two halves."""
+    return F.concat(*[F.lower(F.lpad(F.hex(f"{name}{i}"), 16, "0")) for i in (0, 1)])
 
 
 def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
