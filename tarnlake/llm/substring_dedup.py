@@ -1,8 +1,9 @@
-"""Substring dedup by hashes of lines and of phrases in lines.
+"""Substring dedup by hashes of paragraphs, of lines and of phrases in lines.
 
-A unit is a line, or in a longer line a phrase that ends where the hash of two neighbouring words
-is the least around. Such ends depend on the words nearby alone, so a passage has the same units
-wherever it stands in a line, but for its ends. Units are normalised (a-z, no ASCII punctuation at a word's ends, no white space) and
+A unit is a paragraph (lines up to a blank one), a line, or in a line a phrase that ends where the
+hash of two neighbouring words is the least around. Such ends depend on the words nearby alone, so
+a passage has the same units wherever it stands in a line, but for its ends. Units lie in each
+other or apart, and what is removed is their union. Units are normalised (a-z, no ASCII punctuation at a word's ends, no white space) and
 hashed to 128 bits; the digests are grouped over all documents, the earliest ranked occurrence
 stays and the others go. Offsets are those of the original text, in code points.
 """
@@ -13,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tarnlake.core.session import table
@@ -37,7 +38,8 @@ def _hashes(words: list[bytes]) -> np.ndarray:
 
 
 def units(text: str, hashes: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
-    """(first word, word after the last, start, end) of each unit; hashes: of the text's words."""
+    """(first word, word after the last, start, end) of each unit, those inside a unit before it;
+    hashes: of the text's words."""
     if not len(hashes):
         return
     code = np.frombuffer(text.encode("utf-32-le"), np.uint32)
@@ -46,20 +48,30 @@ def units(text: str, hashes: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
     starts, ends = edge[::2], edge[1::2]
     lines = np.flatnonzero(code == 10)
     last_of_line = np.searchsorted(starts, lines) - 1  # the word before each line end
+    ended = np.bincount(last_of_line[last_of_line >= 0], minlength=len(hashes))
+    hard, blank_line = ended > 0, ended > 1
+    hard[-1] = blank_line[-1] = True
     pair = mixed(np.concatenate([hashes[:1], hashes[:-1]]) * np.uint64(3) + hashes)
-    hard = np.zeros(len(hashes), bool)
-    hard[last_of_line[last_of_line >= 0]] = True
-    hard[-1] = True
+    pair[np.concatenate([[True], hard[:-1]])] = np.iinfo(np.uint64).max  # a line's first word has none before it
     line = np.cumsum(np.concatenate([[0], hard[:-1]]))
     least = np.ones(len(hashes), bool)
     for k in range(1, min(REACH, len(hashes) - 1) + 1):
         other = line[k:] != line[:-k]
         least[k:] &= (pair[k:] < pair[:-k]) | other
         least[:-k] &= (pair[:-k] <= pair[k:]) | other
-    begin = 0
+    begin = of_line = of_part = 0
     for i in np.flatnonzero(least | hard).tolist():
-        yield begin, i + 1, int(starts[begin]), int(ends[i])
-        begin = i + 1
+        end = int(ends[i])
+        yield begin, i + 1, int(starts[begin]), end
+        whole, begin = begin == of_line, i + 1
+        if hard[i]:
+            if not whole:
+                yield of_line, begin, int(starts[of_line]), end
+            if blank_line[i]:
+                if of_part < of_line:
+                    yield of_part, begin, int(starts[of_part]), end
+                of_part = begin
+            of_line = begin
 
 
 def _list(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -97,19 +109,24 @@ def repeated_units(docs: DataFrame) -> DataFrame:
 
 
 def removals(docs: DataFrame) -> DataFrame:
-    """A row per document with something to remove: doc_id, spans (ordered, neighbours joined) as
-    array<struct<start, end>>, n_units removed, first_docs (documents that keep what it loses)."""
-    per = repeated_units(docs).groupBy("doc_id").agg(
-        F.array_sort(F.collect_set(F.struct("start", "end"))).alias("spans"), F.count("*").alias("n_units"), F.array_sort(F.collect_set("first_doc")).alias("first_docs")
+    """A row per document with something to remove: doc_id, spans (the units, ordered, also those
+    inside others) and removed (those inside no other) as array<struct<start, end>>, n_units
+    (size of removed), first_docs (documents that keep what it loses)."""
+    before = Window.partitionBy("doc_id").orderBy("start", F.desc("end")).rowsBetween(Window.unboundedPreceding, -1)
+    outer = F.coalesce(F.col("end") > F.max("end").over(before), F.lit(True))
+    span = F.struct("start", "end")
+    per = repeated_units(docs).withColumn("outer", outer).groupBy("doc_id").agg(
+        F.array_sort(F.collect_set(span)).alias("spans"), F.array_sort(F.collect_set(F.when(F.col("outer"), span))).alias("removed"),
+        F.count_if("outer").alias("n_units"), F.array_sort(F.collect_set(F.when(F.col("outer"), F.col("first_doc")))).alias("first_docs"),
     )  # fmt: skip  # as many as one document has units
-    return per.select("doc_id", "spans", "n_units", "first_docs")
+    return per.select("doc_id", "spans", "removed", "n_units", "first_docs")
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
     """docs with clean_text (the text without repeated units; columns of these two names are replaced) and removed (their spans in the original text,
     empty if none). A null or empty text has no units. Rows that share a doc_id share their spans
     only if their texts are equal; an empty table gives an empty result; columns of docs stay."""
-    gone = removals(docs).select(F.col("doc_id").alias("_tl_id"), F.col("spans").alias("_tl_spans"))
+    gone = removals(docs).select(F.col("doc_id").alias("_tl_id"), F.col("removed").alias("_tl_spans"))
     both = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_tl_id")), "left")
     spans = F.coalesce("_tl_spans", F.expr("cast(array() as array<struct<start:int,end:int>>)"))
     kept = F.aggregate(
@@ -128,8 +145,8 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     gone = removals(docs)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n_chars"))
-    spans = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["start"], s["end"])), ",")
-    chars = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
+    spans = F.array_join(F.transform("removed", lambda s: F.concat_ws(":", s["start"], s["end"])), ",")
+    chars = F.aggregate("removed", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
     g = gone.select(F.col("doc_id").alias("_id"), "n_units", chars.alias("chars"), spans.alias("spans"), "first_docs")
     out = rows.join(g, F.col("doc_id").eqNullSafe(F.col("_id")), "left")
     return out.select(

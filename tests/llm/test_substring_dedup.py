@@ -40,3 +40,32 @@ def test_deduplicate_keeps_the_rest(odd, docs_of, none):
             out, at = out + r.text[at : s.start], s.end
         assert r.clean_text == (None if r.text is None else out + r.text[at:])
     assert B.deduplicate(odd).count() == odd.count() and B.deduplicate(none).count() == 0
+
+
+def test_exact_repeated_lines_and_paragraphs_go_whole(docs_of):
+    """Against plain line and paragraph sets, without units()."""
+    rows = []
+    for n in range(6, 41):
+        for v in range(3):
+            line = " ".join(f"k{n}v{v}q{k}" for k in range(n))
+            rows += [(1000 * n + 10 * v, f"start of its own {n} {v}\n{line}\nend {n} {v}"), (1000 * n + 10 * v + 1, f"another head{n}{v}\n\n{line.upper()}\nanother tail")]
+    verse = "\n".join(f"short line{k} here" for k in range(4))
+    rows += [(90_001, f"{verse}\n\nsomething else"), (90_002, f"a head\n\n{verse}\n \ntail"), (90_003, "short line1 here\nonly")]
+    lines, parts, want = set(), set(), {}
+    for i, t in sorted(rows):
+        left = []
+        for part in t.replace("\n \n", "\n\n").split("\n\n"):
+            key = tuple(part.lower().split())
+            if len(key) >= 6 and key in parts:
+                continue
+            parts.add(key)
+            for x in part.split("\n"):
+                key = tuple(x.lower().split())
+                if not (len(key) >= 6 and key in lines):
+                    left += x.split()
+                lines.add(key)
+        want[i] = left
+    got = {r.doc_id: r for r in B.deduplicate(docs_of(rows)).collect()}
+    assert {i: r.clean_text.split() for i, r in got.items()} == want
+    for r in got.values():
+        assert all(a.end <= b.start for a, b in zip(r.removed, r.removed[1:], strict=False))
