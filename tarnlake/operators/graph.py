@@ -2,24 +2,34 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarnlake.core.shared import materialize
 
 
-def breadth_first(edges: DataFrame, starts: DataFrame, most: int = 1000) -> DataFrame:
+#: Frontiers after which what has been seen is written as one table, so that its plan stays small.
+JOINED = 64
+
+
+def breadth_first(edges: DataFrame, starts: DataFrame, most: int | None = None) -> DataFrame:
     """(node, depth) of what can be reached over edges (src, dst) from starts (node). Each frontier
-    is written to the shared folder; the loop ends with the first empty one."""
+    is written to the shared folder; the loop ends with the first empty one, or raises if there is
+    none within `most` rounds."""
     seen = materialize(starts.select("node").distinct().withColumn("depth", F.lit(0)))
     front = seen
-    for depth in range(1, most + 1):
+    for depth in itertools.count(1):
         new = edges.join(front.select(F.col("node").alias("src")), "src").select(F.col("dst").alias("node")).distinct()
         front = materialize(new.join(seen, "node", "left_anti").withColumn("depth", F.lit(depth)))
         if front.isEmpty():
-            break
+            return seen
+        if depth == most:
+            raise RuntimeError(f"nodes are left after {most} rounds")
         seen = seen.unionByName(front)
-    return seen
+        if depth % JOINED == 0:
+            seen = materialize(seen)
 
 
 def transitions(rows: DataFrame, src: str, dst: str) -> DataFrame:

@@ -195,3 +195,11 @@ def test_names(spark):
     assert [tuple(r) for r in df.collect()] == [("bait", "c3"), ("sky", "c4"), (None, None)]
     k = spark.createDataFrame([([False, True],)], "k array<boolean>").select(X.key_vector(F.col("k"), [1, 0, 7]).alias("v"), X.action(F.col("k"), {"R": 0, "L": 1}, F.lit("wait")).alias("a"))
     assert tuple(one(k)) == ([1, 0, 0], "L")
+
+
+def test_breadth_first_is_whole_or_raises(spark):
+    e = spark.createDataFrame([(k, k + 1) for k in range(5)], "src long, dst long")
+    start = spark.createDataFrame([(0,)], "node long")
+    assert G.breadth_first(e, start).count() == 6
+    with pytest.raises(RuntimeError):
+        G.breadth_first(e, start, most=3)
