@@ -1,10 +1,10 @@
 """Personal data: patterns, and terms that give a protected entity away.
 
 Emails, IP addresses, card and phone numbers are found by pattern; each distinct value is a
-protected entity. What a term near an entity reveals of it is their pointwise mutual information
+protected entity. What a term of an entity's documents reveals of it is their pointwise mutual information
 against the entity's own information, log(N n(t,c) / n(t) n(c)) / log(N / n(c)), with counts of
 documents over the whole corpus: 1 if the term occurs with that entity only. Terms above one
-threshold are generalised where they stand near the entity, above a higher one removed.
+threshold are generalised wherever they stand in any document, above a higher one removed.
 """
 
 from __future__ import annotations
@@ -24,8 +24,8 @@ from tarnlake.core.session import table
 from tarnlake.core.shared import materialize
 
 KINDS = ("email", "ip", "card", "phone")
-#: Words before and after an entity that may reveal it; a pair counts from so many documents on.
-WINDOW, SUPPORT = 10, 2
+#: A pair of entity and term counts from so many documents on.
+SUPPORT = 2
 GENERALISE, REMOVE = 0.8, 0.95
 MARKS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]"}
 
@@ -93,42 +93,40 @@ def entity(kind: str, value: str) -> int:
     return _hash(kind + ":" + (value.lower() if kind in ("email", "ip") else re.sub("[^0-9]", "", value)))
 
 
-def contexts(text: str, spans: list[tuple[str, int, int]]) -> Iterator[tuple[int, int, int, int]]:
-    """(entity, term, start, end) of the words near each span that are no part of any span and
-    have a letter; a term is the word in lower case without ASCII punctuation at its ends."""
-    if not spans:
-        return
+def words(text: str, spans: list[tuple[str, int, int]]) -> Iterator[tuple[str, int, int]]:
+    """(word, start, end) of the words that are no part of any span; no ASCII punctuation at their
+    ends, which may leave nothing."""
     at = [m.span() for m in RE_WORD.finditer(text)]
     starts = np.asarray([a for a, _ in at])
     ends = np.asarray([b for _, b in at])
     used = np.zeros(len(at), bool)
-    where = []
     for _, a, b in spans:
-        i, j = int(np.searchsorted(ends, a, "right")), int(np.searchsorted(starts, b, "left"))
-        used[i:j] = True
-        where.append((i, j))
-    for (kind, a, b), (i, j) in zip(spans, where, strict=True):
-        e = entity(kind, text[a:b])
-        for k in (*range(max(0, i - WINDOW), i), *range(j, min(len(at), j + WINDOW))):
-            if not used[k]:
-                raw = text[at[k][0] : at[k][1]]
-                head = len(raw) - len(raw.lstrip(PUNCT))
-                word = raw.strip(PUNCT)
-                if any(c.isalpha() for c in word):
-                    yield e, _hash("t" + word.lower()), at[k][0] + head, at[k][0] + head + len(word)
-
-
-FIELDS = [("tag", pa.int32()), ("doc_id", pa.int64()), ("row", pa.int64()), *[(f"n_{k}", pa.int64()) for k in KINDS], ("base", pa.string()), ("entity", pa.int64()), ("term", pa.int64()), ("start", pa.int32()), ("end", pa.int32()), ("n", pa.int64())]
-SQL_TYPE = {pa.int32(): "int", pa.int64(): "long", pa.string(): "string"}
-DOC, CONTEXT, ENTITY, TERM = range(4)
+        used[np.searchsorted(ends, a, "right") : np.searchsorted(starts, b, "left")] = True
+    for (a, b), u in zip(at, used.tolist(), strict=True):
+        if not u:
+            raw = text[a:b]
+            head = len(raw) - len(raw.lstrip(PUNCT))
+            word = raw.strip(PUNCT)
+            yield word, a + head, a + head + len(word)
+
+
+def term(word: str) -> int | None:
+    """The number of a word as a term, which has a letter."""
+    return _hash("t" + word.lower()) if any(c.isalpha() for c in word) else None
+
+
+FIELDS = [("tag", pa.int32()), ("doc_id", pa.int64()), ("row", pa.int64()), *[(f"n_{k}", pa.int64()) for k in KINDS], ("base", pa.string()), ("entities", pa.list_(pa.int64())), ("terms", pa.list_(pa.int64())), ("term", pa.int64()), ("n", pa.int64())]
+SQL_TYPE = {pa.int32(): "int", pa.int64(): "long", pa.string(): "string", pa.list_(pa.int64()): "array<long>"}
+DOC, TERM = range(2)
 #: Distinct terms that a task counts before it hands on what it has.
 TERM_TABLE = 400_000
 
 
 def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, row, text) to document rows, contexts, entities and document counts of terms."""
+    """(doc_id, row, text) to document rows, with the distinct entities and, if there are any, all
+    distinct terms; and document counts of terms."""
     names = [f for f, _ in FIELDS]
-    hashes: dict[str, int] = {}
+    known: dict[bytes, int | None] = {}
     df: dict[int, int] = {}
 
     def counts() -> pa.RecordBatch:
@@ -149,26 +147,21 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n = {f"n_{k}": 0 for k in KINDS}
             for k, _, _ in spans:
                 n[f"n_{k}"] += 1
-            put(DOC, doc_id=doc, row=key, base=joined(spans), **n)
-            near, met = set(), set()
-            for e, t, start, end in contexts(text, spans) if spans else ():
-                put(CONTEXT, doc_id=doc, row=key, entity=e, term=t, start=start, end=end, n=int((e, t) not in near))
-                near.add((e, t))
-            for k, a, z in spans:
-                e = entity(k, text[a:z])
-                if e not in met:
-                    met.add(e)
-                    put(ENTITY, entity=e, n=1)
+            more = {}
+            if spans:
+                own = {w for w, _, _ in words(text, spans)}
+                more = {"entities": list({entity(k, text[a:z]) for k, a, z in spans}), "terms": list({term(w) for w in own} - {None})}
+            put(DOC, doc_id=doc, row=key, base=joined(spans), **n, **more)
             if text:
-                if len(hashes) > TERM_TABLE:
-                    hashes.clear()
-                terms = set()
-                for w in set(text.split()):  # other white space is at a word's ends at most
-                    h = hashes.get(w)
-                    if h is None:
-                        h = hashes[w] = _hash("t" + w.strip(PUNCT).lower())
-                    terms.add(h)
-                for h in terms:
+                if len(known) > TERM_TABLE:
+                    known.clear()
+                met = set()
+                for w in set(text.encode().split()):  # at ASCII white space, as RE_WORD
+                    if w not in known:
+                        known[w] = term(w.decode().strip(PUNCT))
+                    met.add(known[w])
+                met.discard(None)
+                for h in met:
                     df[h] = df.get(h, 0) + 1
         yield pa.RecordBatch.from_arrays([pa.array(rows[f], t) for f, t in FIELDS], names)
         if len(df) > TERM_TABLE:
@@ -178,10 +171,70 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield counts()
 
 
+#: Bits of the table by which a task passes over words that are no disclosing terms (4 MB).
+BITS = 1 << 25
+#: The most frequent terms, those that can't reach the threshold with any entity, are left out before terms are paired.
+FREQUENT = 50_000
+
+
+def _places(bits: bytes):
+    """(doc_id, row, text) to the words that may be disclosing terms, by `bits`."""
+
+    def find_places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[bytes, bool] = {}
+
+        def may(word: str) -> int | None:
+            h = term(word)
+            return h if h is not None and bits[(h % BITS) >> 3] >> (h % 8) & 1 else None
+
+        for b in batches:
+            out: list[tuple] = []
+            for doc, key, text in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+                if not text:
+                    continue
+                if len(known) > TERM_TABLE:
+                    known.clear()
+                some = False
+                for w in set(text.encode().split()):
+                    if w not in known:
+                        known[w] = may(w.decode().strip(PUNCT)) is not None
+                    some |= known[w]
+                if some:
+                    for word, start, end in words(text, find(text)):
+                        h = may(word) if known.get(word.encode(), True) else None
+                        if h is not None:
+                            out.append((doc, key, h, start, end))
+            cols = list(zip(*out, strict=True)) or [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.int64()] * 3 + [pa.int32()] * 2, strict=True)], ["doc_id", "row", "term", "start", "end"])
+
+    return find_places
+
+
 def _row() -> F.Column:
     return F.xxhash64("doc_id", "text")
 
 
+def disclosing(all_: DataFrame, total: float) -> DataFrame:
+    """term and share (the highest with any entity) of the terms from GENERALISE on.
+
+    both <= n_entity, so a pair reaches it only if n_term <= N^(1 - GENERALISE) n_entity^GENERALISE;
+    what is left out for that before pairs are counted couldn't be in the result."""
+    own = all_.where(f"tag = {DOC} and entities is not null").select("entities", "terms")
+    entities = materialize(own.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity")).where(F.col("n_entity") >= SUPPORT))
+    terms = materialize(all_.where(f"tag = {TERM}").groupBy("term").agg(F.sum("n").alias("n_term")).where(F.col("n_term") >= SUPPORT))
+    most = entities.agg(F.max("n_entity")).head()[0] or 0
+    cap = 1.001 * total ** (1 - GENERALISE) * most**GENERALISE
+    frequent = terms.where(F.col("n_term") > cap).orderBy(F.desc("n_term")).limit(FREQUENT).select("term")
+    with_entity = own.select(F.explode("entities").alias("entity"), "terms").join(entities.select("entity"), "entity")
+    met = with_entity.select("entity", F.explode("terms").alias("term")).join(F.broadcast(frequent), "term", "left_anti")
+    pairs = met.groupBy("entity", "term").agg(F.count("*").alias("both")).where(F.col("both") >= SUPPORT)
+    pairs = pairs.join(entities, "entity").join(terms, "term")
+    info = F.log(F.lit(max(total, 1.0)) / F.col("n_entity"))
+    pmi = F.log(F.lit(max(total, 1.0)) * F.col("both") / (F.col("n_term") * F.col("n_entity")))
+    shown = pairs.where(info > 0).select("term", (pmi / info).alias("share")).where(F.col("share") >= GENERALISE)
+    return materialize(shown.groupBy("term").agg(F.max("share").alias("share")))
+
+
 def detect(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The document rows (doc_id, row, counts by kind, base) and the disclosing terms by row: terms
     as array<struct<start, end, share, remove>> in order, for rows that have any."""
@@ -189,16 +242,14 @@ def detect(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = rows.select("doc_id", _row().alias("row"), "text")
     all_ = materialize(rows.mapInArrow(_gather, ", ".join(f"{f} {SQL_TYPE[t]}" for f, t in FIELDS)))
     found = all_.where(f"tag = {DOC}").select("doc_id", "row", *[f"n_{k}" for k in KINDS], "base")
-    near = all_.where(f"tag = {CONTEXT}").select("doc_id", "row", "entity", "term", "start", "end", "n")
-    total = float(found.count())
-    pairs = near.groupBy("entity", "term").agg(F.sum("n").alias("both")).where(F.col("both") >= SUPPORT)
-    entities = all_.where(f"tag = {ENTITY}").groupBy("entity").agg(F.sum("n").alias("n_entity"))
-    terms = all_.where(f"tag = {TERM}").groupBy("term").agg(F.sum("n").alias("n_term"))
-    pairs = pairs.join(entities, "entity").join(terms, "term")
-    info = F.log(F.lit(max(total, 1.0)) / F.col("n_entity"))
-    pmi = F.log(F.lit(max(total, 1.0)) * F.col("both") / (F.col("n_term") * F.col("n_entity")))
-    shown = pairs.where(info > 0).select("entity", "term", (pmi / info).alias("share")).where(F.col("share") >= GENERALISE)
-    hit = near.join(shown, ["entity", "term"]).groupBy("doc_id", "row", "start", "end").agg(F.max("share").alias("share"))
+    shown = disclosing(all_, float(found.count()))
+    bits = bytearray(BITS // 8)
+    at = shown.select(F.pmod("term", F.lit(BITS)).alias("bit"))
+    at = at.groupBy((F.col("bit") / 32768).cast("long").alias("page")).agg(F.bitmap_construct_agg(F.col("bit") % 32768).alias("bits"))
+    for r in at.collect():  # BITS / 32768 at most, 4 KB each
+        bits[r["page"] * 4096 : (r["page"] + 1) * 4096] = r["bits"]
+    places = rows.mapInArrow(_places(bytes(bits)), "doc_id long, row long, term long, start int, end int")
+    hit = places.join(shown, "term").groupBy("doc_id", "row", "start", "end").agg(F.max("share").alias("share"))
     span = F.struct("start", "end", "share", (F.col("share") >= REMOVE).alias("remove"))
     return found, hit.groupBy("doc_id", "row").agg(F.array_sort(F.collect_list(span)).alias("terms"))
 

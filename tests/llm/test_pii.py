@@ -50,3 +50,17 @@ def test_terms_that_go_with_one_entity(docs_of):
 def test_odd_and_empty(odd, none):
     assert P.spans(odd).count() == odd.count() and P.sanitise(odd).count() == odd.count()
     assert P.spans(none).count() == 0 and P.sanitise(none).count() == 0
+
+
+def test_terms_go_wherever_they_stand(docs_of):
+    """A term far from the entity counts, and goes in a document without the entity too."""
+    far = " the weather" * 30
+    rows = [(i, f"mail x1@mail.org about{far} then Zebulon\u00a0Quirk, and zebulon's quirkish.") for i in range(4)]
+    rows += [(5, "a note on (Quirkish) things by the weather")]
+    rows += [(10 + i, f"mail about the weather number w{i} and then on things by a note") for i in range(200)]
+    docs = docs_of(rows)
+    texts = dict(rows)
+    got = {r.doc_id: {texts[r.doc_id][x.start : x.end] for x in r.terms or []} for r in P.spans(docs).collect()}
+    assert all(got[i] == {"Zebulon\u00a0Quirk", "zebulon's", "quirkish"} for i in range(4))
+    assert got[5] == {"Quirkish"} and not any(got[10 + i] for i in range(200))
+    assert {r.doc_id: r.text for r in P.sanitise(docs).collect()}[5] == "a note on ([TERM]) things by the weather"
