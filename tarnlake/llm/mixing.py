@@ -1,8 +1,8 @@
 """Mixing sources to target weights by Sainte-Lague apportionment of equal-token blocks.
 
-The words of a source, taken as often as needed, are a stream of equal blocks. Sainte-Lague gives
-each source an integer number of blocks for its target, and gives those again to the source's
-shards by their sizes; a shard takes its first blocks along a seeded order of its documents. All
+Sainte-Lague gives each source an integer number of words for its target, and gives those in equal
+blocks to the source's shards by their sizes, to none more than it has when repeated as often as
+allowed; a shard takes its first blocks along a seeded order of its documents. All
 of that works on sums per (source, shard); no source and no shard passes through one task whole.
 """
 
@@ -25,8 +25,6 @@ RE_WORD = re.compile(WORD)
 WEIGHTS = (1.0, 2.0, 3.0)
 MOST_REPEATS = 3
 BLOCK_WORDS = 64
-#: A mix of few words has smaller blocks, so that there are about so many.
-LEAST_BLOCKS = 20_000
 #: Documents per shard where there are many; else so many shards.
 SHARD_ROWS, LEAST_SHARDS = 50_000, 256
 
@@ -81,6 +79,33 @@ def targets(sizes: list[int], weights: list[float], most: float = MOST_REPEATS)
     return out
 
 
+def deal_words(cells: list[int], words: int, most: int, block: int) -> list[int]:
+    """What each shard gives of a source's `words`: seats of `block` words by Sainte-Lague, none
+    beyond `most` times the shard; what that cuts off goes to the other shards, and what is less
+    than a block at the end to the first shards with room. Together min(words, most * sum(cells))."""
+    room = [most * c for c in cells]
+    left = words = min(words, sum(room))
+    given = [0] * len(cells)
+    free = [i for i, c in enumerate(cells) if c > 0]
+    while free and left >= block:
+        seats = apportion([float(cells[i]) for i in free], left // block)
+        full = [i for i, g in zip(free, seats, strict=True) if g * block >= room[i]]
+        if not full:
+            for i, g in zip(free, seats, strict=True):
+                given[i] = g * block
+            left -= sum(seats) * block
+            break
+        for i in full:
+            given[i] = room[i]
+            left -= room[i]
+        gone = set(full)
+        free = [i for i in free if i not in gone]
+    for i, c in enumerate(cells):
+        more = min(left, room[i] - given[i])
+        given[i], left = given[i] + more, left - more
+    return given
+
+
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST_REPEATS, block_words: int = BLOCK_WORDS, seed: int = 0, carry: tuple[str, ...] = ()) -> DataFrame:
     """What a mix of all documents (doc_id, text, source) takes of each.
 
@@ -100,16 +125,14 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST_
     sizes = [x[2] for x in found]
     target = targets(sizes, [weights[i % len(weights)] for i in range(len(found))], most)
     total = sum(sizes)
-    block = max(1, min(block_words, total // LEAST_BLOCKS))
-    quota = apportion(target, total // block)
+    quota = apportion(target, total)
     plan = {k: (s, t, q) for (k, _, s), t, q in zip(found, target, quota, strict=True)}
     shards = max(LEAST_SHARDS, sum(x[1] for x in found) // SHARD_ROWS)
 
     def deal(cells: pd.DataFrame) -> pd.DataFrame:
         cells = cells.sort_values("shard")
         s, t, q = plan[cells["key"].iloc[0]]
-        given = apportion([float(x) for x in cells["cell_size"]], q)
-        words = [min(g * block, most * int(c)) for g, c in zip(given, cells["cell_size"], strict=True)]
+        words = deal_words([int(c) for c in cells["cell_size"]], q, most, block_words)
         return cells.assign(source_size=s, target=t, words=words)
 
     def sharded(df: DataFrame) -> DataFrame:

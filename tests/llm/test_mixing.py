@@ -51,3 +51,19 @@ def test_mixed_documents_have_the_taken_words(odd):
 
 def test_empty(none):
     assert M.mix(none).count() == 0 and M.mixed_documents(none).count() == 0
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(0, 300), max_size=40), st.integers(0, 30_000), st.sampled_from([1, 7, 64]))
+def test_shards_give_all_they_can(cells, words, block):
+    got = M.deal_words(cells, words, 3, block)
+    assert sum(got) == min(words, 3 * sum(cells)) and all(0 <= g <= 3 * c for g, c in zip(got, cells, strict=True))
+
+
+def test_a_small_source_in_a_large_mix_meets_its_target(docs_of):
+    docs = docs_of([(3 * i, f"a b c d e{i}") for i in range(200)] + [(3 * i + 1, "long " * 33_000) for i in range(40)])
+    got = M.mix(docs).toPandas()
+    assert got["size"].sum() > 1_280_000
+    for _, g in got.groupby("source"):
+        assert abs(g.taken.sum() - g.target.iloc[0]) <= 1
+    assert got[got.source == "s0"].taken.sum() == 3000 and (got.taken <= 3 * got["size"]).all()
