@@ -16,6 +16,13 @@ def require_empty(bad: DataFrame, what: str) -> None:
         raise IntegrityError(f"{what}: {[r.asDict() for r in rows]}")
 
 
+def bounded(rows: DataFrame, most: int, what: str) -> DataFrame:
+    """rows, if they are at most `most`: for tables that are broadcast or gathered."""
+    if rows.limit(most + 1).count() > most:
+        raise IntegrityError(f"more than {most} {what}")
+    return rows
+
+
 def duplicate_keys(rows: DataFrame, key: list[str]) -> DataFrame:
     return rows.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1")
 

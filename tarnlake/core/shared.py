@@ -16,10 +16,13 @@ _own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; only where it is unset (tests) a folder of our own."""
+    """spark.checkpoint.dir of the session; only where it is unset and the session is local (tests) a
+    folder of our own. Elsewhere a missing setting raises: executors don't share local folders."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
     app = spark.sparkContext.applicationId
     if app not in _own:
         _own[app] = "file://" + tempfile.mkdtemp(prefix="tarnlake-")
@@ -29,7 +32,7 @@ def shared_dir(spark: SparkSession) -> str:
 def materialize(df: DataFrame) -> DataFrame:
     """Write df as Parquet into the shared folder and return the written table.
 
-    The folder is deleted when the driver's JVM ends."""
+    The folder is deleted by release(), at the latest when the driver's JVM ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/t-{uuid.uuid4().hex}"
     jvm = spark.sparkContext._jvm
@@ -37,3 +40,13 @@ def materialize(df: DataFrame) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables that materialize() wrote, once nothing reads them any more."""
+    for df in tables:
+        spark = df.sparkSession
+        for name in df.inputFiles()[:1]:
+            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name).getParent()
+            if at.toString().rsplit("/", 1)[-1].startswith("t-"):
+                at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)

@@ -46,17 +46,19 @@ def two_level_mean(calls: DataFrame, play: list[str], step: str, bin_: str, valu
 
 def nearest(left: DataFrame, right: DataFrame, key: list[str], left_t: str, right_t: str, right_order: str, tolerance: float) -> DataFrame:
     """Each left row with the right row of its key that is nearest in time and nearer than
-    `tolerance`; ties to the smaller right_order.
+    `tolerance`; ties to the smaller right_order. Equal left rows each keep their match.
 
-    Times fall into buckets as wide as the tolerance, so that a left row only meets the rows of
-    its own bucket and the two beside it: an equi join, never a product."""
+    Times fall into buckets as wide as the tolerance, so that a time only meets the rows of its own
+    bucket and the two beside it: an equi join, never a product. The match hangs on key and time
+    alone; it is found once for each and joined back to the left rows, whatever else they hold."""
     width = F.lit(tolerance)
-    l = left.withColumn("_b", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda k: F.floor(F.col(left_t) / width) + k)))
+    at = left.select(*key, left_t).distinct()
+    l = at.withColumn("_b", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda k: F.floor(F.col(left_t) / width) + k)))
     r = right.withColumn("_b", F.floor(F.col(right_t) / width))
     both = l.join(r, [*key, "_b"]).withColumn("gap", F.abs(F.col(left_t) - F.col(right_t))).where(F.col("gap") < tolerance)
-    cols = [c for c in left.columns if c not in key]
-    w = Window.partitionBy(*key, *cols).orderBy("gap", right_order)
-    return both.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_b", "_r")
+    cols = [c for c in right.columns if c not in key]
+    best = both.groupBy(*key, left_t).agg(F.min_by(F.struct(*cols, "gap"), F.struct("gap", right_order)).alias("_m"))
+    return left.join(best.select(*key, left_t, "_m.*"), [*key, left_t])
 
 
 def fill_both_ways(frames: DataFrame, play: list[str], order: list[str], col: str) -> DataFrame:
@@ -67,10 +69,16 @@ def fill_both_ways(frames: DataFrame, play: list[str], order: list[str], col: st
     return frames.withColumn(col, F.coalesce(fwd, back))
 
 
-def contained(groups: DataFrame, spans: DataFrame, key: list[str], slop: float) -> DataFrame:
+def contained(groups: DataFrame, spans: DataFrame, key: list[str], slop: float, width: float) -> DataFrame:
     """Groups with their interval [g_min, g_max] inside a span [s_min - slop, s_max + slop] of the
-    same key, and how many spans hold each group."""
-    both = groups.join(spans, key).where((F.col("g_min") >= F.col("s_min") - slop) & (F.col("g_max") <= F.col("s_max") + slop))
+    same key, and how many spans hold each group (key, grp).
+
+    A span lies in the buckets of time, `width` long, that it touches, a group in that of its start:
+    groups meet the spans around them only. width should be about the length of a span."""
+    at = lambda x: F.floor(x / F.lit(width))
+    s = spans.withColumn("_b", F.explode(F.sequence(at(F.col("s_min") - slop), at(F.col("s_max") + slop))))
+    both = groups.withColumn("_b", at(F.col("g_min"))).join(s, [*key, "_b"]).drop("_b")
+    both = both.where((F.col("g_min") >= F.col("s_min") - slop) & (F.col("g_max") <= F.col("s_max") + slop))
     return both.withColumn("candidates", F.count("*").over(Window.partitionBy(*key, "grp")))
 
 

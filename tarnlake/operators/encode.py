@@ -9,12 +9,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tarnlake.core import checks
 
-def folds(rows: DataFrame, partition: str) -> DataFrame:
-    """Leave one partition out: each row once per fold, with is_test. There are few partitions; the
-    list of folds is a small table of its own."""
-    all_ = rows.select(F.col(partition).alias("fold")).distinct()
-    return rows.join(F.broadcast(all_)).withColumn("is_test", F.col(partition) == F.col("fold"))
+
+def folds(rows: DataFrame, partition: str, most: int = 1000) -> DataFrame:
+    """Leave one partition out: each row once per fold, with is_test. The partitions, at most `most`
+    (more raise), are gathered into one row."""
+    all_ = checks.bounded(rows.select(F.col(partition).alias("fold")).distinct(), most, "partitions").agg(F.collect_list("fold").alias("_f"))
+    return rows.join(F.broadcast(all_)).withColumn("fold", F.explode("_f")).drop("_f").withColumn("is_test", F.col(partition) == F.col("fold"))
 
 
 def scaled_by_train(rows: DataFrame, key: list[str], value: str, train: str, least: float = 1e-6) -> DataFrame:
@@ -25,10 +27,13 @@ def scaled_by_train(rows: DataFrame, key: list[str], value: str, train: str, lea
 
 
 def correlation(rows: DataFrame, key: list[str], x: str, y: str) -> DataFrame:
-    """r, 0 without spread, within [-1, 1]; from sums only."""
-    s = rows.groupBy(*key).agg(*[F.avg(F.expr(e)).alias(n) for n, e in {"mx": x, "my": y, "xx": f"{x} * {x}", "yy": f"{y} * {y}", "xy": f"{x} * {y}"}.items()], F.count("*").alias("n"))
-    den = F.sqrt(F.greatest(F.expr("(xx - mx * mx) * (yy - my * my)"), F.lit(0.0)))
-    r = F.when(den > 1e-10, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.expr("xy - mx * my") / den))).otherwise(0.0)
+    """r, 0 where the root of the product of the sums of squares is at most 1e-10, within [-1, 1].
+    Moments are centred as they are merged, so that large means don't cancel."""
+    a, b = F.col(x).cast("double"), F.col(y).cast("double")
+    both = F.when(a.isNotNull() & b.isNotNull(), 1)
+    s = rows.groupBy(*key).agg(F.covar_pop(a, b).alias("_c"), F.var_pop(a * both).alias("_a"), F.var_pop(b * both).alias("_b"), F.count("*").alias("n"))
+    den = F.sqrt(F.col("_a")) * F.sqrt(F.col("_b"))
+    r = F.when(den * F.col("n") > 1e-10, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("_c") / den))).otherwise(0.0)
     return s.select(*key, r.alias("r"), "n")
 
 
@@ -71,18 +76,21 @@ def gram_sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"i": np.arange(len(total)), "n": n, "total": total, "cross": list(cross)})
 
 
-def moments(rows: DataFrame, vector: str, target: str | Column) -> tuple[int, np.ndarray, np.ndarray]:
+def moments(rows: DataFrame, vector: str, target: str | Column, most: int = 2048) -> tuple[int, np.ndarray, np.ndarray]:
     """Count, means and centred cross products of [vector, target]: one row per element and task is
-    shuffled, whatever the number of rows; width squared numbers reach the driver."""
+    shuffled, whatever the number of rows. Vectors wider than `most` raise: width squared numbers
+    reach the driver (32 MB at 2,048)."""
+    wide = rows.agg(F.max(F.size(vector))).first()[0] or 0
+    if wide > most:
+        raise ValueError(f"vectors of {wide} elements, at most {most} can be solved on the driver")
     part = rows.select(F.col(vector).alias("v"), (F.col(target) if isinstance(target, str) else target).cast("double").alias("y")).mapInPandas(gram_sums, "i long, n long, total double, cross array<double>")
     each = part.select("i", "n", "total", F.posexplode("cross").alias("j", "c")).groupBy("i", "j").agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.sum("c").alias("c"))
-    got = each.toPandas()
+    got = each.groupBy("i").agg(F.max("n").alias("n"), F.max("total").alias("total"), F.array_sort(F.collect_list(F.struct("j", "c")))["c"].alias("c")).toPandas()
     if not len(got):
         return 0, np.zeros(0), np.zeros((0, 0))
-    k = int(got["i"].max()) + 1
-    n = int(got["n"].iloc[0])
+    n, k = int(got["n"].iloc[0]), len(got)
     mean, cross = np.zeros(k), np.zeros((k, k))
-    cross[got["i"], got["j"]] = got["c"]
+    cross[got["i"]] = np.stack(got["c"].to_numpy())
     mean[got["i"]] = got["total"] / n
     return n, mean, cross - n * np.outer(mean, mean)
 

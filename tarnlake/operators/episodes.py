@@ -43,9 +43,20 @@ def longest_streak(outcomes: str = "episode_outcomes") -> Column:
     return F.aggregate(outcomes, zero, step, lambda a: a["best"])
 
 
+def steps_to_streak(wins: int, steps: str = "episode_steps", outcomes: str = "episode_outcomes") -> Column:
+    """struct(run, taken, done): steps taken until `wins` wins in a row, all of them without."""
+    zero = F.struct(F.lit(0).alias("run"), F.lit(0).cast("long").alias("taken"), F.lit(False).alias("done"))
+
+    def step(a: Column, x: Column) -> Column:
+        run = F.when(x["o"] == "win", a["run"] + 1).otherwise(0)
+        return F.when(a["done"], a).otherwise(F.struct(run.alias("run"), (a["taken"] + x["s"]).alias("taken"), (run >= wins).alias("done")))
+
+    return F.aggregate(F.arrays_zip(F.col(steps).alias("s"), F.col(outcomes).alias("o")), zero, step)
+
+
 def any_match_outcome(win: Column, died: Column) -> Column:
-    """Three-valued win to an outcome: an unfinished play with a death is one of its own."""
-    return F.when(win, "win").when(win.isNull() & died, "avatar_died").when(win.isNotNull(), "loss").otherwise("incomplete")
+    """Three-valued win to an outcome: a death comes before a loss and before an unfinished play."""
+    return F.when(win, "win").when(died, "avatar_died").when(win.isNotNull(), "loss").otherwise("incomplete")
 
 
 def sessions(frames: DataFrame, key: list[str], order: list[str], broke: Column) -> DataFrame:

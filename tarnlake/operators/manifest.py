@@ -20,7 +20,7 @@ def first_rule(key: Column, rules: list[tuple[str, str, str | None, str]], defau
 
 def by_first_segment(rows: DataFrame, key: str, rules: DataFrame, segment: str, sep: str = "/") -> DataFrame:
     """rows with the rule of their key's first segment (null without); rules has a row per segment."""
-    return rows.join(F.broadcast(rules), F.element_at(F.split(F.col(key), sep), 1) == F.col(segment), "left")  # a declared table of rules
+    return rows.join(rules, F.element_at(F.split(F.col(key), sep), 1) == F.col(segment), "left")
 
 
 def percent_encoded(path: Column) -> Column:

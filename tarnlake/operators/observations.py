@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tarnlake.operators.windows import numbered
+
 
 def every(rows: DataFrame, play: list[str], order: list[str], k: int) -> DataFrame:
     """Each k-th row of a play, the first included."""
@@ -49,9 +51,12 @@ def overlaps(boxes: DataFrame, key: list[str], uid: str, size: float) -> DataFra
 
 
 def index_in(mask: DataFrame, common: DataFrame, key: list[str], xyz: list[str]) -> DataFrame:
-    """Voxels of the common mask with their place (from 0, by coordinates) in each mask of `key`."""
-    w = Window.partitionBy(*key).orderBy(*xyz)
-    return mask.withColumn("place", F.row_number().over(w) - 1).join(common.select(*xyz), xyz, "left_semi")
+    """Voxels of the common mask with their place (from 0, by coordinates) in each mask of `key`: the
+    place in the order of all masks, less that of the mask's first voxel."""
+    at = numbered(mask, [*key, *xyz], "_at")
+    first = at.groupBy(*key).agg(F.min("_at").alias("_first"))
+    place = at.join(first, key).withColumn("place", (F.col("_at") - F.col("_first")).cast("int")).drop("_at", "_first")
+    return place.join(common.select(*xyz), xyz, "left_semi")
 
 
 def members(voxels: DataFrame, regions: DataFrame, code: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import json
 import re
 
@@ -40,36 +41,42 @@ def numbered_objects(seen: DataFrame, play: list[str], kind: str, uid: str, orde
 
 
 def within_budget(turns: DataFrame, conv: str, turn: str, tokens: Column, budget: int, least: int = 20) -> DataFrame:
-    """The newest turns of each conversation that fit the budget, `least` of them at any rate; an
-    even number of old turns goes, so that pairs stay whole. Turn 0 stays."""
+    """Each conversation cut to the budget. All messages count, the first (the system's) too, which
+    stays. The oldest of the others go until the rest fits, while `least` of them are left; an odd
+    number of dropped ones is rounded up, so that pairs stay whole."""
     w = Window.partitionBy(conv)
-    t = turns.withColumn("_t", tokens)
-    rest = t.where(F.col(turn) > 0)
-    back = rest.withColumn("_sum", F.sum("_t").over(w.orderBy(F.desc(turn)).rowsBetween(Window.unboundedPreceding, 0)))
-    back = back.withColumn("_n", F.row_number().over(w.orderBy(F.desc(turn)))).withColumn("_all", F.count("*").over(w))
-    keep = F.greatest(F.max(F.when(F.col("_sum") <= budget, F.col("_n")).otherwise(0)).over(w), F.least(F.lit(least), F.col("_all")))
-    back = back.withColumn("_keep", keep).withColumn("_drop", F.col("_all") - F.col("_keep") - (F.col("_all") - F.col("_keep")) % 2)
-    kept = back.where(F.col("_all") - F.col("_n") >= F.col("_drop"))
-    return t.where(F.col(turn) == 0).select(*turns.columns).unionByName(kept.select(*turns.columns))
+    run = w.orderBy(turn).rowsBetween(Window.unboundedPreceding, 0)
+    t = turns.withColumn("_t", tokens.cast("long"))
+    t = t.withColumn("_i", F.row_number().over(w.orderBy(turn)) - 1).withColumn("_n", F.count("*").over(w) - 1).withColumn("_all", F.sum("_t").over(w))
+    t = t.withColumn("_old", F.sum(F.when(F.col("_i") > 0, F.col("_t")).otherwise(0)).over(run))
+    over = (F.col("_i") > 0) & (F.col("_i") <= F.col("_n") - least) & (F.col("_all") - F.col("_old") + F.col("_t") > budget)
+    t = t.withColumn("_drop", F.count_if(over).over(w))
+    return t.where((F.col("_i") == 0) | (F.col("_i") > F.col("_drop") + F.col("_drop") % 2)).select(*turns.columns)
 
 
 @F.pandas_udf(T.ArrayType(T.ArrayType(T.LongType())))
 def token_windows(total: pd.Series, starts: pd.Series, window: pd.Series, stride: pd.Series) -> pd.Series:
-    """Windows [start, end) over a session of `total` tokens: the next start is the last message
-    start at or before start + stride, or the first after it, so that each window moves on."""
+    """Windows [start, end) over a session of `total` tokens. The next start is the last message
+    start at or before start + stride; if that isn't after start, the next message start; if there
+    is none either, the next token. A stride below 1 raises; no tokens have no windows."""
 
     def one(n: int, at: list[int], size: int, step: int) -> list[list[int]]:
-        at = sorted(int(x) for x in at)
+        if step < 1:
+            raise ValueError(f"stride must be positive: {step}")
         out, start = [], 0
-        while True:
-            end = min(start + size, n)
-            out.append([start, end])
-            if end >= n:
-                return out
-            before = [x for x in at if start < x <= start + step]
-            after = [x for x in at if x > start + step and x < n]
-            start = before[-1] if before else after[0] if after else start + step
-    return pd.Series([one(int(n), list(a), int(s), int(t)) for n, a, s, t in zip(total, starts, window, stride, strict=True)])
+        while n > 0:
+            out.append([start, min(start + size, n)])
+            if out[-1][1] >= n:
+                break
+            last = bisect.bisect_right(at, start + step)
+            first = bisect.bisect_right(at, start)
+            if last > first:
+                start = at[last - 1]
+            else:
+                start = at[first] if first < len(at) else min(start + 1, n - 1)
+        return out
+
+    return pd.Series([one(int(n), sorted(int(x) for x in a), int(s), int(t)) for n, a, s, t in zip(total, starts, window, stride, strict=True)])
 
 
 def assign_targets(targets: DataFrame, windows: DataFrame, key: list[str]) -> DataFrame:

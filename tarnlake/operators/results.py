@@ -43,31 +43,33 @@ def declared(rows: DataFrame, conditions: DataFrame, key: list[str]) -> DataFram
 
 
 def depth_layers(n_layers: int, k: int, have: list[int]) -> list[int]:
-    """k of the layers in `have`, each in turn the nearest free one to evenly spaced depths from the
-    first to the last layer; ties to the smaller."""
-    if k >= len(have):
-        return sorted(have)
-    free, out = sorted(have), []
-    lo, hi = free[0], free[-1]
+    """k of the layers in `have`: for each of k targets from 1 to n_layers, evenly spaced, in turn
+    the nearest free one; ties to the smaller. k or fewer layers are all taken."""
+    free = sorted(set(have))
+    if len(free) <= k:
+        return free
+    out = []
     for i in range(k):
-        want = lo + (hi - lo) * (i / (k - 1) if k > 1 else 0.5)
+        want = 1 + (n_layers - 1) * (i / (k - 1) if k > 1 else 0)
         out.append(min(free, key=lambda x: (abs(x - want), x)))
         free.remove(out[-1])
     return sorted(out)
 
 
-def pick_depths(rows: DataFrame, model: str, subject: str, layer: str, k: int) -> DataFrame:
-    """model, layer: depth_layers() of the layers that all subjects of a model have. The layers of
+def pick_depths(rows: DataFrame, model: str, subject: str, layer: str, k: int, n_layers: DataFrame) -> DataFrame:
+    """model, layer: depth_layers() of the layers that all subjects of a model have. n_layers
+    (model, n_layers) has the models' full depths; a model without one is left out. The layers of
     a model are few; they are made distinct before they are gathered."""
     d = rows.select(model, subject, layer).distinct()
     n = d.groupBy(model).agg(F.countDistinct(subject).alias("_n"))
     common = d.groupBy(model, layer).agg(F.count("*").alias("_c")).join(n, model).where("_c = _n").select(model, layer)
+    schema = common.schema
 
     def pick(group: pd.DataFrame) -> pd.DataFrame:
-        have = [int(x) for x in group[layer]]
-        return pd.DataFrame({model: group[model].iloc[0], layer: depth_layers(len(have), k, have)})
+        got = depth_layers(int(group["n_layers"].iloc[0]), k, [int(x) for x in group[layer]])
+        return pd.DataFrame({model: group[model].iloc[0], layer: got})
 
-    return common.groupBy(model).applyInPandas(pick, common.schema)
+    return common.join(n_layers, model).groupBy(model).applyInPandas(pick, schema)
 
 
 def exclude(rules: list[str], agent: str, cohort: str, game: str, prefix: str = "cohort") -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tarnlake.core.shared import materialize
+
 
 def lagged(rows: DataFrame, play: list[str], order: list[str], col: str, lags: list[int]) -> DataFrame:
     """lag_k for each k; before the play's start its first value."""
@@ -36,12 +38,24 @@ def whitened(rows: DataFrame, play: list[str], order: list[str], col: str, rho:
 
 
 def lag_one_correlation(rows: DataFrame, series: list[str], order: list[str], col: str) -> DataFrame:
-    """rho per series: Pearson correlation of neighbours; no spread: 0."""
+    """rho per series: Pearson correlation of neighbours; no spread: 0. Moments are centred as they
+    are merged."""
     w = Window.partitionBy(*series).orderBy(*order)
     p = rows.select(*series, F.col(col).alias("y"), F.lag(col).over(w).alias("x")).where("x is not null and y is not null")
-    sums = p.groupBy(*series).agg(*[F.avg(e).alias(n) for n, e in {"mx": F.col("x"), "my": F.col("y"), "xx": F.col("x") * F.col("x"), "yy": F.col("y") * F.col("y"), "xy": F.col("x") * F.col("y")}.items()])
-    var = F.expr("(xx - mx * mx) * (yy - my * my)")
-    return sums.select(*series, F.when(var > 1e-18, F.expr("xy - mx * my") / F.sqrt(var)).otherwise(0.0).alias("rho"))
+    m = p.groupBy(*series).agg(F.covar_pop("x", "y").alias("_c"), (F.sqrt(F.var_pop("x")) * F.sqrt(F.var_pop("y"))).alias("_d"))
+    return m.select(*series, F.when(F.col("_d") > 0, F.col("_c") / F.col("_d")).otherwise(0.0).alias("rho"))
+
+
+def numbered(rows: DataFrame, order: list[str], name: str, parts: int | None = None) -> DataFrame:
+    """rows with their place (from 0) in the order of the whole table. The table is dealt into ranges
+    and written, each range is numbered by itself, and a table with a row per range has what
+    comes before it: no task sees more than a range. Rows that tie stay together."""
+    dealt = rows.repartitionByRange(*([parts] if parts else []), *order).withColumn("_p", F.spark_partition_id())
+    dealt = materialize(dealt)
+    sizes = dealt.groupBy("_p").agg(F.count("*").alias("_n"))  # a row per range
+    before = sizes.select("_p", (F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).alias("_b"))
+    place = F.row_number().over(Window.partitionBy("_p").orderBy(*order)) - 1 + F.col("_b")
+    return dealt.join(before, "_p").withColumn(name, place.cast("long")).drop("_p", "_b")
 
 
 def stacked(rows: DataFrame, play: list[str], order: list[str], col: str, n: int) -> DataFrame:

@@ -14,9 +14,10 @@ from tarnlake.operators import manifest as M
 from tarnlake.operators import replay as P
 from tarnlake.operators import results as R
 from tarnlake.operators import state as T
+from tarnlake.operators import windows as W
 from tarnlake.operators.episodes import episode_rows
 from tarnlake.plans.behaviour import ORDER, PLAY
-from tarnlake.plans.bindings import EPISODES, EV, levels, plays
+from tarnlake.plans.bindings import EPISODES, EV, plays
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -97,7 +98,7 @@ def interval_match(spark, d):
     p = plays(spark, d)
     g = p.where("event_type = 'error'").select("user_id", F.col("event_id").alias("grp"), F.col("sec").alias("g_min"), (F.col("sec") + 60.0 * F.col("k")).alias("g_max"))
     s = p.groupBy(*PLAY).agg(F.min("sec").alias("s_min"), F.max("sec").alias("s_max"))
-    return A.contained(g, s, ["user_id"], 2.0).select("grp", "level", "candidates")
+    return A.contained(g, s, ["user_id"], 2.0, 3 * 86400.0).select("grp", "level", "candidates")
 
 
 @query("filled_both_ways", f"""WITH {EV}, x AS (SELECT *, CASE WHEN event_type = 'view' THEN value END AS v FROM ev)
@@ -134,10 +135,10 @@ def correlations(spark, d):
     return N.correlation(plays(spark, d), PLAY, "k", "value").where("n > 2").withColumn("r", F.round("r", 5))
 
 
-@query("fold_means", f"""WITH {EV}, p AS (SELECT *, CAST(floor(level / 3.0) AS BIGINT) AS part FROM ev WHERE level < 9), f AS (SELECT DISTINCT part AS fold FROM p)
+@query("fold_means", f"""WITH {EV}, p AS (SELECT *, CAST(floor(level / 3.0) AS BIGINT) AS part FROM ev), f AS (SELECT DISTINCT part AS fold FROM p)
 SELECT fold, event_type, round(avg(value) FILTER (part <> fold), 6) AS train, round(avg(value) FILTER (part = fold), 6) AS test FROM p, f GROUP BY 1, 2""")
 def fold_means(spark, d):
-    p = levels(spark, d).withColumn("part", F.floor(F.col("level") / 3.0))
+    p = plays(spark, d).withColumn("part", F.floor(F.col("level") / 3.0))
     f = N.folds(p, "part")
     return f.groupBy("fold", "event_type").agg(F.round(F.avg(F.when(~F.col("is_test"), F.col("value"))), 6).alias("train"), F.round(F.avg(F.when(F.col("is_test"), F.col("value"))), 6).alias("test"))
 
@@ -154,10 +155,13 @@ CENT = """c AS (SELECT label, i, avg(embedding[i]) AS m FROM (SELECT label, embe
 SELECT a.label AS a, b.label AS b, round(sum(a.m * b.m) / (max(greatest(na.n, 1e-12)) * max(greatest(nb.n, 1e-12))), 6) AS similarity
 FROM c a JOIN c b ON a.i = b.i AND a.label <= b.label JOIN n na ON na.label = a.label JOIN n nb ON nb.label = b.label GROUP BY 1, 2""")
 def centroid_similarity(spark, d):
-    """Similarity matrix of class means: as many rows as there are pairs of classes."""
+    """Similarity matrix of class means: as many rows as there are pairs of classes, which meet by
+    the place of their elements."""
     c = N.mean_vectors(table(spark, d, "embeddings"), ["label"], "embedding")
-    a, b = c.select(F.col("label").alias("a"), F.col("vector").alias("va")), c.select(F.col("label").alias("b"), F.col("vector").alias("vb"))
-    return a.join(F.broadcast(b), F.col("a") <= F.col("b")).select("a", "b", F.round(N.cosine(F.col("va"), F.col("vb")), 6).alias("similarity"))
+    n = c.select("label", F.greatest(F.sqrt(N.dot(F.col("vector"), F.col("vector"))), F.lit(1e-12)).alias("n"), F.posexplode("vector").alias("i", "x"))
+    a = n.select("i", F.col("label").alias("a"), (F.col("x") / F.col("n")).alias("x"))
+    b = n.select("i", F.col("label").alias("b"), (F.col("x") / F.col("n")).alias("y"))
+    return a.join(b, "i").where("a <= b").groupBy("a", "b").agg(F.round(F.sum(F.col("x") * F.col("y")), 6).alias("similarity"))
 
 
 @query("valid_vectors", "SELECT CAST(count(*) FILTER (s <> 0) AS BIGINT) AS valid, CAST(count(*) AS BIGINT) AS n FROM (SELECT list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))) AS s FROM embeddings)")
@@ -230,10 +234,10 @@ def max_over_layers(spark, d):
 
 @query("common_parts", "WITH m AS (SELECT DISTINCT l_partkey, l_suppkey % 4 AS s FROM lineitem) SELECT l_partkey, CAST(row_number() OVER (ORDER BY l_partkey) - 1 AS BIGINT) AS place FROM (SELECT l_partkey FROM m GROUP BY 1 HAVING count(*) = (SELECT count(DISTINCT s) FROM m))")
 def common_parts(spark, d):
-    """The mask that all subjects share, with each voxel's place in it. The mask is one brain's."""
+    """The mask that all subjects share, with each voxel's place in it."""
     m = table(spark, d, "lineitem").select("l_partkey", (F.col("l_suppkey") % 4).alias("s")).distinct()
     c = R.in_all(m, ["l_partkey"], "s")
-    return c.select("l_partkey", (F.row_number().over(Window.orderBy("l_partkey")) - 1).cast("long").alias("place"))
+    return W.numbered(c, ["l_partkey"], "place")
 
 
 @query("missing_cells", """WITH e AS (SELECT n_nationkey AS nation, p.pr AS priority FROM nation, (SELECT DISTINCT o_orderpriority AS pr FROM orders) p),
@@ -241,9 +245,9 @@ h AS (SELECT DISTINCT c_nationkey AS nation, o_orderpriority AS priority FROM or
 SELECT nation, priority FROM e WHERE (nation, priority) NOT IN (SELECT nation, priority FROM h) AND nation % 5 <> 0""")
 def missing_cells(spark, d):
     o, n = table(spark, d, "orders"), table(spark, d, "nation").select(F.col("n_nationkey").alias("nation"))
-    pr = o.select(F.col("o_orderpriority").alias("priority")).distinct()
+    pr = checks.bounded(o.select(F.col("o_orderpriority").alias("priority")).distinct(), 1000, "priorities").agg(F.collect_list("priority").alias("p"))
     have = o.where("o_totalprice > 495000").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).select(F.col("c_nationkey").alias("nation"), F.col("o_orderpriority").alias("priority"))
-    expected = n.join(F.broadcast(pr))  # the two lists of a declared grid
+    expected = n.join(F.broadcast(pr)).select("nation", F.explode("p").alias("priority"))  # one row of priorities
     return R.missing_cells(expected, have, expected.where("nation % 5 = 0"), ["nation", "priority"])
 
 
@@ -256,9 +260,18 @@ def declared_rows(spark, d):
     return R.declared(x, c, ["model", "variant", "stream", "layer"]).groupBy("model", "variant", "layer").agg(F.count("*").alias("n"), F.round(F.sum("perf"), 4).alias("total"))
 
 
-@query("depth_layers")
+@query("depth_layers", f"""WITH RECURSIVE {RES}, d AS (SELECT DISTINCT model, subject, layer FROM res),
+q AS (SELECT model, count(DISTINCT subject) AS q FROM d GROUP BY 1),
+c AS (SELECT model, layer FROM d JOIN q USING (model) GROUP BY model, layer, q HAVING count(*) = q),
+h AS (SELECT model, list(CAST(layer AS BIGINT) ORDER BY layer) AS free FROM c GROUP BY 1),
+r(model, i, free, sel) AS (SELECT model, 0, free, CAST([] AS BIGINT[]) FROM h
+  UNION ALL SELECT model, i + 1, list_filter(free, lambda x: x <> got), list_append(sel, got)
+  FROM (SELECT *, list_sort(list_transform(free, lambda x: struct_pack(gap := abs(x - (1 + 11.0 * i / 2)), v := x)))[1].v AS got FROM r WHERE i < 3))
+SELECT model, CAST(unnest(sel) AS INTEGER) AS layer FROM r WHERE i = 3""")
 def depth_layers(spark, d):
-    return R.pick_depths(scores(spark, d), "model", "subject", "layer", 3)
+    """Three layers of each model by depth, as if the models had 12 layers."""
+    s = scores(spark, d)
+    return R.pick_depths(s, "model", "subject", "layer", 3, s.select("model").distinct().withColumn("n_layers", F.lit(12)))
 
 
 @query("rollup_panels", f"WITH {RES} SELECT model, variant, round(avg(perf), 4) AS v, CAST(count(*) AS BIGINT) AS n FROM res GROUP BY ROLLUP (model, variant)")
@@ -373,17 +386,28 @@ def numbered_objects(spark, d):
     return P.numbered_objects(plays(spark, d), ["user_id"], "event_type", "k", ["ts"])
 
 
-@query("within_budget", """WITH t AS (SELECT conv_id, turn, ceil(length(text) / 4.0) AS tk FROM conversations),
-r AS (SELECT *, sum(tk) OVER w AS s, row_number() OVER w AS n, count(*) OVER (PARTITION BY conv_id) AS c FROM t WHERE turn > 0 WINDOW w AS (PARTITION BY conv_id ORDER BY turn DESC ROWS UNBOUNDED PRECEDING)),
-k AS (SELECT *, greatest(coalesce(max(n) FILTER (s <= 200) OVER (PARTITION BY conv_id), 0), least(2, c)) AS keep FROM r),
-x AS (SELECT *, c - keep - (c - keep) % 2 AS dr FROM k)
-SELECT conv_id, turn FROM t WHERE turn = 0 UNION ALL SELECT conv_id, turn FROM x WHERE c - n >= dr""")
+@query("within_budget", """WITH t AS (SELECT conv_id, turn, CAST(ceil(length(text) / 4.0) AS BIGINT) AS tk, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY conv_id) - 1 AS n FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+s AS (SELECT *, sum(tk) OVER (PARTITION BY conv_id ORDER BY turn DESC) AS later FROM t),
+f AS (SELECT conv_id, max(tk) FILTER (i = 0) AS head FROM t GROUP BY 1),
+m AS (SELECT conv_id, count(*) FILTER (i > 0 AND i <= n - 2 AND head + later > 200) AS dropped FROM s JOIN f USING (conv_id) GROUP BY 1)
+SELECT conv_id, turn FROM t JOIN m USING (conv_id) WHERE i = 0 OR i > 2 * ceil(dropped / 2.0)""")
 def within_budget(spark, d):
     c = table(spark, d, "conversations")
     return P.within_budget(c, "conv_id", "turn", F.ceil(F.length("text") / 4.0), 200, 2).select("conv_id", "turn")
 
 
-@query("token_windows")
+WINDOWS = """WITH RECURSIVE t AS (SELECT conv_id, turn, CAST(ceil(length(text) / 4.0) AS BIGINT) AS n FROM conversations),
+s AS (SELECT conv_id, CAST(sum(n) OVER (PARTITION BY conv_id ORDER BY turn) - n AS BIGINT) AS pos, CAST(sum(n) OVER (PARTITION BY conv_id) AS BIGINT) AS total FROM t),
+l AS (SELECT conv_id, max(total) AS total, list(pos) AS msgs FROM s GROUP BY 1),
+w(conv_id, total, msgs, w, start) AS (SELECT conv_id, total, msgs, CAST(0 AS BIGINT), CAST(0 AS BIGINT) FROM l WHERE total > 0
+  UNION ALL SELECT conv_id, total, msgs, w + 1, coalesce(list_max(list_filter(msgs, lambda x: x > start AND x <= start + 100)), list_min(list_filter(msgs, lambda x: x > start)), least(start + 1, total - 1)) FROM w WHERE start + 200 < total),
+v AS (SELECT conv_id, w, start, least(start + 200, total) AS "end", start + (least(start + 200, total) - start) // 2 AS half FROM w),
+p AS (SELECT DISTINCT conv_id, pos FROM s),
+a AS (SELECT p.conv_id, pos, min(w) FILTER (pos >= half AND pos < "end") AS good, max(w) FILTER (pos >= start AND pos < "end") AS latest, max(half) FILTER (w = 0) AS half0 FROM p JOIN v USING (conv_id) GROUP BY 1, 2)
+SELECT conv_id, pos, w, start, "end" FROM (SELECT conv_id, pos, CASE WHEN pos < half0 THEN 0 ELSE coalesce(good, latest) END AS w FROM a) JOIN v USING (conv_id, w)"""
+
+
+@query("token_windows", WINDOWS)
 def token_windows(spark, d):
     c = table(spark, d, "conversations").select("conv_id", "turn", F.ceil(F.length("text") / 4.0).alias("n"))
     w = Window.partitionBy("conv_id").orderBy("turn")
@@ -394,9 +418,17 @@ def token_windows(spark, d):
     return P.assign_targets(targets, wins, ["conv_id"]).join(wins, ["conv_id", "w"])
 
 
-@query("advancement")
+ADVANCE = f"""WITH RECURSIVE {EV}, o AS (SELECT user_id, list(outcome ORDER BY ts, event_id) AS o FROM ev GROUP BY 1),
+r(user_id, o, i, level, tries, wins, losses, reason) AS (SELECT user_id, o, 0, 0, 0, 0, 0, '' FROM o
+  UNION ALL SELECT user_id, o, i + 1, CASE WHEN w >= 2 THEN level + 1 ELSE level END, CASE WHEN w >= 2 THEN 0 ELSE tries + 1 END, CASE WHEN w >= 2 THEN 0 ELSE w END, CASE WHEN w >= 2 THEN 0 ELSE l END,
+    CASE WHEN w >= 2 THEN '' WHEN l >= 3 THEN 'losses' WHEN tries + 1 >= 12 THEN 'budget' ELSE '' END
+  FROM (SELECT *, CASE WHEN o[i + 1] = 'win' THEN wins + 1 ELSE 0 END AS w, CASE WHEN o[i + 1] = 'loss' THEN losses + 1 ELSE 0 END AS l FROM r WHERE reason = '' AND i < len(o)))
+SELECT user_id, CAST(level AS INTEGER) AS level, CAST(i AS INTEGER) AS attempts, reason FROM r QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY i DESC) = 1"""
+
+
+@query("advancement", ADVANCE)
 def advancement(spark, d):
-    e = episode_rows(levels(spark, d), ["user_id"], ORDER)
+    e = episode_rows(plays(spark, d), ["user_id"], ORDER)
     return e.select("user_id", T.advancement(F.col("episode_outcomes"), 2, 3, 12).alias("a")).select("user_id", "a.*")
 
 
@@ -406,16 +438,19 @@ def failures_in_a_row(spark, d):
     return T.failures_in_a_row(plays(spark, d), ["user_id"], ORDER, F.col("event_type") == "error").select("event_id", "failures")
 
 
-EDGES = EV + """, e AS (SELECT DISTINCT k AS src, lead(k) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS dst FROM ev WHERE user_id < 20)"""
+STATES = EV + """, s AS (SELECT user_id, ts, event_id, event_type || ':' || k AS node FROM ev),
+e AS (SELECT DISTINCT node AS src, lead(node) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS dst FROM s)"""
 
 
-@query("reachable", f"""WITH RECURSIVE {EDGES}, g AS (SELECT src, dst FROM e WHERE dst IS NOT NULL AND dst > src AND dst <= src + 8),
-r(node, depth) AS (SELECT CAST(0 AS BIGINT), 0 UNION SELECT dst, depth + 1 FROM r JOIN g ON node = src)
+@query("reachable", f"""WITH RECURSIVE {STATES}, g AS (SELECT src, dst FROM e WHERE dst IS NOT NULL),
+r(node, depth) AS (SELECT DISTINCT src, 0 FROM g WHERE src LIKE '%:0' UNION SELECT dst, depth + 1 FROM r JOIN g ON node = src WHERE depth < 60)
 SELECT node, CAST(min(depth) AS INTEGER) AS depth FROM r GROUP BY 1""")
 def reachable(spark, d):
+    """States of all users (type and k of an event) by their steps from the states with k = 0."""
     w = Window.partitionBy("user_id").orderBy(*ORDER)
-    e = plays(spark, d).where("user_id < 20").select(F.col("k").alias("src"), F.lead("k").over(w).alias("dst")).where("dst > src and dst <= src + 8").distinct()
-    return G.breadth_first(e, spark.range(1).select(F.col("id").alias("node")))
+    s = plays(spark, d).withColumn("node", F.concat_ws(":", "event_type", F.col("k").cast("string")))
+    e = s.select(F.col("node").alias("src"), F.lead("node").over(w).alias("dst")).where("dst is not null").distinct()
+    return G.breadth_first(e, e.where("src like '%:0'").select(F.col("src").alias("node")))
 
 
 @query("transition_matrix", f"""WITH {EV}, t AS (SELECT event_type AS src, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS dst FROM ev), n AS (SELECT src, dst, count(*) AS n FROM t WHERE dst IS NOT NULL GROUP BY 1, 2)

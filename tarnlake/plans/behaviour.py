@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tarnlake.operators import episodes as E
 from tarnlake.operators import survival as S
 from tarnlake.operators import windows as W
-from tarnlake.plans.bindings import EPISODES, EV, levels, plays
+from tarnlake.plans.bindings import EPISODES, EV, plays
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -26,7 +26,7 @@ def query(name: str, sql: str | None = None):
 
 
 def eps(spark: SparkSession, d: str) -> DataFrame:
-    return E.episode_rows(levels(spark, d), PLAY, ORDER)
+    return E.episode_rows(plays(spark, d), PLAY, ORDER)
 
 
 @query("episode_rows", f"WITH {EPISODES} SELECT user_id, level, array_to_string(s, ',') AS steps, array_to_string(o, ',') AS outcomes, CAST(len(s) AS BIGINT) AS n FROM ep")
@@ -55,7 +55,7 @@ def win_streak(spark, d):
 
 
 @query("outcome_counts", f"""WITH {EV}, c AS (SELECT user_id, level, CASE WHEN event_type IN ('purchase', 'error') THEN event_type = 'purchase' END AS w, k >= 50 AS dead FROM ev)
-SELECT level, CASE WHEN w THEN 'win' WHEN w IS NULL AND dead THEN 'avatar_died' WHEN w IS NOT NULL THEN 'loss' ELSE 'incomplete' END AS outcome,
+SELECT level, CASE WHEN w THEN 'win' WHEN dead THEN 'avatar_died' WHEN w IS NOT NULL THEN 'loss' ELSE 'incomplete' END AS outcome,
   CAST(count(*) AS BIGINT) AS n, CAST(count(DISTINCT user_id) AS BIGINT) AS agents, CAST(count(w) AS BIGINT) AS finished FROM c GROUP BY 1, 2""")
 def outcome_counts(spark, d):
     p = plays(spark, d)
@@ -75,15 +75,24 @@ def sessions(spark, d):
     return p.groupBy("user_id", "session").agg(F.max("k").alias("frames"), F.count("*").alias("decisions"), out.alias("outcome"))
 
 
+#: The episode with which a level has its n wins in a row: the first win that is the n-th or a later
+#: one of its island.
+def streak_end(n: int) -> str:
+    return f"""se AS (SELECT user_id, level, min(i) AS i_end FROM (SELECT user_id, level, i, row_number() OVER (PARTITION BY user_id, level, outcome, isl ORDER BY i) AS nth
+  FROM g WHERE outcome = 'win') WHERE nth >= {n} GROUP BY 1, 2)"""
+
+
 def surv_sql(streak: int, after: bool = True) -> str:
-    seen = "m AND NOT blocked" if after else "m"
-    other = "lim" if after else "CASE WHEN realised IS NOT NULL THEN greatest(realised, 1) ELSE lim END"
-    return f"""{STREAK}, d AS (SELECT user_id, level, sum(steps) FILTER (fw IS NULL OR fw = 0 OR i <= fw) AS own, sum(steps) AS realised FROM epx GROUP BY ALL),
-lim AS (SELECT user_id, greatest(sum(realised), 1) AS lim FROM d GROUP BY 1),
-grid AS (SELECT user_id, lim, CAST(l AS INTEGER) AS level FROM lim, (SELECT unnest(range(0, 9)) AS l)),
-f AS (SELECT g.user_id, g.level, lim, own, realised, coalesce(streak >= {streak}, false) AS m FROM grid g LEFT JOIN d USING (user_id, level) LEFT JOIN st USING (user_id, level)),
-b AS (SELECT *, coalesce(bool_or(NOT m) OVER (PARTITION BY user_id ORDER BY level ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS blocked FROM f),
-sv AS (SELECT user_id, level, {seen} AS observed, CAST(CASE WHEN {seen} THEN own ELSE {other} END AS BIGINT) AS time FROM b)"""
+    """The first level of 0 to 8 without `streak` wins in a row is ff; levels after it are censored."""
+    seen = "(coalesce(fw, 0) > 0 AND (ff IS NULL OR gr9.level <= ff))" if after else "(coalesce(fw, 0) > 0)"
+    other = "lim" if after else "coalesce(realised, lim)"
+    return f"""{STREAK}, {streak_end(streak)},
+d AS (SELECT user_id, level, max(fw) AS fw, sum(steps) FILTER (i <= fw) AS own, sum(steps) AS realised FROM epx WHERE level <= 8 GROUP BY ALL),
+gr9 AS (SELECT user_id, CAST(l AS INTEGER) AS level FROM (SELECT DISTINCT user_id FROM epx), (SELECT unnest(range(0, 9)) AS l)),
+lim AS (SELECT u.user_id, greatest(coalesce(sum(realised), 0), 1) AS lim FROM (SELECT DISTINCT user_id FROM epx) u LEFT JOIN d USING (user_id) GROUP BY 1),
+ff AS (SELECT gr9.user_id, min(gr9.level) AS ff FROM gr9 LEFT JOIN se USING (user_id, level) WHERE i_end IS NULL GROUP BY 1),
+sv AS (SELECT gr9.user_id, gr9.level, {seen} AS observed, CAST(CASE WHEN {seen} THEN own ELSE {other} END AS BIGINT) AS time
+  FROM gr9 JOIN lim USING (user_id) LEFT JOIN ff USING (user_id) LEFT JOIN d ON d.user_id = gr9.user_id AND d.level = gr9.level)"""
 
 
 for _name, _streak, _after in (("survival_blocked", 1, True), ("survival_two_wins", 2, True), ("survival_unblocked", 1, False)):
@@ -93,8 +102,8 @@ for _name, _streak, _after in (("survival_blocked", 1, True), ("survival_two_win
         return S.survival_table(eps(spark, d), ["user_id"], 9, n, after)
 
 
-CAPPED = surv_sql(1) + """, cap AS (SELECT level, max(time) FILTER (observed) AS last FROM sv GROUP BY 1),
-cp AS (SELECT user_id, level, observed, CASE WHEN NOT observed AND last IS NOT NULL THEN last + 1 ELSE time END AS time FROM sv JOIN cap USING (level)),
+CAPPED = surv_sql(2) + """, cap AS (SELECT level, max(time) FILTER (observed) AS last FROM sv GROUP BY 1),
+cp AS (SELECT user_id, level, observed, CASE WHEN NOT observed AND time <= last THEN last + 1 ELSE time END AS time FROM sv JOIN cap USING (level)),
 gr AS (SELECT i AS point, pow(10.0, i * (4.0 / 40)) AS x FROM (SELECT unnest(range(0, 41)) AS i))"""
 
 
@@ -122,13 +131,13 @@ def survival_pool(spark, d):
     return curve(spark, d).groupBy("point").agg(F.round(F.avg("share"), 6).alias("share"), F.count("*").alias("n"))
 
 
-@query("solve_rate", f"{surv_sql(1)} SELECT level, round(100 * avg(CASE WHEN observed THEN 1.0 ELSE 0.0 END), 6) AS rate, CAST(count(*) AS BIGINT) AS n FROM sv GROUP BY level")
+@query("solve_rate", f"{surv_sql(2)} SELECT level, round(100 * avg(CASE WHEN observed THEN 1.0 ELSE 0.0 END), 6) AS rate, CAST(count(*) AS BIGINT) AS n FROM sv GROUP BY level")
 def solve_rate(spark, d):
     return S.survival_table(eps(spark, d), ["user_id"]).groupBy("level").agg(F.round(100 * F.avg(F.col("observed").cast("double")), 6).alias("rate"), F.count("*").alias("n"))
 
 
-@query("discovery_density", f"""{CAPPED}, v AS (SELECT level, log10(time) AS v FROM sv WHERE observed AND time > 0),
-n AS (SELECT level, count(*) AS n, stddev_samp(v) AS sd FROM v GROUP BY 1)
+@query("discovery_density", f"""{CAPPED}, v AS (SELECT level, log10(greatest(time, 1)) AS v FROM sv WHERE observed),
+n AS (SELECT level, count(*) AS n, stddev_pop(v) AS sd FROM v GROUP BY 1)
 SELECT level, CAST(point AS BIGINT) AS point, round(CASE WHEN max(n) >= 2 AND coalesce(max(sd), 0) >= 1e-10 THEN sum(exp(-0.5 * pow((log10(x) - v) / 0.3, 2))) / (max(n) * 0.3 * sqrt(2 * pi())) ELSE 0 END, 6) AS density
 FROM v JOIN n USING (level), gr GROUP BY level, point""")
 def discovery_density(spark, d):
@@ -151,9 +160,13 @@ def mean_sem(spark, d):
     return S.mean_sem(plays(spark, d), ["level", "outcome"], "value").withColumns({"mean": F.round("mean", 6), "sem": F.round("sem", 6)})
 
 
-@query("staircase", f"""{STREAK}, d AS (SELECT user_id, level, sum(steps) FILTER (fw IS NULL OR fw = 0 OR i <= fw) AS own, sum(steps) AS tot FROM epx GROUP BY ALL),
-rr AS (SELECT d.*, streak >= 1 AND level = row_number() OVER w - 1 AS hit, sum(tot) OVER w - tot + own AS steps FROM d JOIN st USING (user_id, level) WINDOW w AS (PARTITION BY user_id ORDER BY level))
-SELECT user_id, level, CAST(steps AS BIGINT) AS steps FROM (SELECT *, bool_and(hit) OVER (PARTITION BY user_id ORDER BY level) AS open FROM rr) WHERE open""")
+@query("staircase", f"""{STREAK}, {streak_end(2)},
+t AS (SELECT epx.user_id, epx.level, i_end IS NOT NULL AS done, sum(steps) FILTER (i_end IS NULL OR i <= i_end) AS taken
+  FROM epx LEFT JOIN se USING (user_id, level) WHERE level BETWEEN 0 AND 8 GROUP BY ALL),
+stop AS (SELECT u.user_id, min(l) AS l FROM (SELECT DISTINCT user_id FROM epx) u, (SELECT unnest(range(0, 10)) AS l) LEFT JOIN t ON t.user_id = u.user_id AND t.level = l WHERE coalesce(done, false) = false GROUP BY 1)
+SELECT user_id, CAST(0 AS INTEGER) AS point, CAST(0 AS BIGINT) AS steps, CAST(0 AS INTEGER) AS level FROM (SELECT DISTINCT user_id FROM epx)
+UNION ALL SELECT user_id, CAST(level + 1 AS INTEGER), CAST(sum(taken) OVER (PARTITION BY user_id ORDER BY level) AS BIGINT), CAST(CASE WHEN done THEN level + 1 ELSE level END AS INTEGER)
+FROM t JOIN stop USING (user_id) WHERE level <= l""")
 def staircase(spark, d):
     return S.staircase(eps(spark, d), ["user_id"])
 
@@ -191,11 +204,11 @@ def lag_one(spark, d):
     return r.agg(F.round(F.percentile("rho", 0.5), 6).alias("rho"), F.count("*").alias("n"))
 
 
-@query("whitened", f"{AR} SELECT event_id, round(value - rho * x, 4) AS white FROM p JOIN rho USING (user_id) WHERE x IS NOT NULL")
+@query("whitened", f"{AR} SELECT event_id, round(value - (SELECT median(rho) FROM rho) * x, 4) AS white FROM p WHERE x IS NOT NULL")
 def whitened(spark, d):
     p = plays(spark, d)
-    r = W.lag_one_correlation(p, ["user_id"], ORDER, "value")
-    return W.whitened(p.join(r, "user_id"), ["user_id"], ORDER, "value", "rho").select("event_id", F.round("white", 4).alias("white"))
+    r = W.lag_one_correlation(p, ["user_id"], ORDER, "value").agg(F.percentile("rho", 0.5).alias("rho"))
+    return W.whitened(p.join(F.broadcast(r)), ["user_id"], ORDER, "value", "rho").select("event_id", F.round("white", 4).alias("white"))  # one row
 
 
 @query("frame_stack", f"""WITH {EV} SELECT event_id, array_to_string(list_concat(list_resize(CAST([] AS BIGINT[]), 8 - len(l), f), l), ',') AS stack

@@ -18,7 +18,7 @@ EV = """ev AS (
 
 EPISODES = EV + """, ep AS (
   SELECT user_id, level, list(steps ORDER BY ts, event_id) AS s, list(outcome ORDER BY ts, event_id) AS o
-  FROM ev WHERE level BETWEEN 0 AND 8 GROUP BY ALL),
+  FROM ev GROUP BY ALL),
 epx AS (
   SELECT user_id, level, i, s[i] AS steps, o[i] AS outcome, list_position(o, 'win') AS fw, len(s) AS n
   FROM (SELECT *, unnest(range(1, len(s) + 1)) AS i FROM ep))"""
@@ -33,6 +33,3 @@ def plays(spark: SparkSession, sf_dir: str) -> DataFrame:
         (1 + F.floor(F.col("value") / 10)).cast("long").alias("steps"), outcome.alias("outcome"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("sec"),
     )
 
-
-def levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return plays(spark, sf_dir).where("level between 0 and 8")

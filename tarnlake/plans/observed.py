@@ -109,7 +109,16 @@ def log_lines(spark, d):
     return p.select("event_id", O.log_line(F.col("level"), F.expr("i div 5"), F.col("i"), F.col("event_type"), F.array("outcome", F.col("k").cast("string")), F.col("gain"), F.col("outcome")).alias("line"))
 
 
-@query("in_step")
+IN_STEP = f"""WITH RECURSIVE {EV}, n AS (SELECT user_id, level, event_type, count(*) AS n FROM ev GROUP BY 1, 2, 3),
+a AS (SELECT user_id, list(level ORDER BY level) AS ai, list(n ORDER BY level) AS an FROM n WHERE event_type = 'click' GROUP BY 1),
+b AS (SELECT user_id, list(level ORDER BY level) AS bj, list(n ORDER BY level) AS bm FROM n WHERE event_type = 'view' GROUP BY 1),
+r(user_id, ai, an, bj, bm, k, done, i, j) AS (SELECT user_id, ai, an, bj, bm, 0, 0, NULL::INTEGER, NULL::INTEGER FROM a JOIN b USING (user_id)
+  UNION ALL SELECT user_id, ai, an, bj, bm, k + 1, CASE WHEN p > 0 THEN done + p ELSE done END, CASE WHEN p > 0 THEN ai[k + 1] END, CASE WHEN p > 0 THEN bj[done + p] END
+  FROM (SELECT *, coalesce(list_position(bm[done + 1:], an[k + 1]), 0) AS p FROM r WHERE k < len(an)))
+SELECT user_id, i, j FROM r WHERE i IS NOT NULL"""
+
+
+@query("in_step", IN_STEP)
 def in_step(spark, d):
     n = plays(spark, d).groupBy("user_id", "level", "event_type").agg(F.count("*").alias("n"))
     a = n.where("event_type = 'click'").select("user_id", F.col("level").alias("i"), "n")
@@ -120,5 +129,5 @@ def in_step(spark, d):
 @query("relation_vectors")
 def relation_vectors(spark, d):
     t = F.collect_set(F.struct(F.concat(F.lit("u"), "level").alias("subject"), F.col("event_type").alias("relation"), F.col("outcome").alias("object")))
-    r = plays(spark, d).where("level < 9").groupBy("user_id").agg(F.array_sort(t).alias("t"))
-    return r.select("user_id", O.relation_vectors("t").alias("v")).select("user_id", *[F.round(F.col("v")[i], 6).alias(f"v{i}") for i in range(4)])
+    r = plays(spark, d).groupBy("user_id").agg(F.array_sort(t).alias("t"))
+    return r.select("user_id", O.relation_vectors("t").alias("v")).select("user_id", *[F.round(F.col("v")[i], 6).alias(f"v{i}") for i in range(64)])

@@ -32,19 +32,58 @@ def test_discovery_execution_streak(spark):
 
 
 def test_outcomes(spark):
-    rows = [(None, True, "avatar_died"), (None, False, "incomplete"), (False, False, "loss"), (True, True, "win")]
+    rows = [(None, True, "avatar_died"), (None, False, "incomplete"), (False, False, "loss"), (False, True, "avatar_died"), (True, True, "win")]
     df = spark.createDataFrame(rows, "w boolean, d boolean, want string")
     assert all(r.got == r.want for r in df.withColumn("got", E.any_match_outcome(F.col("w"), F.col("d"))).collect())
 
 
+EPS = "agent string, level int, episode_steps array<bigint>, episode_outcomes array<string>"
+
+
 def test_survival_and_censoring(spark):
-    eps = spark.createDataFrame([("a", 0, [5], ["win"]), ("a", 1, [4, 3], ["loss", "loss"]), ("a", 2, [2], ["win"]), (None, 0, [1], ["win"])], "agent string, level int, episode_steps array<bigint>, episode_outcomes array<string>")
-    got = {r.level: (r.time, r.observed) for r in S.survival_table(eps, ["agent"], 4).collect()}
+    eps = spark.createDataFrame([("a", 0, [5], ["win"]), ("a", 1, [4, 3], ["loss", "loss"]), ("a", 2, [2], ["win"]), (None, 0, [1], ["win"])], EPS)
+    got = {r.level: (r.time, r.observed) for r in S.survival_table(eps, ["agent"], 4, 1).collect()}
     assert got == {0: (5, True), 1: (14, False), 2: (14, False), 3: (14, False)}
     free = {r.level: (r.time, r.observed) for r in S.survival_table(eps, ["agent"], 4, censor_after_failure=False).collect()}
     assert free == {0: (5, True), 1: (7, False), 2: (2, True), 3: (14, False)}
 
 
+def test_a_win_without_a_streak_is_observed_but_blocks_what_follows(spark):
+    eps = spark.createDataFrame([("a", 0, [5, 7, 9], ["loss", "win", "loss"]), ("a", 1, [3, 3], ["win", "win"]), ("a", 9, [40], ["loss"])], EPS)
+    got = {r.level: (r.time, r.observed) for r in S.survival_table(eps, ["agent"], 3).collect()}
+    assert got == {0: (12, True), 1: (27, False), 2: (27, False)}
+    warm = {r.level: (r.time, r.observed) for r in S.survival_table(eps, ["agent"], 3, warmup=F.col("agent") == "a").collect()}
+    assert warm == {0: (52, True), 1: (67, False), 2: (67, False)}
+
+
+def test_only_censored_times_up_to_the_last_event_move(spark):
+    df = spark.createDataFrame([("g", 10, True), ("g", 4, False), ("g", 10, False), ("g", 500, False), ("h", 3, False)], "g string, time long, observed boolean")
+    assert sorted((r.g, r.time, r.observed) for r in S.cap_censored(df, ["g"]).collect()) == [("g", 10, True), ("g", 11, False), ("g", 11, False), ("g", 500, False), ("h", 3, False)]
+
+
+def test_staircase(spark):
+    eps = spark.createDataFrame([("a", 0, [5, 7, 9, 100], ["win", "win", "loss", "loss"]), ("a", 1, [4, 4], ["win", "win"]), ("a", 2, [1, 2], ["win", "loss"]), ("b", 1, [4], ["win"]), ("c", 0, [3], ["loss"])], EPS)
+    got = sorted((r.agent, r.point, r.steps, r.level) for r in S.staircase(eps, ["agent"]).collect())
+    assert got == [("a", 0, 0, 0), ("a", 1, 12, 1), ("a", 2, 20, 2), ("a", 3, 23, 2), ("b", 0, 0, 0), ("c", 0, 0, 0), ("c", 1, 3, 0)]
+
+
+def test_density_counts_values_below_one_as_one(spark):
+    grid = spark.createDataFrame([(0, 1.0), (1, 10.0)], "point long, x double")
+    df = spark.createDataFrame([("a", 0), ("a", 10), ("b", 5), ("b", 5), ("c", 7)], "g string, value long")
+    got = {(r.g, r.point): r.density for r in S.gaussian_density(df, ["g"], grid).collect()}
+    k = lambda z: math.exp(-0.5 * (z / 0.3) ** 2) / (2 * 0.3 * math.sqrt(2 * math.pi))
+    assert abs(got["a", 0] - (k(0) + k(1))) < 1e-12 and got["b", 0] == 0 and got["c", 1] == 0
+
+
+def test_within_budget(spark):
+    rows = [("a", i, 10) for i in range(10)] + [("b", i, 10) for i in range(9)] + [("c", 0, 500), ("c", 1, 10), ("c", 2, 10)]
+    df = spark.createDataFrame(rows, "c string, turn int, n int")
+    got = {}
+    for r in P.within_budget(df, "c", "turn", F.col("n"), 60, 2).collect():
+        got.setdefault(r.c, []).append(r.turn)
+    assert {c: sorted(t) for c, t in got.items()} == {"a": [0, 5, 6, 7, 8, 9], "b": [0, 5, 6, 7, 8], "c": [0, 1, 2]}
+
+
 def test_event_curve_is_the_product_limit(spark):
     rng = random.Random(4)
     rows = [("g", rng.randint(1, 50), rng.random() < 0.7) for _ in range(60)]
@@ -120,7 +159,7 @@ def test_selection(spark):
     df = spark.createDataFrame([("m", 1, 0.5), ("m", 2, 0.5), ("m", 3, 0.1), ("m", 4, 0.4)], "model string, layer int, v double")
     assert one(R.best(df, ["model"], "v", ["layer"])).layer == 1
     assert {r.pick: r.layer for r in R.ranked_pick(df, ["model"], "v", ["layer"]).collect()} == {"worst": 3, "median": 1, "best": 2}
-    assert R.depth_layers(9, 3, [1, 2, 3, 5, 9]) == [1, 5, 9] and R.depth_layers(2, 3, [4, 2]) == [2, 4]
+    assert R.depth_layers(9, 3, [1, 2, 3, 5, 9]) == [1, 5, 9] and R.depth_layers(32, 3, [5, 6, 7, 8, 9, 10]) == [5, 9, 10] and R.depth_layers(2, 3, [4, 2]) == [2, 4]
 
 
 def test_declared_rows_match_null(spark):
@@ -155,9 +194,19 @@ def test_delta_round_trip(spark):
 
 
 def test_token_windows(spark):
-    df = spark.createDataFrame([(50, list(range(0, 51, 5)), 20, 10), (50, [0, 8, 22, 37, 50], 20, 10)], "n long, at array<long>, w long, s long")
+    df = spark.createDataFrame([(50, list(range(0, 51, 5)), 20, 10), (50, [0, 8, 22, 37, 50], 20, 10), (100, [0, 20, 40, 60, 80], 200, 100), (24, [0], 20, 10), (0, [], 5, 1)], "n long, at array<long>, w long, s long")
     got = [r.x for r in df.select(P.token_windows("n", "at", "w", "s").alias("x")).collect()]
     assert got[0] == [[0, 20], [10, 30], [20, 40], [30, 50]] and [a for a, _ in got[1]] == [0, 8, 22, 37]
+    assert got[2] == [[0, 100]] and got[3] == [[i, min(i + 20, 24)] for i in range(5)] and got[4] == []
+    bad = spark.createDataFrame([(100, [0, 25], 50, 0)], "n long, at array<long>, w long, s long").select(P.token_windows("n", "at", "w", "s"))
+    with pytest.raises(Exception, match="stride"):
+        bad.collect()
+
+
+def test_assigned_targets(spark):
+    wins = spark.createDataFrame([(0, i, 10 * i, 10 * i + 20) for i in range(4)], "k int, w long, start long, end long")
+    t = spark.createDataFrame([(0, p) for p in (5, 15, 25, 35, 45)], "k int, pos long")
+    assert {r.pos: r.w for r in P.assign_targets(t, wins, ["k"]).collect()} == {5: 0, 15: 0, 25: 1, 35: 2, 45: 3}
 
 
 @pytest.mark.parametrize(("text", "want"), [('so {"action": "UP", "n": 1} then {', '{"action": "UP", "n": "1"}'), ('{broken ```json\n{"a": "b"}\n```', '{"a": "b"}'), ("none", None), (None, None), ('{"s": "}"}', '{"s": "}"}')])
@@ -203,3 +252,31 @@ def test_breadth_first_is_whole_or_raises(spark):
     assert G.breadth_first(e, start).count() == 6
     with pytest.raises(RuntimeError):
         G.breadth_first(e, start, most=3)
+
+
+def test_numbers_of_the_whole_table(spark):
+    rows = [(i * 37 % 101, "x") for i in range(101)]
+    got = W.numbered(spark.createDataFrame(rows, "v int, s string"), ["v"], "at", 7).collect()
+    assert sorted((r.v, r.at) for r in got) == [(i, i) for i in range(101)]
+
+
+def test_equal_left_rows_keep_their_match(spark):
+    l = spark.createDataFrame([(0, 1.0, {"a": 1}), (0, 1.0, {"a": 1}), (0, 9.0, None)], "k int, t double, m map<string,int>")
+    r = spark.createDataFrame([(0, 7, 1.05), (0, 6, 0.95)], "k int, rid int, u double")
+    assert [x.rid for x in A.nearest(l, r, ["k"], "t", "u", "rid", 0.1).collect()] == [6, 6]
+
+
+def test_contained(spark):
+    g = spark.createDataFrame([(0, "a", 5.0, 8.0), (0, "b", 5.0, 40.0), (0, "c", -1.5, 3.0)], "k int, grp string, g_min double, g_max double")
+    s = spark.createDataFrame([(0, 0.0, 10.0), (0, 4.0, 20.0), (1, 0.0, 99.0)], "k int, s_min double, s_max double")
+    got = sorted((r.grp, r.s_min, r.candidates) for r in A.contained(g, s, ["k"], 2.0, 6.0).collect())
+    assert got == [("a", 0.0, 2), ("a", 4.0, 2), ("c", 0.0, 1)]
+
+
+def test_large_means_do_not_cancel(spark):
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=200)
+    y = 0.5 * x + rng.normal(size=200)
+    df = spark.createDataFrame([("a", float(1e8 + u), float(1e8 + v), i) for i, (u, v) in enumerate(zip(x, y, strict=True))], "k string, x double, y double, i int")
+    assert abs(one(N.correlation(df, ["k"], "x", "y")).r - np.corrcoef(x + 1e8, y + 1e8)[0, 1]) < 1e-6
+    assert abs(one(W.lag_one_correlation(df, ["k"], ["i"], "y")).rho - np.corrcoef(y[1:] + 1e8, y[:-1] + 1e8)[0, 1]) < 1e-6
