@@ -8,6 +8,8 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 
 
 def groups(texts: list[bytes | None], most: int = 4_000_000) -> Iterator[tuple[int, int]]:
@@ -62,3 +64,8 @@ class WordTable:
         """The rows themselves."""
         at = self.rows(words)
         return self.values[at]
+
+
+def quoted(name: str) -> Column:
+    """The column of that very name, dots and backticks included."""
+    return F.col("`" + name.replace("`", "``") + "`")
