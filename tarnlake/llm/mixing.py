@@ -2,8 +2,10 @@
 
 Sainte-Lague gives each source an integer number of words for its target, and gives those in equal
 blocks to the source's shards by their sizes, to none more than it has when repeated as often as
-allowed; a shard takes its first blocks along a seeded order of its documents. All
-of that works on sums per (source, shard); no source and no shard passes through one task whole.
+allowed. A shard's documents stand in an order drawn by the seed, and its quota is filled with
+blocks along that order from the start, so that the seed selects what is taken and no more than one
+document of a shard is cut. All of that works on sums per (source, shard); no source and no shard
+passes through one task whole.
 """
 
 from __future__ import annotations
@@ -17,16 +19,21 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tarnlake.core.checks import bounded
 from tarnlake.core.session import table
 from tarnlake.core.shared import materialize
+from tarnlake.llm.words import quoted
 
 WORD = r"[^\x20\x09-\x0D]+"
 RE_WORD = re.compile(WORD)
 WEIGHTS = (1.0, 2.0, 3.0)
 MOST_REPEATS = 3
 BLOCK_WORDS = 64
-#: Documents per shard where there are many; else so many shards.
-SHARD_ROWS, LEAST_SHARDS = 50_000, 256
+#: Shards of a source, at every size of the table: at ten billion documents of one source a shard
+#: has about two million rows of three numbers.
+SHARDS = 4096
+#: Sources are planned on the driver, a row for each; more raise.
+MOST_SOURCES = 1_000_000
 
 
 def apportion(weights: list[float], seats: int) -> list[int]:
@@ -106,7 +113,7 @@ def deal_words(cells: list[int], words: int, most: int, block: int) -> list[int]
     return given
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST_REPEATS, block_words: int = BLOCK_WORDS, seed: int = 0, carry: tuple[str, ...] = ()) -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST_REPEATS, block_words: int = BLOCK_WORDS, shards: int = SHARDS, seed: int = 0, carry: tuple[str, ...] = ()) -> DataFrame:
     """What a mix of all documents (doc_id, text, source) takes of each.
 
     Returns doc_id, source, size, source_size, target, taken and the columns named in `carry`, a
@@ -115,19 +122,17 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST_
     text has size 0 and is never taken; a null doc_id is like any other; equal rows are taken one
     after the other. Reruns agree: the order of a shard is a hash of doc_id and seed.
 
-    The driver holds one row per source."""
+    The driver holds one row per source, of which there are at most MOST_SOURCES."""
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size")
     key = F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n"))
     narrow = materialize(docs.select(F.col("doc_id").cast("long"), key.alias("key"), size))
-    spark = docs.sparkSession
-    found = [(r["key"], r["n"], r["size"]) for r in narrow.groupBy("key").agg(F.count("*").alias("n"), F.sum("size").alias("size")).collect()]
+    sums = bounded(narrow.groupBy("key").agg(F.sum("size").alias("size")), MOST_SOURCES, "sources")
+    found = [(r["key"], r["size"]) for r in sums.collect()]
     found.sort(key=lambda x: (x[0] == "n", x[0]))
-    sizes = [x[2] for x in found]
+    sizes = [x[1] for x in found]
     target = targets(sizes, [weights[i % len(weights)] for i in range(len(found))], most)
-    total = sum(sizes)
-    quota = apportion(target, total)
-    plan = {k: (s, t, q) for (k, _, s), t, q in zip(found, target, quota, strict=True)}
-    shards = max(LEAST_SHARDS, sum(x[1] for x in found) // SHARD_ROWS)
+    quota = apportion(target, sum(sizes))
+    plan = {k: (s, t, q) for (k, s), t, q in zip(found, target, quota, strict=True)}
 
     def deal(cells: pd.DataFrame) -> pd.DataFrame:
         cells = cells.sort_values("shard")
@@ -143,7 +148,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST_
 
     rows, order = narrow, []
     if carry:
-        rows = docs.select(F.col("doc_id").cast("long"), key.alias("key"), size, *[F.col(c).alias(f"_c{i}") for i, c in enumerate(carry)])
+        rows = docs.select(F.col("doc_id").cast("long"), key.alias("key"), size, *[quoted(c).alias(f"_c{i}") for i, c in enumerate(carry)])
         order = [F.xxhash64(*[F.col(f"_c{i}") for i in range(len(carry))])]
     cell = Window.partitionBy("key", "shard").orderBy(F.xxhash64(F.lit(seed + 1), "doc_id"), "doc_id", "size", *order)
     rows = sharded(rows).withColumn("start", F.sum("size").over(cell.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
@@ -174,7 +179,7 @@ def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     """The mix itself with the columns of documents: a row for each whole pass over a document and
     one with its first words for what remains; n_chars is that of the text in the row."""
     names = {f"_d{i}": c for i, c in enumerate(docs.columns) if c not in ("doc_id", "source", "text")}
-    own = docs.select("doc_id", "source", "text", *[F.col(c).alias(n) for n, c in names.items()])
+    own = docs.select("doc_id", "source", "text", *[quoted(c).alias(n) for n, c in names.items()])
     rows = mix(own, carry=("text", *names), **how).where("taken > 0")
     passes = F.expr("taken div size").cast("int")
     rows = rows.withColumn("take", F.explode(F.concat(F.array_repeat("size", passes), F.expr("filter(array(taken % size), x -> x > 0)"))))
@@ -183,7 +188,7 @@ def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     back = {c: F.col(n) for n, c in names.items()}
     if "n_chars" in docs.columns:
         back["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType)
-    return rows.select(*[back.get(c, F.col(c)).alias(c) for c in docs.columns])
+    return rows.select(*[back.get(c, quoted(c)).alias(c) for c in docs.columns])
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
