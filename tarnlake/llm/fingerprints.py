@@ -14,6 +14,7 @@ from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,9 +27,9 @@ from tarnlake.llm.words import WordTable, words_of
 BITS = 128
 RADIUS, BLOCKS = 5, 7
 PAIR_WEIGHT = 2
-#: Characters of text in a range of neighbouring documents; beyond the most ranges they have more,
-#: which only makes longer tasks, as a range is streamed.
-RANGE_CHARS, LEAST_RANGES, MOST_RANGES = 4_000_000, 64, 4096
+#: Most characters of text in a range of neighbouring documents on average; there are at least as
+#: many ranges as shuffle partitions. A task streams a range in order.
+RANGE_CHARS = 256_000_000
 
 
 def fingerprint(h: np.ndarray) -> bytes:
@@ -67,44 +68,34 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(run, "doc_id long, fingerprint string")
 
 
-def neighbours(docs: DataFrame) -> DataFrame:
-    """Every row with the text of the next document: range, doc_id, text and the rows that a range
-    borrows from the following one (borrowed). Ascending doc_id, null first, ties by text.
+def neighbours(docs: DataFrame) -> tuple[DataFrame, int]:
+    """Every row with the text of the next document, and the number of ranges: range, doc_id, text
+    and the rows that a range borrows from the following one (borrowed). Ascending doc_id, null
+    first, ties by text.
 
-    The ranges of doc_id are cut so that each has a few MB of text; each borrows the first document
-    of the next range (the last of the first one), and so one shuffle brings neighbours together."""
+    Spark deals the ids alone into ranges; their first ids cut the table, each range borrows the first
+    document of the next one (the last of the first one), and so one shuffle of the texts brings
+    neighbours together. The first ids are one number for each RANGE_CHARS of text or shuffle
+    partition."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     key = F.coalesce("doc_id", F.lit(-(1 << 63)))
-    chars = rows.agg(F.sum(F.length("text")).alias("n"), F.count("*").alias("rows")).first()
-    n = min(MOST_RANGES, max(LEAST_RANGES, (chars["n"] or 0) // RANGE_CHARS))
-    cuts = rows.agg(F.percentile_approx(key, [i / n for i in range(1, n)], 100 * n).alias("c")).first()["c"] or []
-    cuts = sorted(set(cuts))
-    # the range is the number of cuts below the key; equal ids fall into one range
-    spark = docs.sparkSession
-    place = F.lit(0)
-    if cuts:
-        bounds = [-(1 << 63), *cuts, (1 << 63) - 1]
-        place = _bucket(key, bounds)
-    placed = rows.withColumn("range", place.cast("int"))
-    firsts = [(r["range"], r["first"]) for r in placed.groupBy("range").agg(F.min(key).alias("first")).orderBy("range").collect()]  # a row per range
+    chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
+    n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-chars // RANGE_CHARS))
+    dealt = rows.select(key.alias("key")).repartitionByRange(n, "key")
+    firsts = sorted(r["first"] for r in dealt.groupBy(F.spark_partition_id().alias("p")).agg(F.min("key").alias("first")).collect())
     if not firsts:
-        return placed.select("range", "doc_id", "text", F.lit(False).alias("borrowed"))
-    lend = spark.createDataFrame([(firsts[i][0], firsts[i][1], firsts[i - 1][0]) for i in range(len(firsts))], "range int, first long, to int")
-    lent = placed.join(F.broadcast(lend), "range").where(key == F.col("first"))
-    lent = lent.groupBy("to").agg(F.min(F.struct("doc_id", "text")).alias("d")).select(F.col("to").alias("range"), "d.doc_id", "d.text", F.lit(True).alias("borrowed"))
-    return placed.select("range", "doc_id", "text", F.lit(False).alias("borrowed")).union(lent)
-
+        return rows.select(F.lit(0).alias("range"), "doc_id", "text", F.lit(False).alias("borrowed")), 1
+    starts = np.asarray(firsts[1:], np.int64)
 
-def _bucket(key, bounds: list[int]):
-    """Index of the last bound that is at most key, by a balanced tree of comparisons."""
+    @F.pandas_udf("int")
+    def range_of(keys: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(starts, keys.to_numpy(np.int64), side="right").astype(np.int32))
 
-    def tree(lo: int, hi: int):
-        if hi - lo == 1:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(key < F.lit(bounds[mid]), tree(lo, mid)).otherwise(tree(mid, hi))
-
-    return tree(0, len(bounds) - 1)
+    placed = rows.withColumn("range", range_of(key))
+    lend = docs.sparkSession.createDataFrame([(first, i, (i or len(firsts)) - 1) for i, first in enumerate(firsts)], "first long, of int, to int")
+    lent = placed.join(F.broadcast(lend), (key == F.col("first")) & (F.col("range") == F.col("of")))  # a row per range
+    lent = lent.groupBy("to").agg(F.min(F.struct("doc_id", "text")).alias("d")).select(F.col("to").alias("range"), "d.doc_id", "d.text", F.lit(True).alias("borrowed"))
+    return placed.select("range", "doc_id", "text", F.lit(False).alias("borrowed")).union(lent), len(firsts)
 
 
 SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
@@ -132,9 +123,13 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def edits(docs: DataFrame) -> DataFrame:
-    """The columns of SCHEMA for every row of docs (doc_id, text); see op8_fingerprints."""
-    rows = neighbours(docs)
-    n = max(LEAST_RANGES, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    """For every row of docs (doc_id, text) its fingerprint and that of the edited text: the last half
+    of its characters (rounded down) replaced by the first as many of the next document, or all of
+    them; see SCHEMA. Next is by ascending doc_id, nulls first, equal ids by text; after the last
+    comes the first, and a single row follows itself. A null text is empty, its fingerprint zeros;
+    repeated rows stand one after the other; an empty table gives an empty result; other columns
+    are ignored."""
+    rows, n = neighbours(docs)
     dealt = rows.repartition(n, "range").sortWithinPartitions("range", "borrowed", F.col("doc_id").asc_nulls_first(), "text")
     return dealt.mapInArrow(_compare, SCHEMA)
 
@@ -149,7 +144,8 @@ def block_keys(fp: str | F.Column, radius: int = RADIUS, blocks: int = BLOCKS) -
 
 def within_radius(queries: DataFrame, corpus: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
     """Pairs (query fingerprint, corpus fingerprint, distance) within the radius, each distinct
-    fingerprint once; corpus rows with equal fingerprints are one entry with their number.
+    fingerprint once; corpus rows with equal fingerprints are one entry with their number (n_docs)
+    and their smallest id (first_doc, null where all are null). Null fingerprints meet nothing.
 
     Tables hold a key and the bits as two numbers; what else an entry has joins the pairs found."""
     entry = corpus.groupBy("fingerprint").agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("first_doc"))
@@ -174,11 +170,14 @@ def _text(name: str) -> F.Column:
 
 
 def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fingerprints of all documents and of their edited texts. n_within, for each document whose
-    id is divisible by 100 (null elsewhere), counts the documents within the radius of its
-    fingerprint, itself included."""
+    """Fingerprints of all documents and of their edited texts, see edits(). For each document whose
+    id is divisible by 100 (null elsewhere): n_within counts the documents within the radius of its
+    fingerprint, itself included, classes_within their distinct fingerprints, and first_within is the
+    smallest of their ids."""
     got = materialize(edits(table(spark, sf_dir, "documents")))
     asked = got.where("doc_id % 100 = 0")
-    near = within_radius(asked, got.select("doc_id", "fingerprint")).groupBy("query").agg(F.sum("n_docs").alias("n_within"))
-    counted = asked.select("doc_id", F.col("fingerprint").alias("query")).distinct().join(near, "query").select(F.col("doc_id").alias("_id"), "n_within").groupBy("_id").agg(F.sum("n_within").alias("n_within"))
-    return got.join(counted, F.col("doc_id") == F.col("_id"), "left").drop("_id")
+    near = within_radius(asked, got.select("doc_id", "fingerprint")).groupBy("query")
+    near = near.agg(F.sum("n_docs").alias("n_within"), F.count("*").alias("classes_within"), F.min("first_doc").alias("first_within"))
+    counted = asked.select("doc_id", F.col("fingerprint").alias("query")).join(near, "query")
+    counted = counted.select(F.col("doc_id").alias("_id"), F.col("query").alias("_fp"), "n_within", "classes_within", "first_within").distinct()
+    return got.join(counted, (F.col("doc_id") == F.col("_id")) & (F.col("fingerprint") == F.col("_fp")), "left").drop("_id", "_fp")

@@ -41,3 +41,21 @@ def test_block_tables_find_all_within_the_radius(spark):
     hexes = {f for _, f in rows}
     want = {(q, f, (int(q, 16) ^ int(f, 16)).bit_count()) for _, q in rows[:40] for f in hexes}
     assert got == {x for x in want if x[2] <= S.RADIUS}
+
+
+def test_null_ids_and_fingerprints(spark):
+    df = spark.createDataFrame([(None, "0" * 32), (None, "0" * 32), (4, "f" * 32), (5, None)], "doc_id long, fingerprint string")
+    got = sorted((r.query, r.n_docs, r.first_doc) for r in S.within_radius(df, df).collect())
+    assert got == [("0" * 32, 2, None), ("f" * 32, 1, 4)]
+
+
+def test_more_ranges_than_documents(docs_of):
+    """Neighbours across ranges, with many rows of one id."""
+    rows = [(i // 3, f"text {i} " + "word " * (i % 7)) for i in range(100)]
+    got = {(r.doc_id, r.edited_sha256) for r in S.edits(docs_of(rows).repartition(9)).collect()}
+    rows.sort()
+    want = set()
+    for k, (i, t) in enumerate(rows):
+        half = len(t) // 2
+        want.add((i, hashlib.sha256((t[: len(t) - half] + rows[(k + 1) % len(rows)][1][:half]).encode()).hexdigest()))
+    assert got == want
