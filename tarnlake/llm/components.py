@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnlake.core.shared import materialize
+from tarnlake.core.shared import materialize, release
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -29,7 +29,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a")
         small = small.select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e"))
-        now = materialize(small.select("e.a", "e.b").where("a <> b").distinct())
+        last, now = now, materialize(small.select("e.a", "e.b").where("a <> b").distinct())
+        release(last)
         after = mark(now)
         if after == before:
             break

@@ -8,8 +8,11 @@ the full sets.
 
 Candidates of a bucket are not all its pairs: first each member meets the bucket's centre, and
 buckets whose members then are in one component need no more. What is still apart within a bucket
-is compared in blocks of bounded size, exactly. So a large group of near copies costs a few
-comparisons a member, no pairs are written, and no link between components is given up.
+meets in blocks of bounded size, first by signatures with the same bounds; the few pairs that these
+leave are decided on the full sets, and groups in which they leave many are compared exactly, block
+by block. So a large group of near copies costs a few comparisons a member, a large group of
+documents that only look alike costs signatures, no group's pairs are written, and no link between
+components is given up but by the chosen miss probability.
 """
 
 from __future__ import annotations
@@ -27,13 +30,15 @@ from pyspark.sql import functions as F
 from tarnlake.core.session import table
 from tarnlake.core.shared import materialize
 from tarnlake.llm.components import components
-from tarnlake.llm.words import WordTable, words_of
+from tarnlake.llm.words import WordTable, free_name, words_of
 
 
 @dataclass(frozen=True)
 class Settings:
     """A pair at the threshold shares no band with probability (1 - percent**rows) ** bands, about
-    2e-5; `miss` is the posterior below which a pair is dropped."""
+    2e-5; `miss` is the posterior below which a pair is dropped. Signatures are compared in blocks of
+    `block` documents; two such blocks send up to `few` pairs to the exact check one by one, and
+    groups with blocks that leave more are compared by their sets."""
 
     width: int = 5
     percent: int = 75
@@ -42,10 +47,12 @@ class Settings:
     checks: int = 128
     batch: int = 16
     miss: float = 1e-4
+    block: int = 1024
+    few: int = 1024
     seed: int = 11
 
 
-#: Bounds of a block in the last comparison: documents, and bytes of their sets (one document may have more).
+#: Bounds of a block of sets: documents, and bytes of their sets (one document may have more).
 BLOCK_DOCS, BLOCK_BYTES = 256, 2_000_000
 
 
@@ -255,57 +262,103 @@ def _blocks(s: Settings):
     return run
 
 
-def _between(members: DataFrame, labels: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
+def _alike(s: Settings):
+    """Arrow batches of two blocks of one group (at, left, right; members with id, component,
+    signature and size) to the pairs of different components that may reach the threshold; where
+    there are more than s.few, only the group, with null ids."""
+    least = drop_below(s)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, a, b = [], [], []
+            for group, left, right in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                ids, parts, sizes = ([np.asarray([m[f] for m in side]) for side in (left, right)] for f in ("doc_id", "component", "n"))
+                x, y = (np.frombuffer(b"".join(m["sig"] for m in side), np.uint8).reshape(len(side), s.checks) for side in (left, right))
+                alive = parts[0][:, None] != parts[1][None, :]
+                alive &= 100 * np.minimum(sizes[0][:, None], sizes[1][None, :]) >= s.percent * np.maximum(sizes[0][:, None], sizes[1][None, :])
+                equal = np.zeros(alive.shape, np.uint8)
+                for k in range(s.batch):
+                    equal += x[:, k, None] == y[None, :, k]
+                i, j = np.nonzero(alive & (equal >= least[0]))
+                equal = equal[i, j].astype(np.int64)
+                for k, need in enumerate(least[1:], 1):
+                    cols = slice(k * s.batch, (k + 1) * s.batch)
+                    equal += (x[i, cols] == y[j, cols]).sum(1)
+                    keep = equal >= need
+                    i, j, equal = i[keep], j[keep], equal[keep]
+                if len(i) > s.few:
+                    at.append([group]), a.append([None]), b.append([None])
+                elif len(i):
+                    at.append([group] * len(i)), a.append(ids[0][i].tolist()), b.append(ids[1][j].tolist())
+            flat = lambda v, t: pa.array([x for part in v for x in part], t)
+            yield pa.RecordBatch.from_arrays([flat(at, batch.schema.field(0).type), flat(a, pa.int64()), flat(b, pa.int64())], ["at", "a", "b"])
+
+    return run
+
+
+def _in_blocks(rows: DataFrame, blocks: DataFrame, member: list[str]) -> DataFrame:
+    """at, left, right: members of a group dealt into its number of blocks (at, blocks), each block
+    with itself and with those after it."""
+    dealt = rows.join(blocks, "at").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    made = materialize(dealt.groupBy("at", "block", "blocks").agg(F.collect_list(F.struct(*member)).alias("left")))
+    each = made.select("at", "left", F.explode(F.sequence(F.col("block"), F.col("blocks") - 1)).alias("other"))
+    return each.join(made.select("at", F.col("block").alias("other"), F.col("left").alias("right")), ["at", "other"]).select("at", "left", "right")
+
+
+def _between(members: DataFrame, labels: DataFrame, sigs: DataFrame, texts: DataFrame, verified, s: Settings) -> DataFrame:
     """Links that the comparisons with the centres didn't find: between members of one bucket that
-    are still in different components, decided exactly.
+    are still in different components.
 
     Buckets that overlap make one group where that means fewer comparisons than bucket by bucket.
-    A group is dealt into blocks of bounded size, and blocks meet in tasks of their own: a large
-    group is neither gathered nor are its pairs written, only the links found."""
+    A group is dealt into blocks of bounded size, and blocks meet in tasks of their own."""
     rows = members.join(labels, F.col("doc_id") == F.col("id"), "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("component"))
-    keys = rows.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.min("doc_id").alias("low"), F.count("*").cast("double").alias("m")).where("x < y")
+    keys = materialize(rows.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.min("doc_id").alias("low"), F.count("*").cast("double").alias("m")).where("x < y"))
     rows = materialize(rows.join(keys.select("key", "low", "m"), "key"))
     groups = components(rows.where("doc_id <> low").select(F.col("doc_id").alias("a"), F.col("low").alias("b")))
     rows = rows.join(groups.select(F.col("id").alias("doc_id"), F.col("component").alias("grp")), "doc_id")
     rows = materialize(rows)
-    cost = rows.groupBy("grp").agg(F.sum("m").alias("by_key"), F.approx_count_distinct("doc_id").cast("double").alias("n"))
-    small = rows.join(cost.withColumn("whole", F.col("n") * F.col("n") <= F.col("by_key")).select("grp", "whole"), "grp")
+    # small tables of their own: a join in the partitions of an aggregate can't split a large group
+    cost = materialize(rows.groupBy("grp").agg(F.sum("m").alias("by_key"), F.approx_count_distinct("doc_id").cast("double").alias("n")))
+    rows = rows.join(cost.select("grp", (F.col("n") * F.col("n") <= F.col("by_key")).alias("whole")), "grp")
     at = F.when(F.col("whole"), F.struct(F.lit(0).cast("long").alias("key"), "grp")).otherwise(F.struct("key", "grp"))
-    at = small.select(at.alias("at"), "doc_id", "component").distinct()
-    need = at.select("doc_id").distinct()
-    sets = materialize(texts.join(need, "doc_id", "left_semi").mapInArrow(_sets(s), "doc_id long, shingles binary"))
-    full = at.join(sets, "doc_id")
-    size = at.join(sets.select("doc_id", F.length("shingles").alias("bytes")), "doc_id").groupBy("at").agg(F.sum("bytes").alias("bytes"), F.count("*").alias("n"))
-    size = size.select("at", F.greatest(F.ceil(F.col("n") / BLOCK_DOCS), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int").alias("blocks"))
-    dealt = full.join(size, "at").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-    blocks = materialize(dealt.groupBy("at", "block", "blocks").agg(F.collect_list(F.struct("doc_id", "component", "shingles")).alias("side")))
-    left = blocks.select("at", "side", F.explode(F.sequence(F.col("block"), F.col("blocks") - 1)).alias("other"))
-    pairs = left.join(blocks.select("at", F.col("block").alias("other"), F.col("side").alias("right")), ["at", "other"]).select("side", "right")
-    return pairs.mapInArrow(_blocks(s), "a long, b long").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    rows = materialize(rows.select(at.alias("at"), "doc_id", "component").distinct())
+    blocks = materialize(rows.groupBy("at").agg(F.ceil(F.count("*") / s.block).cast("int").alias("blocks")))
+    described = rows.join(sigs.withColumnRenamed("n_shingles", "n"), "doc_id")
+    pairs = _in_blocks(described, blocks, ["doc_id", "component", "sig", "n"])
+    alike = materialize(pairs.mapInArrow(_alike(s), "at struct<key:long,grp:long>, a long, b long"))
+    few = alike.where("a is not null").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    found = verified(few)
+
+    rows = materialize(rows.join(alike.where("a is null").select("at").distinct(), "at", "left_semi"))
+    sets = materialize(texts.join(rows.select("doc_id").distinct(), "doc_id", "left_semi").mapInArrow(_sets(s), "doc_id long, shingles binary"))
+    size = rows.join(sets.select("doc_id", F.length("shingles").alias("bytes")), "doc_id").groupBy("at").agg(F.sum("bytes").alias("bytes"), F.count("*").alias("n"))
+    blocks = materialize(size.select("at", F.greatest(F.ceil(F.col("n") / BLOCK_DOCS), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int").alias("blocks")))
+    pairs = _in_blocks(rows.join(sets, "doc_id"), blocks, ["doc_id", "component", "shingles"]).select("left", "right")
+    exact = pairs.mapInArrow(_blocks(s), "a long, b long").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    return found.union(exact).distinct()
 
 
 def near_duplicates(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row of docs (doc_id, text).
 
     Words are runs between ASCII white space after A-Z became a-z. A null or empty text has no
-    shingles and is linked with nothing. Rows that share a doc_id count as one document in the
-    links; a null doc_id has a null component and is kept. An empty table gives an empty result.
-    Texts are read whole; other columns are ignored."""
+    shingles and is linked with nothing. Rows that share a doc_id count as one document, linked with
+    what any of their texts is linked with; a null doc_id has a null component and is kept. An empty
+    table gives an empty result. Texts are read whole; other columns are ignored."""
     raw = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     base = materialize(raw.mapInArrow(describe(s), "doc_id long, n_shingles long, set_low long, set_high long, sig binary, bands array<long>"))
     some = base.where("n_shingles > 0 and doc_id is not null")
     copies = some.groupBy("set_low", "set_high").agg(F.min("doc_id").alias("rep"), F.count("*").alias("c")).where("c > 1").drop("c")
     copies = materialize(copies)
-    narrow = some.select("doc_id", "set_low", "set_high")
-    copy_edges = narrow.join(copies, ["set_low", "set_high"]).where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    copy_edges = materialize(copy_edges.distinct())
-    nodes = some.join(copy_edges.select(F.col("a").alias("doc_id")), "doc_id", "left_anti")
+    copied = materialize(some.select("doc_id", "set_low", "set_high").join(copies, ["set_low", "set_high"]).where("doc_id <> rep").distinct())
+    copy_edges = copied.select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    nodes = some.join(copied, ["doc_id", "set_low", "set_high"], "left_anti")
 
     keys = nodes.select("doc_id", F.explode("bands").alias("key"))
-    full = keys.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("key", "low")
-    members = materialize(keys.join(full, "key"))  # key, doc_id, low: buckets of two classes at least
+    full = materialize(keys.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("key", "low"))
+    members = materialize(keys.join(full, "key").distinct())  # key, doc_id, low: buckets of two documents at least
     active = members.select("doc_id").distinct()
-    sigs = materialize(nodes.select("doc_id", "sig", "n_shingles").join(active, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    sigs = materialize(nodes.select("doc_id", "sig", "n_shingles").join(active, "doc_id", "left_semi").distinct())
     texts = materialize(raw.join(active, "doc_id", "left_semi"))
 
     def verified(pairs: DataFrame) -> DataFrame:
@@ -314,14 +367,14 @@ def near_duplicates(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
         right = sigs.select(F.col("doc_id").alias("b"), F.col("sig").alias("sb"), F.col("n_shingles").alias("nb"))
         fit = f"100 * least(na, nb) >= {s.percent} * greatest(na, nb)"  # else the sizes alone rule it out
         both = pairs.join(right, "b").join(left, "a").where(fit).select("a", "b", "sa", "sb")
-        likely = materialize(both.mapInArrow(_prune(s), "a long, b long"))
+        likely = materialize(both.mapInArrow(_prune(s), "a long, b long").distinct())
         ta, tb = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
         held = likely.join(tb, "b").join(ta, "a").select("a", "b", "ta", "tb")
         return materialize(held.mapInArrow(_confirm(s), "a long, b long").distinct())
 
     tried = materialize(members.where("doc_id <> low").select(F.col("doc_id").alias("a"), F.col("low").alias("b")).distinct())
     edges = verified(tried)
-    edges = materialize(edges.union(_between(members, components(edges), texts, s)))
+    edges = materialize(edges.union(_between(members, components(edges), sigs, texts, verified, s)))
     label = materialize(components(edges.union(copy_edges)))
     out = base.select("doc_id", "n_shingles").join(label, F.col("doc_id") == F.col("id"), "left")
     component = F.coalesce("component", "doc_id")
@@ -330,8 +383,9 @@ def near_duplicates(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
 
 def without_near_duplicates(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     """docs without all but the first document of each group. Of equal rows one stays as well."""
-    gone = near_duplicates(docs, s).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.dropDuplicates(["doc_id", "text"]).join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    gone_id = free_name("_gone", docs)
+    gone = near_duplicates(docs, s).where("not kept").select(F.col("doc_id").alias(gone_id)).distinct()
+    return docs.dropDuplicates(["doc_id", "text"]).join(gone, F.col("doc_id") == F.col(gone_id), "left_anti")
 
 
 def op5_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:

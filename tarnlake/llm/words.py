@@ -8,7 +8,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -69,3 +69,11 @@ class WordTable:
 def quoted(name: str) -> Column:
     """The column of that very name, dots and backticks included."""
     return F.col("`" + name.replace("`", "``") + "`")
+
+
+def free_name(name: str, *tables: DataFrame) -> str:
+    """name, or name with underscores after it, that none of the tables has."""
+    taken = {c.lower() for t in tables for c in t.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

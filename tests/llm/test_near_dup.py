@@ -29,10 +29,10 @@ def brute(rows):
     return {i: find(i) for i in ids}
 
 
-def check(docs):
+def check(docs, s=D.Settings()):
     rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
     want = brute(rows)
-    got = D.near_duplicates(docs).collect()
+    got = D.near_duplicates(docs, s).collect()
     assert len(got) == len(rows)
     for r in got:
         if r.doc_id is None:
@@ -57,6 +57,26 @@ def test_group_of_borderline_copies(docs_of):
             w[rng.randrange(len(w))] = f"e{i}x{rng.randrange(999)}"
         rows.append((i, " ".join(w)))
     rows += [(1000 + i, " ".join(f"o{rng.randrange(10**6)}" for _ in range(40))) for i in range(30)]
+    docs = docs_of(rows)
+    check(docs)
+    check(docs, D.Settings(block=16, few=4))  # groups whose blocks leave many pairs are compared by sets
+
+
+def test_documents_that_only_look_alike(docs_of):
+    """A long passage in common puts all into the same buckets; few of them are linked."""
+    rng = random.Random(7)
+    passage = [f"p{i}" for i in range(100)]
+    own = lambda n: [f"o{rng.randrange(10**6)}" for _ in range(n)]
+    rows = [(i, " ".join(passage + own(45 + i % 30))) for i in range(150)]
+    rows += [(500 + i, rows[i][1] + " " + " ".join(own(8))) for i in range(0, 40, 2)]
+    check(docs_of(rows))
+    check(docs_of(rows), D.Settings(block=32, few=10_000))
+
+
+def test_texts_of_one_id(docs_of):
+    """An id with two texts is linked with the copies of both."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(1, a), (2, b), (9, a + " tail"), (9, b + " tail"), (9, c), (30, c), (31, "x y z"), (31, "x y z")]
     check(docs_of(rows))
 
 
