@@ -74,7 +74,7 @@ OTHER_LICENCES = [
     "Licensed under the Academic Free License version 3.0", "Licensed under the Artistic License 2.0", "Licensed under the European Union Public Licence 1.2", "Licensed under the Common Development and Distribution License", "Licensed under the Microsoft Public License", "Released under the Boost Software License",
     "Released under the zlib license", "Released under the Open Software License", "Distributed under the SIL Open Font License", "Distributed under the terms of the Python Software Foundation License", "Licensed under the Business Source License 1.1", "Do what the fuck you want to public license", "This code is licensed under its own terms",
     "Licensed under the terms of the agreement that comes with this product", "This model is licensed under a community license agreement", "Use is permitted for evaluation only under the trial license", "You are granted a limited, revocable, non-exclusive license to use the material", "By using this software you agree to the terms of the end user license agreement",
-    "Veröffentlicht unter einer freien Lizenz", "Publié sous licence libre", "Publicado bajo una licencia libre", "Lizenziert unter den Bedingungen der Lizenz", "Distribué sous licence", "The licensee may not sublicense or assign this licence",
+    "Steht unter einer freien Lizenz", "Disponible sous licence libre", "Publicado bajo una licencia libre", "Lizenziert unter den Bedingungen der Lizenz", "Distribué sous licence", "Dieses Werk steht unter einer Lizenz", "Freigegeben unter der Lizenz", "Alle Rechte nach der Lizenz", "Cette oeuvre est sous licence", "Esta obra está bajo una licencia", "The licensee may not sublicense or assign this licence",
 ]
 #: Text with the same words that is no notice.
 OTHERS = [
@@ -89,7 +89,8 @@ OTHERS = [
 #: Talk about licences; {} is a licence's name.
 TALK = ["The {} was discussed by the committee", "a talk about the {} and its history", "we compare the {} with others", "what does the {} say", "the court had to interpret the {}", "the {} is popular among developers", "why I don't like the {}"]
 NAMES = ["MIT License", "Apache License", "GNU General Public License", "GPL", "BSD license", "Mozilla Public License", "Eclipse Public License", "Creative Commons Attribution license", "ISC license", "public domain"]
-STOP = frozenset("a an and any are as at be been by for from has have if in into is it its may no not of on or our shall that the their they this to under was we were will with you your 0 1 2 3 4 5".split())
+STOP = frozenset(("a an and any are as at be been by for from has have if in into is it its may no not of on or our shall that the their they this to under was we were will with you your about all do does don here he her his i only other out own she so t up what why "
+                 "bajo de den der des die ein eine einer la le les sous su un una und unter 0 1 2 3 4 5").split())
 UNKNOWN, NONE = "unknown", "none"
 WORDS = r"[a-z0-9]+(?:[.][0-9]+)*"
 #: A family is named from this calibrated probability on, and confirmed from this share of a
@@ -234,8 +235,11 @@ def units(rows: DataFrame, model: Model) -> DataFrame:
     lines = rows.where("lines is not null").select("row", F.posexplode("lines").alias("i", "l")).select("row", "i", "l.*")
     lines = lines.select(
         "row", "i", (F.sum(F.col("length") + 1).over(run) - F.col("length") - 1).alias("start"), "length", "blank", F.sum(F.col("blank").cast("int")).over(run).alias("paragraph"),
-        F.when(F.lag("tail").over(order).isNotNull() & F.col("head").isNotNull(), F.concat_ws(" ", F.lag("tail").over(order), "head")).alias("across"), "ws",
+        F.array(F.lag("tail").over(order), "head").alias("ends"), "ws",
     ).where("not blank")
+    telling = F.array(*[F.lit(w) for w in model.telling()])
+    across = F.when(F.arrays_overlap("ends", telling) & ~F.array_contains(F.transform("ends", F.isnull), True), F.array_join("ends", " "))
+    lines = lines.withColumn("across", across).drop("ends", "blank")
     lines = materialize(lines)
     spans = lines.groupBy("row", "paragraph").agg(F.min("start").alias("p_start"), F.max(F.col("start") + F.col("length")).alias("p_end"), F.count("*").alias("n"))
     own = lines.where("ws is not null").select("row", "i", "paragraph", F.explode(word_grams(F.col("ws"))).alias("gram")).join(vocabulary, "gram")
