@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tarnlake.plans import analysis, behaviour, observed
+from tarnlake.plans import analysis, behaviour, matched, observed
 
-QUERIES: dict = {**behaviour.QUERIES, **analysis.QUERIES, **observed.QUERIES}
-ORACLES: dict[str, str] = {**behaviour.ORACLES, **analysis.ORACLES, **observed.ORACLES}
+QUERIES: dict = {**behaviour.QUERIES, **analysis.QUERIES, **observed.QUERIES, **matched.QUERIES}
+ORACLES: dict[str, str] = {**behaviour.ORACLES, **analysis.ORACLES, **observed.ORACLES, **matched.ORACLES}
