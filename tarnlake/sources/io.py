@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 SPRITE = T.StructType().add("id", "integer").add("key", "string").add("col", "double").add("row", "double").add("alive", "boolean")
 FRAME = T.StructType().add("time", "integer").add("realworld_ts", "double").add("source_play_id", "string").add("score", "double").add("ended", "boolean").add("win", "integer").add("keyPressType", "string").add("effectListByClass", T.ArrayType(T.ArrayType(T.StringType()))).add("sprites", T.MapType(T.StringType(), T.ArrayType(SPRITE)))
-PLAY = T.StructType().add("_id", "string").add("subj_id", "integer").add("run_id", "integer").add("play_id", "integer").add("game_name", "string").add("level_id", "integer").add("win", "boolean").add("score", "double").add("state_start", "integer").add("state_count", "integer").add("outcome", "string")
+PLAY = T.StructType().add("_id", "string").add("subj_id", "integer").add("run_id", "integer").add("play_id", "integer").add("game_name", "string").add("level_id", "integer").add("win", "boolean").add("score", "double").add("state_start", "integer").add("state_count", "integer").add("outcome", "string").add("source_document_index", "integer").add("scanner", T.StructType().add("subj_id", "integer").add("run_id", "integer").add("scan_start_ts", "double"))
 STEP = T.StructType().add("step", "integer").add("level", "integer").add("attempt", "integer").add("action", "string").add("state_index", "integer").add("reward", "double").add("won", "boolean").add("lose", "boolean").add("response", T.MapType(T.StringType(), T.StringType()))
 RECORD = T.StructType().add("schema", "string").add("schema_version", "integer").add("subject", "string").add("game", "string").add("source", "string").add("plays", T.ArrayType(PLAY)).add("states", T.ArrayType(FRAME)).add("steps", T.ArrayType(STEP))
 
