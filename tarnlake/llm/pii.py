@@ -22,6 +22,7 @@ from pyspark.sql import types as T
 
 from tarnlake.core.session import table
 from tarnlake.core.shared import materialize
+from tarnlake.llm.words import quoted
 
 KINDS = ("email", "ip", "card", "phone")
 #: A pair of entity and term counts from so many documents on.
@@ -177,16 +178,28 @@ BITS = 1 << 25
 FREQUENT = 50_000
 
 
+SPACES = frozenset(" \t\n\x0b\x0c\r")
+
+
+def standing(text: str, word: str) -> Iterator[int]:
+    """Where a word stands between white space."""
+    at = text.find(word)
+    while at >= 0:
+        end = at + len(word)
+        if (at == 0 or text[at - 1] in SPACES) and (end == len(text) or text[end] in SPACES):
+            yield at
+        at = text.find(word, at + 1)
+
+
 def _places(bits: bytes):
     """(doc_id, row, text) to the words that may be disclosing terms, by `bits`."""
 
-    def find_places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[bytes, bool] = {}
-
-        def may(word: str) -> int | None:
-            h = term(word)
-            return h if h is not None and bits[(h % BITS) >> 3] >> (h % 8) & 1 else None
+    def may(word: str) -> int | None:
+        h = term(word)
+        return h if h is not None and bits[(h % BITS) >> 3] >> (h % 8) & 1 else None
 
+    def find_places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[bytes, int | None] = {}
         for b in batches:
             out: list[tuple] = []
             for doc, key, text in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
@@ -194,16 +207,19 @@ def _places(bits: bytes):
                     continue
                 if len(known) > TERM_TABLE:
                     known.clear()
-                some = False
-                for w in set(text.encode().split()):
+                some = []
+                for w in set(text.encode().split()):  # at ASCII white space, as RE_WORD
                     if w not in known:
-                        known[w] = may(w.decode().strip(PUNCT)) is not None
-                    some |= known[w]
-                if some:
-                    for word, start, end in words(text, find(text)):
-                        h = may(word) if known.get(word.encode(), True) else None
-                        if h is not None:
-                            out.append((doc, key, h, start, end))
+                        known[w] = may(w.decode().strip(PUNCT))
+                    if known[w] is not None:
+                        some.append((w.decode(), known[w]))
+                spans = find(text) if some else []
+                for raw, h in some:
+                    word = raw.strip(PUNCT)
+                    head = raw.find(word)
+                    for at in standing(text, raw):
+                        if not any(at + len(raw) > s and at < e for _, s, e in spans):
+                            out.append((doc, key, h, at + head, at + head + len(word)))
             cols = list(zip(*out, strict=True)) or [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.int64()] * 3 + [pa.int32()] * 2, strict=True)], ["doc_id", "row", "term", "start", "end"])
 
@@ -293,7 +309,7 @@ def sanitise(docs: DataFrame) -> DataFrame:
     both = both.withColumn("text", sanitised("text", "_tl_terms"))
     if "n_chars" in docs.columns:
         both = both.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return both.select(*docs.columns)
+    return both.select(*[quoted(c) for c in docs.columns])
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,3 +1,5 @@
+import math
+import random
 import re
 
 from hypothesis import given, settings
@@ -64,3 +66,53 @@ def test_terms_go_wherever_they_stand(docs_of):
     assert all(got[i] == {"Zebulon\u00a0Quirk", "zebulon's", "quirkish"} for i in range(4))
     assert got[5] == {"Quirkish"} and not any(got[10 + i] for i in range(200))
     assert {r.doc_id: r.text for r in P.sanitise(docs).collect()}[5] == "a note on ([TERM]) things by the weather"
+
+
+def disclosing_by_hand(rows):
+    """Spans of the terms by the definition: documents counted one by one, no hashes, no shortcuts."""
+    space = re.compile(r"[^\x20\x09-\x0D]+")
+    docs = []
+    for i, t in rows:
+        spans = P.find(t or "")
+        words = [(m.start(), m.end()) for m in space.finditer(t or "")]
+        free = [(a, b) for a, b in words if not any(b > s and a < e for _, s, e in spans)]
+        clean = []
+        for a, b in free:
+            raw = t[a:b]
+            w = raw.strip(P.PUNCT)
+            if any(c.isalpha() for c in w):
+                at = a + raw.find(w)
+                clean.append((w.lower(), at, at + len(w)))
+        every = {t[a:b].strip(P.PUNCT).lower() for a, b in words}
+        docs.append((i, {P.entity(k, t[a:b]) for k, a, b in spans}, clean, every))
+    n = len(rows)
+    share = {}
+    for e in set().union(*(d[1] for d in docs)):
+        with_e = [d for d in docs if e in d[1]]
+        if len(with_e) < P.SUPPORT or len(with_e) == n:
+            continue
+        for w in set().union(*({x for x, _, _ in d[2]} for d in with_e)):
+            both, n_w = sum(any(x == w for x, _, _ in d[2]) for d in with_e), sum(w in d[3] for d in docs)
+            if both >= P.SUPPORT and n_w >= P.SUPPORT:
+                s = math.log(n * both / (n_w * len(with_e))) / math.log(n / len(with_e))
+                if s >= P.GENERALISE:
+                    share[w] = max(s, share.get(w, 0))
+    return {i: [(a, b, share[w] >= P.REMOVE) for w, a, b in clean if w in share] for i, _, clean, _ in docs}
+
+
+def test_terms_against_counts_by_hand(docs_of):
+    rng = random.Random(11)
+    common = [f"word{i}" for i in range(25)]
+    rows = []
+    for i in range(90):
+        ws = rng.choices(common, k=rng.randint(3, 20))
+        if i % 3 == 0:
+            who = rng.randrange(8)
+            ws.insert(rng.randrange(len(ws)), f"mail u{who}@mail.org")
+            ws += rng.sample([f"(Name{who})", f"place{who // 2},", f"job{who // 4}", "12", "--"], 3)
+        elif i % 7 == 0:
+            ws.append(f"name{rng.randrange(8)}")
+        rows.append((i, rng.choice([" ", "\n", " \t"]).join(ws)))
+    want = disclosing_by_hand(rows)
+    got = {r.doc_id: [(x.start, x.end, x.remove) for x in r.terms or []] for r in P.spans(docs_of(rows)).collect()}
+    assert got == {i: sorted(w) for i, w in want.items()} and sum(map(len, got.values())) > 20
