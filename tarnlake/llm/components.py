@@ -13,7 +13,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
     Large star, then small star, until nothing changes: each step takes the minimum of a node's
     neighbours, which combines before the shuffle, and joins it back to the node's edges, which
-    splits where a node has very many. No neighbour list is ever gathered. Each round is written
+    splits where a node has very many, as the minima are a table of their own. No neighbour list is ever gathered. Each round is written
     to the shared folder, so that lost executors cost one round at most."""
     now = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
 
@@ -24,13 +24,13 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     before = mark(now)
     for _ in range(rounds):
         both = now.union(now.select("b", "a"))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(low, "a").where("b > a and b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a")
+        first = materialize(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
+        large = materialize(both.join(first, "a").where("b > a and b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
+        second = materialize(large.groupBy("a").agg(F.min("b").alias("m")))
+        small = large.join(second, "a")
         small = small.select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e"))
         last, now = now, materialize(small.select("e.a", "e.b").where("a <> b").distinct())
-        release(last)
+        release(last, first, large, second)
         after = mark(now)
         if after == before:
             break
