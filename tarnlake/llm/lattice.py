@@ -3,9 +3,13 @@
 A word's lattice has an arc for every piece of an existing vocabulary that spells a part of it,
 and one arc for the whole word if training texts have it. The forward recursion sums over all
 segmentations in log space and gives the word's marginal probability; a text's probability is the
-product over its words and its end. Piece probabilities come from the training words as the
-vocabulary's tokenizer cuts them, the mass of the whole-word arcs from the share of words seen
-once (Good-Turing).
+product over its words and its end. A word is a piece with the start mark and pieces without, so
+that the lattices of all words have a mass of at most 1; whole-word arcs and the end share the rest
+of the mass, which is the share of training tokens seen more than once (Good-Turing).
+
+The vocabulary's scores are the ranks of its pieces. They give the first probabilities, falling with
+1 / rank (Zipf), and rounds of expectation-maximisation on the lattices of the training words fit
+them: a round counts how often each piece is expected over all segmentations.
 
 No word count passes through the driver or one task: a task turns its texts into blocks, each with
 the block's distinct words; words meet their counts by a shuffle of (block, word), a row per word
@@ -36,6 +40,8 @@ BLOCK_BYTES = 20_000_000
 #: Training documents: crc32(doc_id as text) mod HELD_MOD isn't HELD_REST.
 HELD_MOD, HELD_REST = 7, 2
 LOG10 = math.log(10)
+#: Rounds of expectation-maximisation, and what each piece has beside what is expected of it.
+ROUNDS, PSEUDO = 1, 0.5
 
 
 def default_vocabulary() -> str:
@@ -44,12 +50,13 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
-def pieces_of(path: str) -> list[str]:
-    """The vocabulary's pieces; unused and control ones are empty, bytes are <0x..>."""
+def pieces_of(path: str) -> tuple[list[str], list[float]]:
+    """The vocabulary's pieces and their scores; unused and control ones are empty, bytes are <0x..>."""
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
-    return ["" if sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i) else sp.id_to_piece(i) for i in range(sp.get_piece_size())]
+    ids = range(sp.get_piece_size())
+    return ["" if sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i) else sp.id_to_piece(i) for i in ids], [sp.get_score(i) for i in ids]
 
 
 DOC, WORD = 0, 1
@@ -89,20 +96,23 @@ def _block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _cut(path: str):
-    """Training words and counts to counts of the vocabulary's pieces, by task."""
+def ranked(pieces: list[str], scores: list[float]) -> np.ndarray:
+    """Probabilities that fall with 1 / rank by the scores, the highest first; empty pieces have none."""
+    known = np.asarray([bool(p) for p in pieces])
+    rank = np.empty(len(pieces))
+    rank[np.argsort(-np.asarray(scores), kind="stable")] = np.arange(1, len(pieces) + 1)
+    p = np.where(known, 1 / rank, 0.0)
+    return p / max(p.sum(), 1e-300)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import sentencepiece
 
-        sp = sentencepiece.SentencePieceProcessor(model_file=path)
-        total = np.zeros(sp.get_piece_size(), np.int64)
+def _expect(pieces: list[str], sent):
+    """Training words and counts to expected counts of pieces over all segmentations, by task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lattice, total = Lattice(pieces, sent.value), np.zeros(len(pieces))
         for b in batches:
-            if not b.num_rows:
-                continue
-            cut = sp.encode([w.decode("utf-8", "replace") for w in b.column(0).to_pylist()], num_threads=1)
-            times = np.repeat(b.column(1).to_numpy(zero_copy_only=False), [len(c) for c in cut])
-            np.add.at(total, np.concatenate([np.asarray(c, np.int64) for c in cut]), times)
+            for w, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                lattice.expect(w.decode("utf-8", "replace"), c, total)
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[used])], ["piece", "n"])
 
@@ -113,22 +123,61 @@ class Lattice:
     """Log probabilities of words under unigram pieces. Prefixes of pieces are in the table too,
     so that the arcs from a place end with the first string that begins no piece."""
 
-    def __init__(self, pieces: list[str], counts: np.ndarray):
-        known = np.asarray([bool(p) for p in pieces])
-        p = np.where(known, counts + 0.5, 0.0)
-        logp = np.log(np.maximum(p, 1e-300) / p.sum())
+    def __init__(self, pieces: list[str], p: np.ndarray):
+        """p: probabilities of the pieces, of sum 1 (0 for empty ones)."""
+        logp = np.log(np.maximum(p, 1e-300))
         self.byte = [-30.0] * 256
         self.bytes_of: dict[str, float] = {}
         self.arcs: dict[str, float | None] = {}
-        for s, lp in zip(pieces, logp.tolist(), strict=True):
+        self.place: dict[str | int, int] = {}
+        for i, (s, lp) in enumerate(zip(pieces, logp.tolist(), strict=True)):
             if s.startswith("<0x") and len(s) == 6:
                 self.byte[int(s[3:5], 16)] = lp
+                self.place[int(s[3:5], 16)] = i
             elif s:
                 self.arcs[s] = lp
+                self.place[s] = i
         for s in list(self.arcs):
             for k in range(1, len(s)):
                 self.arcs.setdefault(s[:k], None)
 
+    def expect(self, text: str, times: float, total: np.ndarray) -> None:
+        """Adds to total how often each piece is expected in `times` words, by the forward and the
+        backward recursion."""
+        s = START + text
+        n = len(s)
+        get, exp, log, inf = self.arcs.get, math.exp, math.log, math.inf
+        ahead, arcs = [-inf] * (n + 1), [[] for _ in range(n)]
+        ahead[0] = 0.0
+        for i in range(n):
+            a = ahead[i]
+            lp = get(s[i], 0.0)
+            out = [(i + 1, lp or self.spelled(s[i]), None if lp else s[i])]
+            if lp != 0.0:
+                for j in range(i + 2, n + 1):
+                    lp = get(s[i:j], 0.0)
+                    if lp:
+                        out.append((j, lp, None))
+                    elif lp is not None:
+                        break
+            arcs[i] = out
+            for j, lp, _ in out:
+                x, y = ahead[j], a + lp
+                ahead[j] = y if x == -inf else (max(x, y) + log(1 + exp(-abs(x - y))))
+        behind = [-inf] * n + [0.0]
+        for i in range(n - 1, -1, -1):
+            ways = [lp + behind[j] for j, lp, _ in arcs[i]]
+            m = max(ways)
+            behind[i] = m + log(sum([exp(v - m) for v in ways]))
+            for (j, _, spelt), v in zip(arcs[i], ways, strict=True):
+                e = times * exp(ahead[i] + v - ahead[n])
+                if spelt is None:
+                    total[self.place[s[i:j]]] += e
+                else:
+                    for byte in spelt.encode("utf-8", "replace"):
+                        if byte in self.place:
+                            total[self.place[byte]] += e
+
     def word(self, text: str) -> float:
         """Forward recursion over the word with its start mark: what arrives at a place is summed
         when its own arcs are followed. A character that is no piece is spelled by its bytes."""
@@ -176,14 +225,14 @@ def _lattice(pieces: list[str], sent):
     return run
 
 
-def score(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
+def score(docs: DataFrame, vocabulary: str | None = None, rounds: int = ROUNDS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row of docs.
 
     Tokens are the words (runs between ASCII white space, A-Z as a-z) and one end. base_score adds
     log10((c + 1) / (N + V + 1)) over the tokens; score is log10 of
-    (1 - u) c / N + u L for each word, L its lattice, u the share of training tokens that occur
-    once, and c / N for the end. Null and empty texts are an end only; a null doc_id isn't held
-    out; repeated rows count each. Without training rows u is 1 and the end has (c + 1) / (N + 1).
+    (1 - u) c / N + u L for each word and (1 - u) c / N for the end, L the word's lattice and u the
+    share of training tokens that occur once. Null and empty texts are an end only; a null doc_id
+    isn't held out; repeated rows count each. Without training rows the end has 1/2, words L / 2.
     An empty table gives an empty result; other columns are ignored."""
     path = vocabulary or default_vocabulary()
     spark = docs.sparkSession
@@ -197,24 +246,28 @@ def score(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     sums = counts.agg(F.sum("c").alias("n"), F.sum((F.col("c") > 0).cast("long")).alias("v"), F.sum((F.col("c") == 1).cast("long")).alias("once")).first()
     total = int(sums["n"] or 0) + ends
     types = int(sums["v"] or 0) + (ends > 0)
-    unseen = min(1.0, max((sums["once"] or 0), 1) / total) if total else 1.0
-
-    pieces = pieces_of(path)
-    piece_counts = np.zeros(len(pieces), np.int64)
-    cut = counts.where("c > 0").mapInArrow(_cut(path), "piece int, n long").groupBy("piece").agg(F.sum("n").alias("n"))
-    for r in cut.collect():  # a row per piece of the vocabulary at most
-        piece_counts[r["piece"]] = r["n"]
-    sent = spark.sparkContext.broadcast(piece_counts)
+    unseen = min(0.5, max((sums["once"] or 0), 1) / total) if total else 0.5
+
+    pieces, scores = pieces_of(path)
+    p = ranked(pieces, scores)
+    for _ in range(rounds if total > ends else 0):
+        sent = spark.sparkContext.broadcast(p)
+        each = counts.where("c > 0").select("word", "c").mapInArrow(_expect(pieces, sent), "piece int, n double").groupBy("piece").agg(F.sum("n").alias("n"))
+        p = np.where(p > 0, PSEUDO, 0.0)
+        for r in each.collect():  # a row per piece of the vocabulary at most
+            p[r["piece"]] += r["n"]
+        p /= p.sum()
+    sent = spark.sparkContext.broadcast(p)
     scored = counts.mapInArrow(_lattice(pieces, sent), "word binary, c long, lattice double")
     base = F.log10((F.col("c") + 1) / F.lit(float(total + types + 1)))
     lat = F.col("lattice") / LOG10 + math.log10(unseen)
     seen = F.log10(F.col("c") * F.lit((1 - unseen) / max(total, 1)))
-    mixed = F.when((F.col("c") == 0) | F.lit(unseen >= 1), lat).otherwise(F.greatest(seen, lat) + F.log10(1 + F.pow(F.lit(10.0), -F.abs(seen - lat))))
+    mixed = F.when(F.col("c") == 0, lat).otherwise(F.greatest(seen, lat) + F.log10(1 + F.pow(F.lit(10.0), -F.abs(seen - lat))))
     scored = scored.select("word", F.col("c").alias("c"), base.alias("base"), mixed.alias("score"))
     back = words.select("block", "word", "at").join(scored, "word").select("block", "at", (F.col("c") > 0).alias("known"), "base", "score")
 
     end_base = math.log10((ends + 1) / (total + types + 1))
-    end_score = math.log10(ends / total) if ends else math.log10((ends + 1) / (total + 1))
+    end_score = math.log10((1 - unseen) * (ends / total if ends else 1.0))
     end_known = int(ends > 0)
 
     def add(docs: pd.DataFrame, table: pd.DataFrame) -> pd.DataFrame:
