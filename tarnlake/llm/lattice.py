@@ -42,6 +42,8 @@ HELD_MOD, HELD_REST = 7, 2
 LOG10 = math.log(10)
 #: Rounds of expectation-maximisation, and what each piece has beside what is expected of it.
 ROUNDS, PSEUDO = 1, 0.5
+#: Characters of words whose expected counts are taken on probabilities.
+SHORT = 40
 
 
 def default_vocabulary() -> str:
@@ -109,12 +111,13 @@ def _expect(pieces: list[str], sent):
     """Training words and counts to expected counts of pieces over all segmentations, by task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattice, total = Lattice(pieces, sent.value), np.zeros(len(pieces))
+        lattice, total = Lattice(pieces, sent.value), [0.0] * len(pieces)
         for b in batches:
             for w, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 lattice.expect(w.decode("utf-8", "replace"), c, total)
-        used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[used])], ["piece", "n"])
+        n = np.asarray(total)
+        used = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(n[used])], ["piece", "n"])
 
     return run
 
@@ -140,12 +143,17 @@ class Lattice:
         for s in list(self.arcs):
             for k in range(1, len(s)):
                 self.arcs.setdefault(s[:k], None)
+        #: Probability and number of pieces, () for strings that only begin one.
+        self.probable = {s: () if lp is None else (math.exp(lp), self.place[s]) for s, lp in self.arcs.items()}
 
-    def expect(self, text: str, times: float, total: np.ndarray) -> None:
+    def expect(self, text: str, times: float, total: list[float]) -> None:
         """Adds to total how often each piece is expected in `times` words, by the forward and the
-        backward recursion."""
+        backward recursion: on probabilities where a word is so short that none can vanish, else on
+        their logarithms."""
         s = START + text
         n = len(s)
+        if n <= SHORT and self._expect_short(s, times, total):
+            return
         get, exp, log, inf = self.arcs.get, math.exp, math.log, math.inf
         ahead, arcs = [-inf] * (n + 1), [[] for _ in range(n)]
         ahead[0] = 0.0
@@ -178,6 +186,38 @@ class Lattice:
                         if byte in self.place:
                             total[self.place[byte]] += e
 
+    def _expect_short(self, s: str, times: float, total: list[float]) -> bool:
+        """expect() on probabilities; False, and nothing is added, if a character is spelled by bytes."""
+        n, get = len(s), self.probable.get
+        ahead, arcs = [0.0] * (n + 1), []
+        ahead[0] = 1.0
+        for i in range(n):
+            a, out = ahead[i], []
+            got = get(s[i])
+            if not got:
+                return False
+            for j in range(i + 1, n + 1):
+                if j > i + 1:
+                    got = get(s[i:j])
+                    if got is None:
+                        break
+                    if not got:
+                        continue
+                ahead[j] += a * got[0]
+                out.append((j, got))
+            arcs.append(out)
+        if ahead[n] < 1e-280:
+            return False
+        behind = [0.0] * n + [times / ahead[n]]
+        for i in range(n - 1, -1, -1):
+            b, a = 0.0, ahead[i]
+            for j, (p, k) in arcs[i]:
+                way = p * behind[j]
+                b += way
+                total[k] += a * way
+            behind[i] = b
+        return True
+
     def word(self, text: str) -> float:
         """Forward recursion over the word with its start mark: what arrives at a place is summed
         when its own arcs are followed. A character that is no piece is spelled by its bytes."""

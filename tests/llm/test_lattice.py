@@ -70,6 +70,12 @@ def test_expected_counts_are_those_of_all_segmentations():
             for x in pieces:
                 want[PIECES.index(x) if isinstance(x, str) else PIECES.index("<0x63>")] += times * q / sum(v for v, _ in cuts)
     assert np.allclose(got, want)
+    long, short = np.zeros(len(PIECES)), np.zeros(len(PIECES))
+    lat.expect("ab" * 15, 2, short)
+    L.SHORT, before = 0, L.SHORT
+    lat.expect("ab" * 15, 2, long)
+    L.SHORT = before
+    assert np.allclose(short, long) and short.sum() > 0
 
 
 def test_mass_is_at_most_one():
