@@ -300,6 +300,7 @@ def _in_blocks(rows: DataFrame, blocks: DataFrame, member: list[str]) -> DataFra
     """at, left, right: members of a group dealt into its number of blocks (at, blocks), each block
     with itself and with those after it."""
     dealt = rows.join(blocks, "at").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    dealt = dealt.repartition("at", "block")  # else the blocks of a group are gathered where the join put the group
     made = materialize(dealt.groupBy("at", "block", "blocks").agg(F.collect_list(F.struct(*member)).alias("left")))
     each = made.select("at", "left", F.explode(F.sequence(F.col("block"), F.col("blocks") - 1)).alias("other"))
     return each.join(made.select("at", F.col("block").alias("other"), F.col("left").alias("right")), ["at", "other"]).select("at", "left", "right")
