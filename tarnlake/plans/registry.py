@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from tarnlake.plans import analysis, behaviour, matched, observed
+from tarnlake.plans import analysis, behaviour, matched, observed, recorded
 
-QUERIES: dict = {**behaviour.QUERIES, **analysis.QUERIES, **observed.QUERIES, **matched.QUERIES}
-ORACLES: dict[str, str] = {**behaviour.ORACLES, **analysis.ORACLES, **observed.ORACLES, **matched.ORACLES}
+PLANS = (behaviour, analysis, observed, matched, recorded)
+QUERIES: dict = {name: f for plan in PLANS for name, f in plan.QUERIES.items()}
+ORACLES: dict[str, str] = {name: sql for plan in PLANS for name, sql in plan.ORACLES.items()}
