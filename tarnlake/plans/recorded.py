@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tarnlake.operators import catalog as C
+from tarnlake.operators import texts as X
 from tarnlake.operators import trials as T
 from tarnlake.plans.behaviour import ORDER
 from tarnlake.plans.bindings import EV, plays
@@ -166,3 +167,46 @@ def contradicted(spark, d):
     named = F.regexp_extract(F.concat(F.lit("sub-"), (F.col("user_id") % 10).cast("string"), F.lit(".npz")), r"^sub-(\d+)\.npz$", 1)
     rows = plays(spark, d).select("event_id", F.when(F.col("k") % 3 == 0, F.col("k") % 10).alias("subject"), named.alias("named"))
     return C.contradicted(rows, {"subject": "named"}).select("event_id")
+
+
+@query("wall_texts", f"""WITH {EV}, w AS (SELECT user_id, k % 5 AS x, steps % 5 AS y FROM ev WHERE event_type <> 'view'), d AS (SELECT DISTINCT * FROM w),
+up AS (SELECT *, EXISTS (SELECT 1 FROM d b WHERE b.user_id = a.user_id AND b.x = a.x AND b.y = a.y - 1) AS below FROM d a), ui AS (SELECT *, sum(CASE WHEN below THEN 0 ELSE 1 END) OVER (PARTITION BY user_id, x ORDER BY y) AS isle FROM up),
+tall AS (SELECT user_id, x, isle, min(y) AS a, max(y) AS b FROM ui GROUP BY ALL HAVING count(*) > 2), l AS (SELECT d.* FROM d WHERE NOT EXISTS (SELECT 1 FROM tall t WHERE t.user_id = d.user_id AND t.x = d.x AND d.y BETWEEN t.a AND t.b)),
+si AS (SELECT *, sum(CASE WHEN EXISTS (SELECT 1 FROM l b WHERE b.user_id = l.user_id AND b.y = l.y AND b.x = l.x - 1) THEN 0 ELSE 1 END) OVER (PARTITION BY user_id, y ORDER BY x) AS isle FROM l),
+wide AS (SELECT user_id, y, isle, min(x) AS a, max(x) AS b FROM si GROUP BY ALL),
+parts AS (SELECT user_id, 0 AS n, x AS f, a AS s, '(' || x || ', ' || a || '-' || b || ')' AS t FROM tall UNION ALL SELECT user_id, 1, y, a, '(' || a || '-' || b || ', ' || y || ')' FROM wide WHERE b > a UNION ALL SELECT user_id, 2, a, y, '(' || a || ', ' || y || ')' FROM wide WHERE b = a),
+r AS (SELECT user_id, count(*) AS c, string_agg(t, ', ' ORDER BY n, f, s) AS t FROM parts GROUP BY 1)
+SELECT user_id, CASE WHEN c > 20 THEN (SELECT count(*) FROM w WHERE w.user_id = r.user_id) || ' wall positions (borders)' ELSE t END AS walls FROM r""")
+def wall_texts(spark, d):
+    w = plays(spark, d).where("event_type <> 'view'").select("user_id", (F.col("k") % 5).alias("x"), (F.col("steps") % 5).alias("y"))
+    return X.wall_texts(w, ["user_id"])
+
+
+@query("observation_texts", f"""WITH {EV}, e AS (SELECT user_id, event_id, event_type, k, steps FROM ev WHERE event_type <> 'view'), f AS (SELECT user_id, count(*) AS n, sum(k) AS score, min(k) - 20 AS reward FROM ev GROUP BY 1),
+o AS (SELECT user_id, string_agg('- ' || CASE WHEN k % 2 = 0 THEN 'RED' ELSE upper(event_type) END || ' at (' || k || ',' || steps || ')', chr(10) ORDER BY event_id) AS t FROM e GROUP BY 1)
+SELECT user_id, 'Grid: ' || n || 'x2' || chr(10) || CASE WHEN score % 3 > 0 THEN 'Inventory: GOLD: ' || score % 3 || chr(10) ELSE '' END || 'Score: ' || score || CASE WHEN reward > 0 THEN ' (+' || reward || ')' WHEN reward < 0 THEN ' (' || reward || ')' ELSE '' END || chr(10) || 'Objects:' || chr(10) || coalesce(t, '- none') AS text FROM f LEFT JOIN o USING (user_id)""")
+def observation_texts(spark, d):
+    e, kind = plays(spark, d), F.when(F.col("event_type") == "view", "floor").otherwise(F.col("event_type"))
+    held = F.array(F.struct(F.lit("GOLD").alias("label"), (F.col("score") % 3).alias("n")))
+    f = e.groupBy("user_id").agg(F.count("*").alias("columns"), F.lit(2).alias("rows"), F.sum("k").alias("score"), (F.min("k") - 20).alias("reward")).withColumn("inventory", held)
+    o = e.select("user_id", kind.alias("name"), F.col("event_id").alias("obj_id"), F.when(F.col("k") % 2 == 0, "RED").alias("colour"), F.col("k").alias("x"), F.col("steps").alias("y"))
+    return X.observation_texts(f, o, ["user_id"])
+
+
+@query("outlines", f"""WITH {EV} SELECT event_id, steps + 2 AS lines, CASE WHEN k % 3 = 0 THEN 0 WHEN k % 3 = 1 THEN 1 END AS last_parent FROM ev""")
+def outlines(spark, d):
+    """A head, `steps` lines under it, and a last line that is under the head, under the line before's
+    head or under nothing."""
+    k = F.col("k") % 3
+    last = F.when(k == 0, "    b").when(k == 1, "\t    b").otherwise("b")
+    text = F.concat_ws("\n", F.lit("a # note"), F.lit(""), F.array_join(F.array_repeat(F.lit("    c"), F.greatest(F.col("steps").cast("int"), F.lit(0))), "\n"), last)
+    o = plays(spark, d).select("event_id", k.alias("k"), "steps", X.outline(text).alias("o"))
+    place = F.element_at("o", -1)["parent"]
+    return o.select("event_id", F.size("o").cast("long").alias("lines"), F.when(F.col("k") == 1, F.col("o")[place]["parent"] + 1).otherwise(place).cast("int").alias("last_parent"))
+
+
+@query("theory_rows", f"""WITH {EV} SELECT event_id, 'interactions' AS section, event_type AS kind, 'a,b,{{}},True' AS args FROM ev UNION ALL SELECT event_id, 'terminations', 'SpriteCounterRule', 'goal,' || k || ',False' FROM ev WHERE k % 2 = 0 UNION ALL SELECT event_id, 'terminations', 'Other', 'Other goal ' || k || ' False' FROM ev WHERE k % 2 = 1""")
+def theory_rows(spark, d):
+    rule = F.when(F.col("k") % 2 == 0, "SpriteCounterRule").otherwise("Other")
+    text = F.concat(F.lit("InteractionSet:\n  "), "event_type", F.lit(" a b {} generic: True\nnone\nTerminationSet:\n"), rule, F.lit(" goal "), F.col("k").cast("string"), F.lit(" False\n"))
+    return X.theory_rows(plays(spark, d).select("event_id", text.alias("t")), ["event_id"], "t").select("event_id", "section", "kind", F.array_join("args", ",").alias("args"))
