@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tarnlake.llm.compression import op13_compression
 from tarnlake.llm.divergence import op11_divergence
 from tarnlake.llm.fingerprints import op8_fingerprints
 from tarnlake.llm.lattice import op1_lm_score
@@ -15,7 +16,7 @@ from tarnlake.llm.quality import op6_quality
 from tarnlake.llm.substring_dedup import op9_substring_dedup
 from tarnlake.llm.toxicity import op7_toxicity
 
-QUERIES = {"op1_lm_score": op1_lm_score, "op2_pii": op2_pii, "op3_licenses": op3_licenses, "op4_mixing": op4_mixing, "op5_near_dup": op5_near_dup, "op6_quality": op6_quality, "op7_toxicity": op7_toxicity, "op8_fingerprints": op8_fingerprints, "op9_substring_dedup": op9_substring_dedup, "op10_packing": op10_packing, "op11_divergence": op11_divergence, "op12_prefix_trie": op12_prefix_trie}
+QUERIES = {"op1_lm_score": op1_lm_score, "op2_pii": op2_pii, "op3_licenses": op3_licenses, "op4_mixing": op4_mixing, "op5_near_dup": op5_near_dup, "op6_quality": op6_quality, "op7_toxicity": op7_toxicity, "op8_fingerprints": op8_fingerprints, "op9_substring_dedup": op9_substring_dedup, "op10_packing": op10_packing, "op11_divergence": op11_divergence, "op12_prefix_trie": op12_prefix_trie, "op13_compression": op13_compression}
 #: All pairs that share a shingle, counted, and the closure of the links; for small tables.
 NEAR_DUP = r"""WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS l FROM documents),
