@@ -40,7 +40,7 @@ class WordEncoder:
 
     The tokenizer drops white space and never merges across it, so that a text's ids are those of
     its words one after the other. A word's trailing ASCII punctuation is a token run of its own
-    where a letter or digit stands before it. Texts with the mark of a special token go through
+    where the normalised word before it ends in a letter or digit. Texts with the mark of a special token go through
     the tokenizer whole."""
 
     PUNCT = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -52,6 +52,7 @@ class WordEncoder:
         self.tok = Tokenizer.from_file(path)
         self.limit = limit
         self.known: dict[bytes, bytes] = {}
+        self.ends: dict[str, bool] = {}
         self.mark = self.tok.token_to_id("<|endoftext|>")
 
     def whole(self, text: str) -> bytes:
@@ -70,19 +71,28 @@ class WordEncoder:
                 start = end + 1
         return out
 
+    def _apart(self, letter: str) -> bool:
+        """Whether the tokenizer parts punctuation from a word that ends in letter: it does where the last
+        code point of the normalised word is a letter or digit, which lower case or decomposition may undo."""
+        if letter not in self.ends:
+            parts = self.tok.pre_tokenizer.pre_tokenize_str(self.tok.normalizer.normalize_str(letter + "."))
+            self.ends[letter] = parts[-1][0] == "."
+        return self.ends[letter]
+
     def _stem(self, word: bytes) -> tuple[bytes, bytes]:
         stem = word.rstrip(self.PUNCT)
-        if stem and len(stem) < len(word):
-            last = stem[-1]
-            if last < 128 or stem.decode()[-1].isalpha():
-                if last != 39:  # an apostrophe
-                    return stem, word[len(stem) :]
+        if stem and len(stem) < len(word) and self._apart(stem[-4:].decode(errors="ignore")[-1]):
+            return stem, word[len(stem) :]
         return word, b""
 
+    def _words(self, text: bytes) -> list[bytes]:
+        """The text's words, in lower case where that can't change what marks after a letter compose to."""
+        return (text if b"\xcc" in text or b"\xcd" in text else text.lower()).split()
+
     def batch(self, texts: list[bytes]) -> list[bytes]:
         """Ids of each UTF-8 text, without an end id."""
         known = self.known
-        docs = [None if b"<|" in t else t.lower().split() for t in texts]
+        docs = [None if b"<|" in t else self._words(t) for t in texts]
         new: set[bytes] = set()
         for words in docs:
             if words:

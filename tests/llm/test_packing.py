@@ -41,6 +41,30 @@ def test_words_encode_as_the_whole_text(text):
         assert coder.batch([text.encode()])[0] == coder.whole(text)
 
 
+MARKS = "".join(map(chr, range(0x300, 0x345))) + "\u093c\u09bc\u0a3c\u0b3c\u05bc\u0f39\u0327"
+
+
+def agree(texts):
+    coder = P.WordEncoder(P.default_tokenizer())
+    want = coder.tok.encode_batch(texts, add_special_tokens=False)
+    got = coder.batch([t.encode() for t in texts])
+    assert [t for t, a, b in zip(texts, got, want, strict=True) if a != np.asarray(b.ids, "<u4").tobytes()] == []
+
+
+def test_every_last_letter_before_punctuation():
+    marks = P.WordEncoder.PUNCT.decode() + "'"
+    chars = [c for c in map(chr, range(1, 0x32000)) if not 0xD800 <= ord(c) < 0xE000]
+    agree([f"x{c}{marks[ord(c) % len(marks)]}" for c in chars])
+    agree([f"{c}." for c in chars if c.isalpha()])
+
+
+def test_random_words_of_letters_that_decompose():
+    rng = random.Random(6)
+    letters = "İIiJjHTWYKſßéÉñ\u0958\u0959\u095a\u095b\u095c\u095d\u095e\u095f\u09dc\u09dd\u09df\u0a33\u0a36\ufb2a\ufb4b\u0f43\u0f69\u1fb3\u212a\u2126\uac00\u1100\u1161aBc19²½"
+    some = [letters, letters, MARKS, ".,;:!?()'\"-#$<>|~", " \u00a0\u0085\x1c\x01\t"]
+    agree(["".join(rng.choice(rng.choice(some)) for _ in range(rng.randint(1, 14))) for _ in range(30_000)])
+
+
 def test_pack_matches_the_tokenizer(odd):
     got = P.pack(odd).toPandas()
     tok = tokenizers.Tokenizer.from_file(P.default_tokenizer())
