@@ -1,7 +1,7 @@
 """Substring dedup by hashes of paragraphs and lines, and of passages within long lines.
 
 A unit is a line or a paragraph of several lines (up to a blank one). Units are normalised (a-z, no
-ASCII punctuation at a word's ends, no white space) and hashed to 128 bits; the digests are grouped
+ASCII punctuation at a word's ends but for words of nothing else, no white space) and hashed to 128 bits; the digests are grouped
 over all documents, the earliest ranked occurrence stays and the others go whole, however short.
 
 A passage inside a longer line is no unit, as what stands around it differs. Lines are therefore also
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from tarnlake.core.session import table
 from tarnlake.core.shared import materialize
 from tarnlake.llm.near_dup import mixed
-from tarnlake.llm.words import WordTable, quoted, words_of
+from tarnlake.llm.words import WordTable, free_name, quoted, words_of
 
 PUNCT = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 #: A run of repeated phrases goes from so many words on; a repeated passage of 50 words has about so
@@ -39,7 +39,7 @@ SPACE[[9, 10, 11, 12, 13, 32]] = True
 def _hashes(words: list[bytes]) -> np.ndarray:
     import xxhash
 
-    return np.fromiter((xxhash.xxh3_64_intdigest(w.strip(PUNCT)) for w in words), np.uint64, len(words))
+    return np.fromiter((xxhash.xxh3_64_intdigest(w.strip(PUNCT) or w) for w in words), np.uint64, len(words))
 
 
 def units(text: str, hashes: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
@@ -154,10 +154,11 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     empty text has no units. Rows equal in doc_id and text are one document and lose the same; other
     rows of an id, and rows without one, stand for themselves. An empty table gives an empty
     result."""
-    gone = removals(docs).select(F.col("doc_id").alias("_tl_id"), F.col("text_hash").alias("_tl_hash"), F.col("removed").alias("_tl_spans"))
+    i, h, r = (free_name(n, docs) for n in ("_tl_id", "_tl_hash", "_tl_spans"))
+    gone = removals(docs).select(F.col("doc_id").alias(i), F.col("text_hash").alias(h), F.col("removed").alias(r))
     one, mark = keyed(docs)
-    both = docs.join(gone, one.eqNullSafe(F.col("_tl_id")) & (mark == F.col("_tl_hash")), "left")
-    spans = F.coalesce("_tl_spans", F.expr("cast(array() as array<struct<start:int,end:int>>)"))
+    both = docs.join(gone, one.eqNullSafe(F.col(i)) & (mark == F.col(h)), "left")
+    spans = F.coalesce(r, F.expr("cast(array() as array<struct<start:int,end:int>>)"))
     kept = F.aggregate(
         spans,
         F.struct(F.lit("").alias("s"), F.lit(0).alias("at")),

@@ -18,7 +18,8 @@ def by_lines(rows):
     for i, t in sorted(rows):
         left = []
         for line in t.split("\n"):
-            key = tuple(w.strip("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~") for w in line.lower().split())
+            bare = [w.strip("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~") for w in line.lower().split()]
+            key = tuple(b or w for b, w in zip(bare, line.lower().split(), strict=True))
             if key and key not in seen:
                 left += line.split()
             seen.add(key)
@@ -41,6 +42,16 @@ def test_lines_and_paragraphs_against_plain_sets(docs_of):
     assert sum(s.end - s.start for s in got[90_002].removed) == len(verse)  # the paragraph is one unit
 
 
+def test_lines_of_punctuation_only(docs_of):
+    """Braces, rules and borders are repeats of their equals only."""
+    one = "int f() {\n  a\n}\n---\n| x |\n+---+\n( )\n} {"
+    two = "int g() {\n  b\n}\n***\n| y |\n+===+\n({})\n=====\n--- ---"
+    got = {r.doc_id: r.clean_text for r in B.deduplicate(docs_of([(1, one), (2, two), (3, "  }\n***\n...")])).collect()}
+    assert got[1] == one
+    assert got[2].split() == two.replace("\n}\n", "\n\n").split()
+    assert got[3].split() == ["..."]
+
+
 def test_random_lines_against_plain_sets(docs_of):
     rng = random.Random(3)
     lines = [" ".join(rng.choices("abcdefgh", k=rng.randint(1, 12))) for _ in range(60)]
