@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tarnlake.core.session import table
-from tarnlake.core.shared import materialize
-from tarnlake.llm.words import quoted
+from tarnlake.core.shared import materialize, release
+from tarnlake.llm.words import free_name, quoted
 
 KINDS = ("email", "ip", "card", "phone")
 #: A pair of entity and term counts from so many documents on.
@@ -230,25 +230,45 @@ def _row() -> F.Column:
     return F.xxhash64("doc_id", "text")
 
 
+#: What tells one set of documents from another: their number and three sums over them.
+SET = ("n", "a", "b", "c")
+
+
+def _by_set(rows: DataFrame, name: str) -> DataFrame:
+    """Each value of `name` with the number and the mark of the documents (uid) it is in."""
+    h, g, low = F.xxhash64("uid"), F.xxhash64(F.lit(1), "uid"), F.lit(0xFFFFFFFF)
+    sums = F.sum(h.bitwiseAND(low)), F.sum(F.shiftrightunsigned(h, 32)), F.sum(g.bitwiseAND(low))
+    return rows.groupBy(name).agg(F.count("*").alias("n"), *[x.alias(c) for x, c in zip(sums, SET[1:], strict=True)]).where(F.col("n") >= SUPPORT)
+
+
 def disclosing(all_: DataFrame, total: float) -> DataFrame:
     """term and share (the highest with any entity) of the terms from GENERALISE on.
 
     both <= n_entity, so a pair reaches it only if n_term <= N^(1 - GENERALISE) n_entity^GENERALISE;
-    what is left out for that before pairs are counted couldn't be in the result."""
-    own = all_.where(f"tag = {DOC} and entities is not null").select("entities", "terms")
-    entities = materialize(own.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity")).where(F.col("n_entity") >= SUPPORT))
-    terms = materialize(all_.where(f"tag = {TERM}").groupBy("term").agg(F.sum("n").alias("n_term")).where(F.col("n_term") >= SUPPORT))
-    most = entities.agg(F.max("n_entity")).head()[0] or 0
+    what is left out for that before pairs are counted couldn't be in the result. Entities that are in
+    the same documents count the same with any term, and so do such terms: a document writes its
+    entities and its terms once each, and what is paired are the sets of documents they stand for, so
+    that a long list of addresses, or copies of one, is a single set."""
+    own = all_.where(f"tag = {DOC} and entities is not null").select("uid", "entities", "terms")
+    of_entity = own.select("uid", F.explode("entities").alias("entity"))
+    entities = materialize(_by_set(of_entity, "entity"))
+    counts = materialize(all_.where(f"tag = {TERM}").groupBy("term").agg(F.sum("n").alias("n_term")).where(F.col("n_term") >= SUPPORT))
+    most = entities.agg(F.max("n")).head()[0] or 0
     cap = 1.001 * total ** (1 - GENERALISE) * most**GENERALISE
-    frequent = terms.where(F.col("n_term") > cap).orderBy(F.desc("n_term")).limit(FREQUENT).select("term")
-    with_entity = own.select(F.explode("entities").alias("entity"), "terms").join(entities.select("entity"), "entity")
-    met = with_entity.select("entity", F.explode("terms").alias("term")).join(F.broadcast(frequent), "term", "left_anti")
-    pairs = met.groupBy("entity", "term").agg(F.count("*").alias("both")).where(F.col("both") >= SUPPORT)
-    pairs = pairs.join(entities, "entity").join(terms, "term")
-    info = F.log(F.lit(max(total, 1.0)) / F.col("n_entity"))
-    pmi = F.log(F.lit(max(total, 1.0)) * F.col("both") / (F.col("n_term") * F.col("n_entity")))
-    shown = pairs.where(info > 0).select("term", (pmi / info).alias("share")).where(F.col("share") >= GENERALISE)
-    return materialize(shown.groupBy("term").agg(F.max("share").alias("share")))
+    frequent = counts.where(F.col("n_term") > cap).orderBy(F.desc("n_term")).limit(FREQUENT).select("term")
+    of_term = own.select("uid", F.explode("terms").alias("term")).join(F.broadcast(frequent), "term", "left_anti")
+    terms = materialize(_by_set(of_term, "term").join(counts, "term"))
+    entity_set, term_set = F.struct(*SET).alias("entity_set"), F.struct("n_term", *SET).alias("term_set")
+    sides = of_entity.join(entities, "entity").select("uid", entity_set).distinct(), of_term.join(terms, "term").select("uid", term_set).distinct()
+    pairs = sides[0].join(sides[1], "uid").groupBy("entity_set", "term_set").agg(F.count("*").alias("both")).where(F.col("both") >= SUPPORT)
+    n_entity, n_term = F.col("entity_set.n"), F.col("term_set.n_term")
+    info = F.log(F.lit(max(total, 1.0)) / n_entity)
+    pmi = F.log(F.lit(max(total, 1.0)) * F.col("both") / (n_term * n_entity))
+    shown = pairs.where(info > 0).select("term_set", (pmi / info).alias("share")).where(F.col("share") >= GENERALISE)
+    shown = shown.groupBy("term_set").agg(F.max("share").alias("share"))
+    found = materialize(terms.select("term", term_set).join(shown, "term_set").select("term", "share"))
+    release(entities, counts, terms)
+    return found
 
 
 def detect(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -256,7 +276,7 @@ def detect(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     as array<struct<start, end, share, remove>> in order, for rows that have any."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = rows.select("doc_id", _row().alias("row"), "text")
-    all_ = materialize(rows.mapInArrow(_gather, ", ".join(f"{f} {SQL_TYPE[t]}" for f, t in FIELDS)))
+    all_ = materialize(rows.mapInArrow(_gather, ", ".join(f"{f} {SQL_TYPE[t]}" for f, t in FIELDS)).withColumn("uid", F.monotonically_increasing_id()))
     found = all_.where(f"tag = {DOC}").select("doc_id", "row", *[f"n_{k}" for k in KINDS], "base")
     shown = disclosing(all_, float(found.count()))
     bits = bytearray(BITS // 8)
@@ -303,10 +323,11 @@ def sanitised(text: pd.Series, terms: pd.Series) -> pd.Series:
 def sanitise(docs: DataFrame) -> DataFrame:
     """docs with the text sanitised, and n_chars that of the new text where docs has it."""
     _, terms = detect(docs)
-    t = terms.select(F.col("doc_id").alias("_tl_id"), F.col("row").alias("_tl_row"), F.col("terms").alias("_tl_terms"))
-    both = docs.withColumn("_tl_key", F.xxhash64(F.col("doc_id").cast("long"), "text"))
-    both = both.join(t, (F.col("_tl_key") == F.col("_tl_row")) & F.col("doc_id").eqNullSafe(F.col("_tl_id")), "left")
-    both = both.withColumn("text", sanitised("text", "_tl_terms"))
+    i, r, t = (free_name(n, docs) for n in ("_tl_id", "_tl_row", "_tl_terms"))
+    found = terms.select(F.col("doc_id").alias(i), F.col("row").alias(r), F.col("terms").alias(t))
+    same = (F.xxhash64(F.col("doc_id").cast("long"), "text") == F.col(r)) & F.col("doc_id").cast("long").eqNullSafe(F.col(i))
+    both = docs.join(found, same, "left")
+    both = both.withColumn("text", sanitised("text", t))
     if "n_chars" in docs.columns:
         both = both.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return both.select(*[quoted(c) for c in docs.columns])

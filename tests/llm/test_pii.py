@@ -116,3 +116,30 @@ def test_terms_against_counts_by_hand(docs_of):
     want = disclosing_by_hand(rows)
     got = {r.doc_id: [(x.start, x.end, x.remove) for x in r.terms or []] for r in P.spans(docs_of(rows)).collect()}
     assert got == {i: sorted(w) for i, w in want.items()} and sum(map(len, got.values())) > 20
+
+
+def test_long_lists_write_each_entity_and_term_once(spark, docs_of, monkeypatch):
+    """A list of E addresses and T words, and its copies, are one set of documents, not E times T pairs."""
+    dump = " ".join([f"user{k}@list.org" for k in range(2000)] + [f"surname{chr(97 + k % 26)}{k}x" for k in range(8000)])
+    rows = [(i, dump) for i in range(3)] + [(10 + i, f"user{i % 5}@list.org met surname{chr(97 + i % 5)}{i % 5}x near a plain wall {i}") for i in range(40)] + [(100 + i, f"nothing to see at wall {i}") for i in range(300)]
+    pairs = []
+    join = type(docs_of(rows)).join
+
+    def counted(self, other, on=None, how=None):
+        out = join(self, other, on, how)
+        if isinstance(on, str) and on == "uid":
+            pairs.append(out.count())
+        return out
+
+    monkeypatch.setattr(type(docs_of(rows)), "join", counted)
+    got = {r.doc_id: len(r.terms or []) for r in P.spans(docs_of(rows)).collect()}
+    assert got[0] == got[1] == got[2] > 7900 and got[100] == 0
+    assert sum(pairs) < 2000
+
+
+def test_columns_named_as_ours_stay(docs_of):
+    docs = docs_of([(1, "mail a@b.org now"), (2, None), (2, ""), (None, "x@y.org")])
+    got = P.sanitise(docs)
+    assert got.columns == docs.columns
+    assert [r._tl_key for r in got.collect()] == ["key"] * 4 and {r._tl_id for r in got.collect()} == {10}
+    assert sorted(r.text or "" for r in got.collect()) == ["", "", "[EMAIL]", "mail [EMAIL] now"]
