@@ -19,14 +19,25 @@ OUT = "user_id long, level int, attempts int, reason string"
 STATE = "level int, tries int, w int, l int, attempts int, reason string"
 
 
-def run_loop(attempts: DataFrame, wins: int, losses: int, budget: int) -> DataFrame:
+def run_loop(attempts: DataFrame, wins: int, losses: int, budget: int, start: DataFrame | None = None) -> DataFrame:
     """advancement() over a stream: attempts (user_id, ts, event_id, outcome) update each agent's
     level, attempts and stop reason. An agent's state is six values; rows of a batch are applied in
-    order of ts."""
+    order of ts. start (user_id and the counters of state.counters()) is where agents that were
+    stopped go on from: it meets their rows as a static table and is used by the first of them."""
+    names = [c.split()[0] for c in STATE.split(", ")]
+    resumed = start is not None
+    if resumed:
+        kept = start.select("user_id", *[F.col(n).alias(f"_{n}") for n in names])
+        attempts = attempts.join(kept, "user_id", "left")
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        level, tries, w, l, n, reason = state.get if state.exists else (0, 0, 0, 0, 0, "")
         rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
+        level, tries, w, l, n, reason = 0, 0, 0, 0, 0, ""
+        if state.exists:
+            level, tries, w, l, n, reason = state.get
+        elif resumed and not pd.isna(rows["_level"].iloc[0]):
+            level, tries, w, l, n = (int(rows[f"_{c}"].iloc[0]) for c in names[:5])
+            reason = rows["_reason"].iloc[0]
         for outcome in rows["outcome"]:
             if reason:
                 break
