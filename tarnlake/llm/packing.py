@@ -16,17 +16,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tarnlake.core.session import table
 from tarnlake.core.shared import materialize
-from tarnlake.llm.words import groups
+from tarnlake.llm.words import ranges
 
 CAPACITY = 2048
 END_ID = 0
 #: Entries a worker's table of known words may hold (about 0.2 kB each); the rest is encoded again.
 WORD_CACHE = 600_000
+#: Bytes of texts encoded together.
+TOGETHER = 1_000_000
 
 
 def default_tokenizer() -> str:
@@ -59,18 +62,37 @@ class WordEncoder:
         return np.asarray(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _encode(self, words: list[bytes]) -> dict[bytes, bytes]:
+        """Ids of words. Those of letters only are one run of the tokenizer's each, so that the numbers of
+        the runs part their ids; between others stands the mark of a special token."""
         out: dict[bytes, bytes] = {}
-        for i in range(0, len(words), self.BATCH):
-            part = words[i : i + self.BATCH]
-            text = " <|endoftext|> ".join(w.decode() for w in part)
-            ids = np.asarray(self.tok.encode(text, add_special_tokens=False).ids, "<u4")
-            ends = np.append(np.flatnonzero(ids == self.mark), len(ids))
-            start = 0
-            for w, end in zip(part, ends.tolist(), strict=True):
-                out[w] = ids[start:end].tobytes()
-                start = end + 1
+        texts = [w.decode() for w in words]
+        letters = [t.isalpha() for t in texts]
+        for plain in (True, False):
+            some = [(w, t) for w, t, x in zip(words, texts, letters, strict=True) if x == plain]
+            for i in range(0, len(some), self.BATCH):
+                part = some[i : i + self.BATCH]
+                if not (plain and self._runs(part, out)):
+                    self._marked(part, out)
         return out
 
+    def _runs(self, part: list[tuple[bytes, str]], out: dict[bytes, bytes]) -> bool:
+        """Whether each word is one run; if so their ids are put into out."""
+        got = self.tok.encode(" ".join(t for _, t in part), add_special_tokens=False)
+        ids, runs = np.asarray(got.ids, "<u4").tobytes(), np.asarray(got.word_ids)
+        if runs[-1] != len(part) - 1:
+            return False
+        edges = (4 * np.searchsorted(runs, np.arange(len(part) + 1))).tolist()
+        out.update((w, ids[a:b]) for (w, _), a, b in zip(part, edges, edges[1:]))  # noqa: B905
+        return True
+
+    def _marked(self, part: list[tuple[bytes, str]], out: dict[bytes, bytes]) -> None:
+        ids = np.asarray(self.tok.encode(" <|endoftext|> ".join(t for _, t in part), add_special_tokens=False).ids, "<u4")
+        ends = np.append(np.flatnonzero(ids == self.mark), len(ids))
+        start = 0
+        for (w, _), end in zip(part, ends.tolist(), strict=True):
+            out[w] = ids[start:end].tobytes()
+            start = end + 1
+
     def _apart(self, letter: str) -> bool:
         """Whether the tokenizer parts punctuation from a word that ends in letter: it does where the last
         code point of the normalised word is a letter or digit, which lower case or decomposition may undo."""
@@ -97,27 +119,19 @@ class WordEncoder:
         for words in docs:
             if words:
                 new.update(words)
-        missing = new.difference(known)
-        local: dict[bytes, bytes] = {}
+        ids = dict(zip(new, map(known.get, new), strict=True))  # of this batch alone: smaller than the table
+        missing = [w for w, got in ids.items() if got is None]
         if missing:
-            parts = {w: self._stem(w) for w in missing}
-            atoms = {a for two in parts.values() for a in two if a}
-            fresh = self._encode([a for a in atoms if a not in known])
-            room = len(known) < self.limit
-            if room:
+            parts = [self._stem(w) for w in missing]
+            atoms = {a for two in parts for a in two}
+            fresh = self._encode([a for a in atoms if a not in known and a])
+            if len(known) < self.limit:
                 known.update(fresh)
-                fresh = {}
-            get = lambda a: known[a] if a in known else fresh[a]
-            local = {w: get(a) + get(b) if b else get(a) for w, (a, b) in parts.items()}
-        out = []
-        for text, words in zip(texts, docs, strict=True):
-            if words is None:
-                out.append(self.whole(text.decode()))
-            elif local:
-                out.append(b"".join([known[w] if w in known else local[w] for w in words]))
-            else:
-                out.append(b"".join([known[w] for w in words]))
-        return out
+            get = {a: known[a] if a in known else fresh[a] for a in atoms if a}
+            get[b""] = b""
+            ids.update((w, get[a] + get[b]) for w, (a, b) in zip(missing, parts, strict=True))
+        find = ids.__getitem__
+        return [self.whole(text.decode()) if words is None else b"".join(map(find, words)) for text, words in zip(texts, docs, strict=True)]
 
 
 _coders: dict[str, WordEncoder] = {}
@@ -141,11 +155,12 @@ def _cut(path: str, capacity: int, end_id: int, with_ids: bool):
         end = np.asarray([end_id], "<u4").tobytes()
         width = 4 * capacity
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for lo, hi in groups(texts):
+            sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_pylist()
+            for lo, hi in ranges(sizes, TOGETHER):  # the rest of a batch stays in Arrow's memory
+                ids, texts = (batch.column(c).slice(lo, hi - lo).to_pylist() for c in (0, 1))
                 cols: list[list] = [[], [], [], [], []]
                 raw = []
-                for doc, body in zip(ids[lo:hi], coder.batch([t or b"" for t in texts[lo:hi]]), strict=True):
+                for doc, body in zip(ids, coder.batch([t or b"" for t in texts]), strict=True):
                     body += end
                     for k, at in enumerate(range(0, len(body), width)):
                         part = body[at : at + width]

@@ -12,16 +12,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def groups(texts: list[bytes | None], most: int = 4_000_000) -> Iterator[tuple[int, int]]:
-    """Ranges of texts with about `most` bytes each."""
+def ranges(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about `most` bytes together."""
     lo = size = 0
-    for i, t in enumerate(texts):
-        size += len(t or b"") + 50
+    for i, n in enumerate(sizes):
+        size += n + 50
         if size >= most:
             yield lo, i + 1
             lo, size = i + 1, 0
-    if lo < len(texts):
-        yield lo, len(texts)
+    if lo < len(sizes):
+        yield lo, len(sizes)
+
+
+def groups(texts: list[bytes | None], most: int = 4_000_000) -> Iterator[tuple[int, int]]:
+    """Ranges of texts with about `most` bytes each."""
+    return ranges([len(t or b"") for t in texts], most)
 
 
 def words_of(text: bytes | None) -> list[bytes]:
