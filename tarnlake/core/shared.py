@@ -42,6 +42,14 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder in the shared one, for files that aren't tables; deleted when the driver's JVM ends."""
+    path = f"{shared_dir(spark)}/f-{uuid.uuid4().hex}"
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return path
+
+
 def release(*tables: DataFrame) -> None:
     """Delete tables that materialize() wrote, once nothing reads them any more."""
     for df in tables:
