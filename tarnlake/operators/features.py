@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarnlake.operators.align import contained
+from tarnlake.operators.windows import offsets
 
 
 def zero_filled(plays: DataFrame, features: DataFrame, key: list[str], vector: str, width: int) -> DataFrame:
@@ -108,6 +109,32 @@ def bin_vectors(frames: DataFrame, play: list[str], bin_: str, vector: str, unit
     return out.withColumn("_n", norm).withColumn(vector, F.transform(vector, lambda x: x / F.when(F.col("_n") == 0, 1.0).otherwise(F.col("_n")))).drop("_n")
 
 
+def aligned_matrix(plays: DataFrame, calls: DataFrame, key: list[str], order: list[str], width: int, carry: bool = False) -> DataFrame:
+    """One matrix over all plays: key, bin, position (the row's place in the whole), vector and observed.
+
+    plays: key, order, n_steps and per_bin; calls: key, step, vector, any number for a step. A step's
+    vector is the mean of its calls, zeros where it has none; a bin's that of its steps, zeros counted.
+    With carry the steps without a call count nothing: a bin is the mean of those it has, and one that
+    has none takes the play's last before it (zeros before the first). Plays follow in `order`, each with
+    all its bins, so that positions have no gaps; calls of other plays or steps are left out."""
+    p = offsets(plays.withColumn("_bins", F.ceil(F.col("n_steps") / F.col("per_bin"))), order, "_bins", "_start")
+    bounds = p.select(*key, "n_steps", "per_bin", "_bins", "_start")
+    c = calls.select(*key, "step", F.posexplode("vector").alias("_i", "_x")).groupBy(*key, "step", "_i").agg(F.avg("_x").alias("_x"))
+    c = c.join(bounds.select(*key, "n_steps", "per_bin"), key).where((F.col("step") >= 0) & (F.col("step") < F.col("n_steps")))
+    bin_ = F.floor(F.col("step") / F.col("per_bin")).alias("bin")
+    sums = c.groupBy(*key, bin_, "_i").agg(F.sum("_x").alias("_s"), F.countDistinct("step").alias("_n"), F.max("n_steps").alias("n_steps"), F.max("per_bin").alias("per_bin"))
+    steps = F.least(F.col("per_bin"), F.col("n_steps") - F.col("bin") * F.col("per_bin"))
+    mean = F.col("_s") / (F.col("_n") if carry else steps)
+    found = sums.groupBy(*key, "bin").agg(F.array_sort(F.collect_list(F.struct("_i", mean.alias("m")))).alias("_e")).select(*key, "bin", F.col("_e.m").alias("_v"))
+    dense = bounds.where("_bins > 0").select(*key, "_start", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_bins") - 1)).alias("bin"))
+    rows = dense.join(found, [*key, "bin"], "left").withColumn("observed", F.col("_v").isNotNull())
+    if carry:
+        w = Window.partitionBy(*key).orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
+        rows = rows.withColumn("_v", F.last("_v", ignorenulls=True).over(w))
+    zeros = F.array_repeat(F.lit(0.0), width)
+    return rows.select(*key, "bin", (F.col("_start") + F.col("bin")).alias("position"), F.coalesce("_v", zeros).alias("vector"), "observed")
+
+
 def pressed_bins(frames: DataFrame, play: list[str], bin_: str, keys: list[str]) -> DataFrame:
     """Mean of each key (0 or 1) by bin, and any_pressed where more than half the frames have one."""
     some = F.greatest(*[F.col(k).cast("double") for k in keys]) if len(keys) > 1 else F.col(keys[0]).cast("double")

@@ -58,6 +58,17 @@ def numbered(rows: DataFrame, order: list[str], name: str, parts: int | None = N
     return dealt.join(before, "_p").withColumn(name, place.cast("long")).drop("_p", "_b")
 
 
+def offsets(rows: DataFrame, order: list[str], size: str, name: str, parts: int | None = None) -> DataFrame:
+    """rows with the sum of `size` over all rows before them in the order of the whole table: where each
+    one's own part of one long array begins. As numbered(): ranges are summed by themselves, and a table
+    with a row per range has what comes before it. Rows that tie are in the order of their sizes."""
+    dealt = materialize(rows.repartitionByRange(*([parts] if parts else []), *order).withColumn("_p", F.spark_partition_id()))
+    sums = dealt.groupBy("_p").agg(F.sum(size).alias("_n"))  # a row per range
+    before = sums.select("_p", (F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).alias("_b"))
+    own = F.sum(size).over(Window.partitionBy("_p").orderBy(*order, size).rowsBetween(Window.unboundedPreceding, 0)) - F.col(size)
+    return dealt.join(before, "_p").withColumn(name, (own + F.col("_b")).cast("long")).drop("_p", "_b")
+
+
 def stacked(rows: DataFrame, play: list[str], order: list[str], col: str, n: int) -> DataFrame:
     """stack: the last n values, padded on the left with the play's first."""
     w = Window.partitionBy(*play).orderBy(*order)
