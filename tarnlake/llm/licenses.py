@@ -5,7 +5,8 @@ written in one line or wrapped. The word unigrams and bigrams of a unit meet the
 multinomial logistic regression, trained here on variants of the notices below; a softmax with a
 calibrated temperature gives the family, one class is other licences, one is no licence. A family is
 confirmed if the unit also has most of one of its templates, and no template of another family fits
-better; what reads like a licence and isn't confirmed is unknown.
+better; a version that isn't the family's rules it out beforehand. What reads like a licence and
+isn't confirmed is unknown.
 
 Features have a word that isn't a stop word, so a unit without such a word has none and gets the
 class of the bias, no licence: it needn't be scored. That is no list of anchors but a property of the
@@ -16,6 +17,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass, field
+from functools import cache
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -44,10 +46,15 @@ NOTICES = {
         "Licensed to the Apache Software Foundation (ASF) under one or more contributor license agreements.",
     ],
     "gpl-3.0": [
-        "This work is licensed under the GNU General Public License, version 3.", "Released under the GNU GPL v3", "SPDX-License-Identifier: GPL-3.0-or-later", "Licensed under GPLv3", "Licensed under the GPL", "Distributed under the terms of the GNU General Public License v3.0",
+        "This work is licensed under the GNU General Public License, version 3.", "Released under the GNU General Public License, version 3.", "GNU General Public License version 3", "SPDX-License-Identifier: GPL-3.0-only", "Licensed under version 3 of the GNU GPL", "Distributed under the GPL version 3", "Released under the GNU GPL v3", "SPDX-License-Identifier: GPL-3.0-or-later", "Licensed under GPLv3", "Licensed under the GPL", "Distributed under the terms of the GNU General Public License v3.0",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
         "You should have received a copy of the GNU General Public License along with this program.",
     ],
+    "gpl-2.0": [
+        "Released under the GNU General Public License, version 2.", "Released under the GNU GPL v2", "SPDX-License-Identifier: GPL-2.0-only", "SPDX-License-Identifier: GPL-2.0-or-later", "Licensed under GPLv2", "Licensed under version 2 of the GNU GPL", "GNU General Public License version 2", "Distributed under the GPL version 2",
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation.",
+    ],
     "agpl-3.0": ["Licensed under the GNU Affero General Public License v3", "SPDX-License-Identifier: AGPL-3.0", "Released under the AGPL", "under the terms of the GNU Affero General Public License as published by the Free Software Foundation", "Licensed under AGPLv3"],
     "lgpl": ["Licensed under the GNU Lesser General Public License", "SPDX-License-Identifier: LGPL-2.1", "Released under the terms of the GNU LGPL", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License", "Licensed under LGPLv3"],
     "bsd": [
@@ -65,12 +72,14 @@ NOTICES = {
     "cc-by-nc": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", "Licensed under CC BY-NC-SA 4.0", "Available under the Creative Commons Attribution-NonCommercial-ShareAlike license", "SPDX-License-Identifier: CC-BY-NC-4.0"],
     "public-domain": ["This work is in the public domain.", "Released under CC0 1.0 Universal public domain dedication", "SPDX-License-Identifier: CC0-1.0", "Released into the public domain under the Unlicense", "This is free and unencumbered software released into the public domain.", "The author has dedicated the work to the public domain by waiving all rights to the work worldwide"],
     "proprietary": [
-        "All rights reserved.", "Copyright 2020. All rights reserved.", "Proprietary and confidential. Unauthorized copying is prohibited.", "Copyright (c) Example Corporation. All rights reserved.", "This software is the confidential and proprietary information of the company",
+        "All rights reserved.", "Todos los derechos reservados.", "Tous droits réservés.", "Alle Rechte vorbehalten.", "Tutti i diritti riservati.", "Todos os direitos reservados.", "Copyright 2020. All rights reserved.", "Proprietary and confidential. Unauthorized copying is prohibited.", "Copyright (c) Example Corporation. All rights reserved.", "This software is the confidential and proprietary information of the company",
         "No part of this publication may be reproduced, stored or transmitted without the prior written permission of the copyright holder", "Unauthorized copying of this file, via any medium, is strictly prohibited",
     ],
 }
 #: Notices of licences that are no family of their own.
 OTHER_LICENCES = [
+    "Licensed under the Apache License, Version 1.1", "Distributed under the Apache Software License 1.1", "SPDX-License-Identifier: Apache-1.1", "Licensed under the BSD Zero Clause License", "SPDX-License-Identifier: 0BSD", "Released under the WTFPL", "Do what the fuck you want to public license", "Licensed under the CeCILL free software license",
+    "SPDX-License-Identifier: CECILL-2.1", "This library is free software; you can redistribute it under the same terms as Perl itself", "Available under the same conditions as Perl itself", "Licensed under the GNU General Public License version 1", "Licensed under the Mozilla Public License 1.1", "Licensed under the GNU Free Documentation License 1.3",
     "Licensed under the Academic Free License version 3.0", "Licensed under the Artistic License 2.0", "Licensed under the European Union Public Licence 1.2", "Licensed under the Common Development and Distribution License", "Licensed under the Microsoft Public License", "Released under the Boost Software License",
     "Released under the zlib license", "Released under the Open Software License", "Distributed under the SIL Open Font License", "Distributed under the terms of the Python Software Foundation License", "Licensed under the Business Source License 1.1", "Do what the fuck you want to public license", "This code is licensed under its own terms",
     "Licensed under the terms of the agreement that comes with this product", "This model is licensed under a community license agreement", "Use is permitted for evaluation only under the trial license", "You are granted a limited, revocable, non-exclusive license to use the material", "By using this software you agree to the terms of the end user license agreement",
@@ -92,6 +101,13 @@ NAMES = ["MIT License", "Apache License", "GNU General Public License", "GPL", "
 STOP = frozenset(("a an and any are as at be been by for from has have if in into is it its may no not of on or our shall that the their they this to under was we were will with you your about all do does don here he her his i only other out own she so t up what why "
                  "bajo de den der des die ein eine einer la le les sous su un una und unter 0 1 2 3 4 5").split())
 UNKNOWN, NONE = "unknown", "none"
+#: The logit of a family that is refuted.
+REFUTED = -1e6
+#: The versions that are a family's own; another one in a unit, without any of these, refutes it.
+VERSIONS = {"apache-2.0": ["2"], "gpl-2.0": ["2"], "gpl-3.0": ["3"], "agpl-3.0": ["3"], "mpl-2.0": ["2"]}
+#: An n-gram that names a version, and what is left of the number without zeros at its end.
+VERSION = r"^(?:(?:version|v|license|licence|gpl|agpl|lgpl|apache|mpl) |(?:gpl|agpl|lgpl|mpl)?v)([0-9]+(?:[.][0-9]+)*)$"
+ZEROS = r"(?:[.]0)+$"
 WORDS = r"[a-z0-9]+(?:[.][0-9]+)*"
 #: A family is named from this calibrated probability on, and confirmed from this share of a
 #: template's features on; below UNLIKELY for no licence a unit reads like one.
@@ -200,6 +216,12 @@ def train(s: Settings = Settings()) -> Model:
     return Model(classes, vocabulary, w, b, temperature, kinds)
 
 
+@cache
+def trained(s: Settings) -> Model:
+    """The model of these settings, trained once."""
+    return train(s)
+
+
 def word_list(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(f"({WORDS})"), F.lit(1))
 
@@ -242,16 +264,21 @@ def units(rows: DataFrame, model: Model) -> DataFrame:
     lines = lines.withColumn("across", across).drop("ends", "blank")
     lines = materialize(lines)
     spans = lines.groupBy("row", "paragraph").agg(F.min("start").alias("p_start"), F.max(F.col("start") + F.col("length")).alias("p_end"), F.count("*").alias("n"))
-    own = lines.where("ws is not null").select("row", "i", "paragraph", F.explode(word_grams(F.col("ws"))).alias("gram")).join(vocabulary, "gram")
-    joint = lines.where("across is not null").select("row", "paragraph", F.col("across").alias("gram")).join(vocabulary, "gram")
-    both = own.select("row", "paragraph", "gram", "w", "templates").unionByName(joint.select("row", "paragraph", "gram", "w", "templates")).dropDuplicates(["row", "paragraph", "gram"])
+    version = F.regexp_replace(F.nullif(F.regexp_extract("gram", VERSION, 1), F.lit("")), ZEROS, "").alias("version")
+    weigh = lambda df: df.select("*", version).join(vocabulary, "gram", "left").where("w is not null or version is not null")
+    own = weigh(lines.where("ws is not null").select("row", "i", "paragraph", F.explode(word_grams(F.col("ws"))).alias("gram")))
+    joint = weigh(lines.where("across is not null").select("row", "paragraph", F.col("across").alias("gram")))
+    both = own.select("row", "paragraph", "gram", "w", "templates", "version").unionByName(joint.select("row", "paragraph", "gram", "w", "templates", "version")).dropDuplicates(["row", "paragraph", "gram"])
     several = both.join(spans.where("n > 1").select("row", "paragraph"), ["row", "paragraph"], "left_semi")
-    hits = own.select("row", F.lit(0).alias("kind"), F.col("i").alias("id"), "paragraph", "w", "templates").unionByName(several.select("row", F.lit(1).alias("kind"), F.col("paragraph").cast("int").alias("id"), "paragraph", "w", "templates"))
+    hits = own.select("row", F.lit(0).alias("kind"), F.col("i").alias("id"), "paragraph", "w", "templates", "version").unionByName(several.select("row", F.lit(1).alias("kind"), F.col("paragraph").cast("int").alias("id"), "paragraph", "w", "templates", "version"))
     unit = ["row", "kind", "id", "paragraph"]
     shared = [F.count_if(F.array_contains("templates", i)) / len(t) for i, (_, t) in enumerate(model.templates)]
     shares = F.array(*[F.greatest(F.lit(0.0), *[shared[i] for i, (f, _) in enumerate(model.templates) if f == c]) if c != NONE else F.lit(0.0) for c in model.classes])
-    z = F.array(*[F.sum(F.col("w")[i]) + float(model.bias[i] / model.temperature) for i in range(k)])
-    scored = hits.groupBy(*unit).agg(z.alias("z"), shares.alias("shares")).withColumn("top", F.array_max("z"))
+    z = F.array(*[F.coalesce(F.sum(F.col("w")[i]), F.lit(0.0)) + float(model.bias[i] / model.temperature) for i in range(k)])
+    scored = hits.groupBy(*unit).agg(z.alias("z"), shares.alias("shares"), F.collect_set("version").alias("versions"))
+    own_versions = F.array(*[F.array(*[F.lit(v) for v in VERSIONS.get(c, [])]).cast("array<string>") for c in model.classes])
+    refuted = lambda own: (F.size(own) > 0) & (F.size("versions") > 0) & ~F.arrays_overlap(own, F.col("versions"))
+    scored = scored.withColumn("z", F.zip_with("z", own_versions, lambda v, own: F.when(refuted(own), F.lit(REFUTED)).otherwise(v))).withColumn("top", F.array_max("z"))
     total = F.aggregate(F.transform("z", lambda v: F.exp(v - F.col("top"))), F.lit(0.0), lambda a, v: a + v)
     names = F.array(*[F.lit(c) for c in model.classes])
     at = F.array_position("z", F.col("top")).cast("int")
@@ -282,7 +309,7 @@ def scan(docs: DataFrame, model: Model | None = None) -> DataFrame:
 
     A null or empty text and a table without notices have empty results; repeated rows and null ids
     are scanned each. Other columns are ignored. No row is left out by its length."""
-    model = model or train()
+    model = model or trained(Settings())
     rows = materialize(described(docs, model))
     per = found(units(rows, model)).groupBy("row").agg(
         F.array_sort(F.collect_set("family")).alias("families"), F.count_if(F.col("status") == "confirmed").alias("n_confirmed"), F.count_if(F.col("status") == UNKNOWN).alias("n_unknown"), F.max("probability").alias("probability"),

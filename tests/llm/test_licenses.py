@@ -20,6 +20,10 @@ def judged(ws_grams, model):
     if not at:
         return None
     z = (model.weights[at].sum(0) + model.bias) / model.temperature
+    said = {re.sub(C.ZEROS, "", m[1]) for m in (re.match(C.VERSION, g) for g in ws_grams) if m}
+    for i, c in enumerate(model.classes):
+        if said and c in C.VERSIONS and not said & set(C.VERSIONS[c]):
+            z[i] = C.REFUTED
     p = np.exp(z - z.max())
     p /= p.sum()
     share = {c: max([0.0, *(len(set(t) & ws_grams) / len(t) for f, t in model.templates if f == c)]) for c in model.classes}
@@ -113,6 +117,27 @@ def test_families(docs_of, none, model):
     assert C.scan(none, model).count() == 0
 
 
+def test_versions_decide(docs_of, model):
+    rows = [
+        (1, "Licensed under the Apache License, Version 1.1"), (2, "Licensed under the Apache License, Version 2.0"), (3, "GNU General Public License version 2"), (4, "SPDX-License-Identifier: GPL-2.0-only"), (5, "Released under version 2 of the GNU GPL"), (6, "Released under the GNU General Public License, version 3"),
+        (7, "Licensed under the Apache License,\nVersion 1.1"), (8, "This program is free software; you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation; either version 2 of the License, or\n(at your option) any later version."), (9, "Licensed under the Mozilla Public License 1.1"), (10, "SPDX-License-Identifier: Apache-1.1"), (11, "Todos los derechos reservados"), (12, "Available under the same conditions as Perl itself"), (13, "SPDX-License-Identifier: 0BSD"), (14, "Licensed under the Apache License, Version 3.0"), (15, "Licensed under GPLv4"),
+    ]
+    by = {r.doc_id: r.families for r in C.scan(docs_of(rows), model).collect()}
+    assert by[2] == ["apache-2.0"] and by[3] == by[4] == by[5] == by[8] == ["gpl-2.0"] and by[6] == ["gpl-3.0"] and by[11] == ["proprietary"]
+    assert all(by[i] == ["unknown"] for i in (1, 7, 9, 10, 12, 13, 14, 15)), by
+
+
+@pytest.mark.parametrize("family", ["mpl-2.0", "gpl-2.0", "isc"])
+def test_families_never_seen_are_not_confirmed_as_others(family, monkeypatch):
+    """Recall and false confirmations of a family whose notices are left out of training."""
+    own = C.NOTICES[family]
+    monkeypatch.setattr(C, "NOTICES", {f: ts for f, ts in C.NOTICES.items() if f != family})
+    other = C.train()
+    got = [judged(C.grams(C.words(t)), other) or ("none", "none", 1) for t in own]
+    assert sum(g[1] != "none" for g in got) >= 0.6 * len(got)
+    assert sum(g[1] == "confirmed" for g in got) <= 0.2 * len(got), got
+
+
 def test_held_out_notices_and_ordinary_text(model):
     """Notices that are nowhere in the training texts, and talk that isn't either."""
     notices = {
