@@ -153,7 +153,7 @@ def block_sizes(spark, d):
     return P.block_size(n.join(some, "user_id", "left_semi"), ["user_id"], "size", ["i"])
 
 
-@query("recording_paths", f"WITH {EV} SELECT DISTINCT user_id, level, 'sub-' || lpad(CAST(user_id AS VARCHAR), 2, '0') || '/' || event_type || '/' || CASE WHEN level % 2 = 0 THEN 'oracle' ELSE 'minimal' END || '.human.replay.json.gz' AS path, level % 3 = 0 AS foreign_ FROM ev WHERE level >= 0")
+@query("recording_paths", f"WITH {EV} SELECT DISTINCT user_id, level, 'sub-' || CASE WHEN user_id < 10 THEN '0' ELSE '' END || user_id || '/' || event_type || '/' || CASE WHEN level % 2 = 0 THEN 'oracle' ELSE 'minimal' END || '.human.replay.json.gz' AS path, level % 3 = 0 AS foreign_ FROM ev WHERE level >= 0")
 def recording_paths(spark, d):
     p = plays(spark, d).where("level >= 0").select("user_id", "level", "event_type").distinct()
     p = p.withColumn("path", P.recording_path(F.col("user_id"), F.col("event_type"), F.when(F.col("level") % 2 == 0, "oracle").otherwise("minimal")))
