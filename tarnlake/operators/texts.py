@@ -52,8 +52,21 @@ def outline(text: Column) -> Column:
     width = lambda white: F.aggregate(F.split(white, ""), F.lit(0), lambda n, c: F.when(c == "\t", n + 8 - n % 8).when(c == "", n).otherwise(n + 1))
     one = lambda raw, i: F.struct(i.alias("line"), width(F.regexp_extract(raw, r"^(\s*)", 1)).alias("indent"), F.regexp_replace(F.split_part(raw, F.lit("#"), F.lit(1)), r"^\s+|\s+$", "").alias("content"))
     lines = F.filter(F.transform(F.split(text, "\n"), one), lambda x: x["content"] != "")
-    above = lambda x, i: F.filter(F.transform(F.slice(lines, F.lit(1), i), lambda y, j: F.when(y["indent"] < x["indent"], j)), lambda j: j.isNotNull())
-    return F.transform(lines, lambda x, i: F.struct(x["line"].alias("line"), x["indent"].alias("indent"), x["content"].alias("content"), F.array_max(above(x, i)).alias("parent")))
+    return F.element_at(F.transform(F.array(lines), _with_parents), 1)
+
+
+def _with_parents(lines: Column) -> Column:
+    """The lines with their parents: one pass with a stack of the lines that are still open, and each one's
+    place and indent. An element of an array is bound once, so that lines aren't made again."""
+    start = F.struct(F.expr("cast(array() as array<int>)").alias("parents"), F.expr("cast(array() as array<struct<i:int,w:int>>)").alias("open"))
+
+    def step(a: Column, x: Column) -> Column:
+        held = F.filter(a["open"], lambda o: o["w"] < x["indent"])
+        place = F.struct(F.size(a["parents"]).alias("i"), x["indent"].alias("w"))
+        return F.struct(F.concat(a["parents"], F.array(F.get(held, F.size(held) - 1)["i"])).alias("parents"), F.concat(held, F.array(place)).alias("open"))
+
+    parents = F.when(lines.isNotNull(), F.aggregate(lines, start, step, lambda a: a["parents"]))
+    return F.zip_with(lines, parents, lambda x, p: F.struct(x["line"].alias("line"), x["indent"].alias("indent"), x["content"].alias("content"), p.alias("parent")))
 
 
 #: Headings of a theory's sections, and the forms of its lines.

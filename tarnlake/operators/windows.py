@@ -69,6 +69,16 @@ def offsets(rows: DataFrame, order: list[str], size: str, name: str, parts: int
     return dealt.join(before, "_p").withColumn(name, (own + F.col("_b")).cast("long")).drop("_p", "_b")
 
 
+def median(rows: DataFrame, col: str) -> DataFrame:
+    """One row with the median of a column without its nulls, and n: the middle rows of the whole order, so
+    that no task holds all values. Null of none."""
+    own = rows.select(F.col(col).cast("double").alias("_x")).where("_x is not null")
+    at = numbered(own, ["_x"], "_i")
+    n = at.agg(F.count("*").alias("n"))  # a single row
+    middle = at.join(F.broadcast(n), (F.col("_i") == F.expr("(n - 1) div 2")) | (F.col("_i") == F.expr("n div 2")))
+    return n.join(middle.agg(F.avg("_x").alias(col))).select(col, "n")
+
+
 def stacked(rows: DataFrame, play: list[str], order: list[str], col: str, n: int) -> DataFrame:
     """stack: the last n values, padded on the left with the play's first."""
     w = Window.partitionBy(*play).orderBy(*order)

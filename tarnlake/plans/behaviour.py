@@ -201,13 +201,13 @@ rho AS (SELECT user_id, CASE WHEN (xx - mx * mx) * (yy - my * my) > 1e-18 THEN (
 @query("lag_one", f"{AR} SELECT round(median(rho), 6) AS rho, CAST(count(*) AS BIGINT) AS n FROM rho")
 def lag_one(spark, d):
     r = W.lag_one_correlation(plays(spark, d), ["user_id"], ORDER, "value")
-    return r.agg(F.round(F.percentile("rho", 0.5), 6).alias("rho"), F.count("*").alias("n"))
+    return W.median(r, "rho").select(F.round("rho", 6).alias("rho"), "n")
 
 
 @query("whitened", f"{AR} SELECT event_id, round(value - (SELECT median(rho) FROM rho) * x, 4) AS white FROM p WHERE x IS NOT NULL")
 def whitened(spark, d):
     p = plays(spark, d)
-    r = W.lag_one_correlation(p, ["user_id"], ORDER, "value").agg(F.percentile("rho", 0.5).alias("rho"))
+    r = W.median(W.lag_one_correlation(p, ["user_id"], ORDER, "value"), "rho").select("rho")
     return W.whitened(p.join(F.broadcast(r)), ["user_id"], ORDER, "value", "rho").select("event_id", F.round("white", 4).alias("white"))  # one row
 
 

@@ -72,3 +72,20 @@ def test_masks(spark):
     assert sorted(map(tuple, T.mask_errors(masks, cells, common, "subject", "file", "cell").collect())) == [("c", "another grid"), ("d", "files differ")]
     more = common.union(spark.createDataFrame([(3,)], "cell int"))
     assert {r.subject for r in T.mask_errors(masks, cells, more, "subject", "file", "cell").collect() if r.error == "common cells outside"} == {"b", "c", "d"}
+
+
+def test_outline_of_many_lines_against_a_loop(spark):
+    import random
+
+    rng = random.Random(8)
+    lines = ["  " * rng.randint(0, 5) + rng.choice(["a > B", "", "# note", "x # y"]) for _ in range(3000)]
+    want, seen = [], []
+    for i, raw in enumerate(lines):
+        content = raw.split("#")[0].strip()
+        if content:
+            indent = len(raw) - len(raw.lstrip())
+            parent = max((k for k, (w, _) in enumerate(seen) if w < indent), default=None)
+            seen.append((indent, content))
+            want.append((i, indent, content, parent))
+    got = spark.createDataFrame([("\n".join(lines),)], "t string").select(T.outline(F.col("t")).alias("o")).head().o
+    assert [tuple(r) for r in got] == want
