@@ -59,3 +59,28 @@ def test_more_ranges_than_documents(docs_of):
         half = len(t) // 2
         want.add((i, hashlib.sha256((t[: len(t) - half] + rows[(k + 1) % len(rows)][1][:half]).encode()).hexdigest()))
     assert got == want
+
+
+def test_bits_against_a_plain_vote():
+    """Each word votes on every bit by its hash's with weight 1, each pair of neighbours with the pair's."""
+    import numpy as np
+
+    from tarnlake.llm.near_dup import mixed
+    from tarnlake.llm.words import words_of
+
+    def number(x):
+        return int(mixed(np.asarray([x % 2**64], np.uint64))[0])
+
+    for text in ("one two three two", "a", "x y " * 40, "é ü é", " ".join(f"w{i}" for i in range(5000))):
+        h = [int(v) for v in S.word_hashes(words_of(text.encode()))]
+        terms = [(v, 1.0) for v in h] + [(number(a * 0x9E3779B97F4A7C15 + b), S.PAIR_WEIGHT) for a, b in zip(h, h[1:])]  # noqa: B905
+        votes = [0.0] * S.BITS
+        for v, w in terms:
+            body = b"".join(number(v + k).to_bytes(8, "little") for k in range(S.BITS // 64))
+            for i in range(S.BITS):
+                votes[i] += w if body[i // 8] >> (7 - i % 8) & 1 else -w
+        want = sum((v > 0) << (S.BITS - 1 - i) for i, v in enumerate(votes)).to_bytes(S.BITS // 8, "big")
+        sure = sum((abs(v) > 0.01) << (S.BITS - 1 - i) for i, v in enumerate(votes))
+        got = S.fingerprint(np.asarray(h, np.uint64))
+        assert (int.from_bytes(got, "big") ^ int.from_bytes(want, "big")) & sure == 0
+    assert S.fingerprint(np.zeros(0, np.uint64)) == bytes(S.BITS // 8)
