@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import filterfalse, islice
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,7 @@ from tarnlake.llm.words import ranges
 CAPACITY = 2048
 END_ID = 0
 #: Entries a worker's table of known words may hold (about 0.2 kB each); the rest is encoded again.
-WORD_CACHE = 600_000
+WORD_CACHE = 1_100_000
 #: Bytes of texts encoded together.
 TOGETHER = 1_000_000
 
@@ -112,26 +113,25 @@ class WordEncoder:
         return (text if b"\xcc" in text or b"\xcd" in text else text.lower()).split()
 
     def batch(self, texts: list[bytes]) -> list[bytes]:
-        """Ids of each UTF-8 text, without an end id."""
+        """Ids of each UTF-8 text, without an end id. New words join the table; what it has no room for
+        leaves it when the texts are done."""
         known = self.known
         docs = [None if b"<|" in t else self._words(t) for t in texts]
-        new: set[bytes] = set()
+        missing: set[bytes] = set()
         for words in docs:
             if words:
-                new.update(words)
-        ids = dict(zip(new, map(known.get, new), strict=True))  # of this batch alone: smaller than the table
-        missing = [w for w, got in ids.items() if got is None]
+                missing.update(filterfalse(known.__contains__, words))
+        before = len(known)
         if missing:
-            parts = [self._stem(w) for w in missing]
-            atoms = {a for two in parts for a in two}
-            fresh = self._encode([a for a in atoms if a not in known and a])
-            if len(known) < self.limit:
-                known.update(fresh)
-            get = {a: known[a] if a in known else fresh[a] for a in atoms if a}
-            get[b""] = b""
-            ids.update((w, get[a] + get[b]) for w, (a, b) in zip(missing, parts, strict=True))
-        find = ids.__getitem__
-        return [self.whole(text.decode()) if words is None else b"".join(map(find, words)) for text, words in zip(texts, docs, strict=True)]
+            parts = {w: self._stem(w) for w in missing}
+            known.update(self._encode([a for a in {a for two in parts.values() for a in two} if a and a not in known]))
+            known.update((w, known[a] + known[b]) for w, (a, b) in parts.items() if b)
+        ids = known.__getitem__
+        out = [self.whole(text.decode()) if words is None else b"".join(map(ids, words)) for text, words in zip(texts, docs, strict=True)]
+        if len(known) > max(self.limit, before):
+            for w in list(islice(reversed(known), len(known) - max(self.limit, before))):
+                del known[w]
+        return out
 
 
 _coders: dict[str, WordEncoder] = {}
