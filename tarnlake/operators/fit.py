@@ -405,3 +405,47 @@ def _added(key: list[str], other: str | None) -> Callable:
             yield out(k)
 
     return run
+
+
+def identity(tables: list[DataFrame]) -> str:
+    """A digest of the rows of some tables, whatever their order: numbers of rows, and sums and exclusive
+    ors of two hashes of the whole rows."""
+    import hashlib
+
+    parts = []
+    for df in tables:
+        cols = sorted(df.columns)
+        h, g = F.xxhash64(*cols), F.xxhash64(F.lit(1), *cols)
+        row = df.agg(F.count("*"), F.bit_xor(h), F.sum(h.cast("decimal(38,0)")), F.bit_xor(g), F.sum(g.cast("decimal(38,0)"))).head()
+        parts.append([cols, [str(v) for v in row]])
+    return hashlib.sha256(repr(parts).encode()).hexdigest()
+
+
+def fit_subjects(rows: DataFrame, targets: DataFrame, path: str, subjects: list[str], bands: list[str], play: list[str], row: str, partition: str, search: Search = Search(), lags: tuple[int, ...] = LAGS) -> DataFrame:
+    """Fit each of the subjects (a column `subject` of rows and targets) and write PATH/subject=...; a
+    subject whose result is there and was made from the same rows, targets and settings isn't
+    fitted again, one made from others raises. Returns all results with their fingerprint.
+
+    A subject without rows raises before anything is fitted. Results are written when a subject is
+    complete, with `fingerprint` in every row."""
+    spark = rows.sparkSession
+    present = {r[0] for r in rows.where(F.col("subject").isin(subjects)).select("subject").distinct().collect()}  # named by the caller
+    lacking = sorted(set(subjects) - present)
+    if lacking:
+        raise checks.IntegrityError(f"no rows of {lacking}")
+    jvm = spark.sparkContext._jvm
+    files = jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for s in subjects:
+        x, y = rows.where(F.col("subject") == s).drop("subject"), targets.where(F.col("subject") == s).drop("subject")
+        mark = identity([x, y]) + f" {bands} {play} {row} {partition} {lags} {search}"
+        at = f"{path.rstrip('/')}/subject={s}"
+        if files.exists(jvm.org.apache.hadoop.fs.Path(f"{at}/_SUCCESS")):
+            had = spark.read.parquet(at).select("fingerprint").distinct().limit(2).collect()
+            if [r.fingerprint for r in had] != [mark]:
+                raise checks.IntegrityError(f"the result of {s} is of other inputs or settings")
+            continue
+        design = materialize(design_rows(x, bands, play, row, partition, lags))
+        fitted = banded_fit(design, bands, row, partition, y, search)
+        fitted.withColumn("fingerprint", F.lit(mark)).write.mode("overwrite").parquet(at)
+        release(design)
+    return spark.read.parquet(path).where(F.col("subject").isin(subjects))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarnlake.core.shared import materialize
+from tarnlake.operators.windows import numbered
 
 
 #: Frontiers after which what has been seen is written as one table, so that its plan stays small.
@@ -37,3 +38,17 @@ def transitions(rows: DataFrame, src: str, dst: str) -> DataFrame:
     n = rows.groupBy(src, dst).agg(F.count("*").alias("n"))
     out = n.groupBy(src).agg(F.sum("n").alias("_t"))
     return n.join(out, src).select(src, dst, "n", (F.col("n") / F.col("_t")).alias("p"))
+
+
+def reward_vector(seen: DataFrame, states: DataFrame, reward: str) -> DataFrame:
+    """node, place and reward of the states that were reached, in the order of depth, then of name."""
+    r = seen.join(states.select("node", reward), "node", "left")
+    return numbered(r.select("node", "depth", reward), ["depth", "node"], "place").select("node", "place", reward)
+
+
+def any_all(seen: DataFrame, states: DataFrame, predicates: dict) -> DataFrame:
+    """name, any_state and all_states of each predicate (a column over states) over what was reached; all of
+    no states is true, any of none false. A null is no."""
+    r = seen.join(states, "node")
+    holds = [F.struct(F.lit(n).alias("name"), F.coalesce(F.bool_or(F.coalesce(p, F.lit(False))), F.lit(False)).alias("any_state"), F.coalesce(F.bool_and(F.coalesce(p, F.lit(False))), F.lit(True)).alias("all_states")) for n, p in predicates.items()]
+    return r.agg(F.array(*holds).alias("h")).select(F.explode("h").alias("h")).select("h.*")
