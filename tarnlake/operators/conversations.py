@@ -135,3 +135,70 @@ def avatar_classes(text: Column) -> Column:
 def died(events: Column, avatars: Column) -> Column:
     """Whether any of the events (arrays of words) kills a type of avatars."""
     return F.exists(events, lambda e: (F.size(e) >= 2) & (e[0] == "killSprite") & F.array_contains(avatars, e[1]))
+
+
+#: Headings of a game's sections.
+SECTIONS = ("SpriteSet", "InteractionSet", "TerminationSet", "LevelMapping")
+
+
+def section_rows(games: DataFrame, key: list[str], lines: str) -> DataFrame:
+    """key, section, place, content and parent (the place of the line it stands under within the section,
+    null at its top) of the lines of a game's sections. games: key and lines, as of texts.outline()."""
+    rows = games.select(*key, F.posexplode(lines).alias("place", "l")).select(*key, "place", "l.content", "l.parent")
+    w = Window.partitionBy(*key).orderBy("place")
+    head = F.when(F.col("content").isin(*SECTIONS), F.struct("content", "place"))
+    rows = rows.withColumn("_h", F.last(head, ignorenulls=True).over(w)).where("_h is not null and _h.place < place")
+    return rows.select(*key, F.col("_h.content").alias("section"), "place", "content", F.when(F.col("parent") > F.col("_h.place"), F.col("parent")).alias("parent"))
+
+
+def _settings(text: Column) -> Column:
+    """The words name=value of a line as a map; of a name that comes again the last holds."""
+    words = F.filter(F.split(text, r"\s+"), lambda x: x.contains("="))
+    pairs = F.transform(words, lambda x: F.named_struct(F.lit("key"), F.substring_index(x, "=", 1), F.lit("value"), F.substring(x, F.instr(x, "=") + 1, F.length(x))))
+    last = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.greatest(F.size(pairs) - i - 1, F.lit(0))), lambda q: q["key"] == p["key"]))
+    return F.map_from_entries(last)
+
+
+def game_types(sections: DataFrame, key: list[str]) -> DataFrame:
+    """key, name, parent, leaf, class and colour of a game's types: a line `name > Class img=.../COLOUR`
+    stands under its parent. A leaf has no line under it; its class and image are its own or those of
+    the nearest type above that has them."""
+    s = sections.where("section = 'SpriteSet'")
+    left, right = F.trim(F.split_part("content", F.lit(">"), F.lit(1))), F.trim(F.split_part("content", F.lit(">"), F.lit(2)))
+    image = F.element_at(_settings(right), "img")
+    own = s.select(*key, "place", "parent", F.element_at(F.split(left, r"\s+"), -1).alias("name"), F.get(F.filter(F.split(right, r"\s+"), lambda x: (x != "") & ~x.contains("=")), F.lit(0)).alias("class"), F.when(F.contains(image, F.lit("/")), F.split_part(image, F.lit("/"), F.lit(2))).alias("colour"))
+    above = own.select(*key, F.col("place").alias("parent"), F.col("name").alias("parent_name"))
+    t = own.join(above, [*key, "parent"], "left")
+    inner = own.where("parent is not null").select(*key, F.col("parent").alias("place"), F.lit(True).alias("_inner")).distinct()
+    t = t.join(inner, [*key, "place"], "left").withColumn("leaf", F.col("_inner").isNull())
+    up = ancestors(t.select(*key, "name", F.col("parent_name").alias("parent")), key, "name", "parent")
+    has = own.select(*key, F.col("name").alias("above"), "place", "class", "colour")
+    nearest = up.join(has, [*key, "above"]).groupBy(*key, "name").agg(F.max_by("class", F.when(F.col("class").isNotNull(), F.col("place"))).alias("class"), F.max_by("colour", F.when(F.col("colour").isNotNull(), F.col("place"))).alias("colour"))
+    return t.select(*key, "name", F.col("parent_name").alias("parent"), "leaf").join(nearest, [*key, "name"])
+
+
+def game_effects(sections: DataFrame, key: list[str]) -> DataFrame:
+    """key, actor, effect, actee and settings of a game's lines `actor actee ... > effect name=value ...`; a
+    line with several actees is one of each."""
+    s = sections.where("section = 'InteractionSet' and content like '%>%'")
+    left, right = F.split(F.trim(F.split_part("content", F.lit(">"), F.lit(1))), r"\s+"), F.trim(F.split_part("content", F.lit(">"), F.lit(2)))
+    effect = F.get(F.filter(F.split(right, r"\s+"), lambda x: (x != "") & ~x.contains("=")), F.lit(0))
+    others = F.slice(left, F.lit(2), F.greatest(F.size(left) - 1, F.lit(0)))
+    return s.select(*key, F.get(left, F.lit(0)).alias("actor"), effect.alias("effect"), F.explode(others).alias("actee"), _settings(right).alias("settings")).where("effect is not null")
+
+
+def action_indices(actions: Column, index: dict[str, int]) -> Column:
+    """The numbers of the names of recorded actions, whatever their case; of others 0."""
+    known = F.create_map(*[x for k, v in index.items() for x in (F.lit(k.lower()), F.lit(v))])
+    return F.transform(F.coalesce(actions, F.array().cast("array<string>")), lambda a: F.coalesce(F.element_at(known, F.lower(a)), F.lit(0)))
+
+
+def first_found(files: DataFrame, path: str, text: str, root: str, names: list[str], folders: list[str]) -> DataFrame:
+    """name and text of each prompt: ROOT/FOLDER/NAME.txt in the first folder that has it ('' is ROOT itself).
+    A name in none of them raises. files: paths and texts, as of a whole-text read."""
+    want = files.sparkSession.createDataFrame([(n, k, "/".join(p for p in (root.rstrip("/"), f, f"{n}.txt") if p)) for n in names for k, f in enumerate(folders)], "name string, place int, _path string")
+    found = want.join(files.select(F.col(path).alias("_path"), F.col(text).alias("text")), "_path").groupBy("name").agg(F.min_by("text", "place").alias("text"))
+    from tarnlake.core import checks
+
+    checks.require_empty(want.select("name").distinct().join(found, "name", "left_anti"), "prompts in any of the folders")
+    return found

@@ -11,6 +11,7 @@ from tarnlake.operators import conversations as C
 from tarnlake.operators import observations as O
 from tarnlake.operators import replay as P
 from tarnlake.operators import state as T
+from tarnlake.operators import texts as X
 from tarnlake.plans.analysis import ADVANCE, WINDOWS
 from tarnlake.plans.behaviour import ORDER
 from tarnlake.plans.bindings import EV, plays
@@ -140,6 +141,20 @@ def avatar_deaths(spark, d):
     return p.select("event_id", C.died(event, own).alias("died"))
 
 
+@query("known_from_texts", f"""WITH {EV}, t AS (SELECT DISTINCT user_id, event_type, CASE event_type WHEN 'purchase' THEN 'BLUE' ELSE upper(event_type) END AS c, CASE WHEN event_type IN ('click', 'purchase') THEN 'moving' ELSE 'static' END AS g FROM ev)
+SELECT DISTINCT a.user_id, a.c AS actor, 'kill' AS effect, b.c AS actee FROM t a JOIN t b USING (user_id) WHERE a.g = 'moving' AND b.g = 'static'
+UNION SELECT DISTINCT a.user_id, a.c, 'push', b.c FROM t a JOIN t b USING (user_id) WHERE a.event_type = 'error' AND (b.event_type = 'click' OR b.g = 'moving')""")
+def known_from_texts(spark, d):
+    """A game's text for each user, with the user's event types as its sprites: types, effects and what meets what."""
+    p = plays(spark, d).select("user_id", "event_type").distinct()
+    line = F.when(F.col("event_type") == "purchase", "      purchase >").otherwise(F.concat(F.lit("      "), F.col("event_type"), F.lit(" > Missile img=colors/"), F.col("event_type")))
+    moving = F.col("event_type").isin("click", "purchase")
+    g = p.groupBy("user_id").agg(F.array_join(F.array_sort(F.collect_list(F.when(moving, line))), "\n").alias("m"), F.array_join(F.array_sort(F.collect_list(F.when(~moving, line))), "\n").alias("s"))
+    text = F.concat_ws("\n", F.lit("BasicGame # comment\n  SpriteSet\n    moving > Mover img=colors/blue"), "m", F.lit("    static > img=colors/none"), "s", F.lit("  TerminationSet\n    Timeout limit=9\n  InteractionSet\n    moving static > kill\n    click EOS > stepBack\n    error click moving > push score=1"))
+    s = C.section_rows(g.select("user_id", X.outline(text).alias("o")), ["user_id"], "o")
+    return C.known_interactions(C.game_types(s, ["user_id"]), C.game_effects(s, ["user_id"]), ["user_id"])
+
+
 # --- compact replays, resumed runs -------------------------------------------------------------
 
 @query("compacted", f"""WITH {EV}, f AS (SELECT user_id, event_type, k, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS frame FROM ev),

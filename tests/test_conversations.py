@@ -119,3 +119,44 @@ def test_what_was_lost_is_found(spark, damage):
         small = small.where("rec = 'q'")
     got = {r.rec: r.same for r in K.verified(small, source, ["rec"], "frame", ["score"]).collect()}
     assert got == {"r": False, "q": True}
+
+
+GAME = """BasicGame block=2
+  SpriteSet   # types
+    wall > Immovable img=colors/DARKGRAY
+    thing > Missile speed=1 img=colors/RED
+      fast > speed=2
+        faster >
+      slow > Passive img=colors/BLUE speed=3 speed=4
+    bare > Passive
+  InteractionSet
+    thing wall EOS > bounce
+    fast slow > killSprite score=1
+  TerminationSet
+    SpriteCounter stype=slow limit=0 win=True
+"""
+
+
+def test_types_and_effects_of_a_game(spark):
+    from tarnlake.operators import texts as T
+
+    g = spark.createDataFrame([(1, GAME), (2, "no game")], "g int, t string").select("g", T.outline(F.col("t")).alias("o"))
+    s = C.section_rows(g, ["g"], "o")
+    assert {r.section for r in s.collect()} == set(C.SECTIONS[:3]) and s.where("section = 'TerminationSet'").count() == 1
+    types = {r.name: (r.parent, r.leaf, r["class"], r.colour) for r in C.game_types(s, ["g"]).collect()}
+    assert types == {
+        "wall": (None, True, "Immovable", "DARKGRAY"), "thing": (None, False, "Missile", "RED"), "fast": ("thing", False, "Missile", "RED"), "faster": ("fast", True, "Missile", "RED"), "slow": ("thing", True, "Passive", "BLUE"), "bare": (None, True, "Passive", None),
+    }
+    effects = {(r.actor, r.effect, r.actee, tuple(sorted(r.settings.items()))) for r in C.game_effects(s, ["g"]).collect()}
+    assert effects == {("thing", "bounce", "wall", ()), ("thing", "bounce", "EOS", ()), ("fast", "killSprite", "slow", (("score", "1"),))}
+    got = {tuple(r) for r in C.known_interactions(C.game_types(s, ["g"]), C.game_effects(s, ["g"]), ["g"]).collect()}
+    assert got == {(1, "RED", "bounce", "DARKGRAY"), (1, "BLUE", "bounce", "DARKGRAY"), (1, "RED", "killSprite", "BLUE")}
+
+
+def test_prompts_and_actions_by_name(spark):
+    files = spark.createDataFrame([("r/a.txt", "root a"), ("r/sub/a.txt", "sub a"), ("r/b.txt", "root b")], "path string, value string")
+    assert {tuple(r) for r in C.first_found(files, "path", "value", "r/", ["a", "b"], ["sub", ""]).collect()} == {("a", "sub a"), ("b", "root b")}
+    with pytest.raises(IntegrityError, match="prompts"):
+        C.first_found(files, "path", "value", "r", ["c"], ["sub", ""])
+    df = spark.createDataFrame([(["UP", "left", "jump", None],), (None,)], "a array<string>")
+    assert [r[0] for r in df.select(C.action_indices(F.col("a"), {"up": 1, "LEFT": 2})).collect()] == [[1, 2, 0, 0], []]
