@@ -37,8 +37,8 @@ def record_errors(spark, d):
     return R.record_errors(r, "user_id", "replay")
 
 
-@query("optional_columns", f"WITH {EV} SELECT CAST(steps AS DOUBLE) AS trans_x, CASE WHEN k % 5 = 0 THEN 0.0 ELSE k / 2.0 END AS csf FROM ev")
-def optional_columns(spark, d):
+@query("confound_columns", f"WITH {EV} SELECT CAST(steps AS DOUBLE) AS trans_x, CASE WHEN k % 5 = 0 THEN 0.0 ELSE k / 2.0 END AS csf FROM ev")
+def confound_columns(spark, d):
     """A table with two of the wanted columns and others, whose cells are in part n/a and NaN."""
     cell = F.when(F.col("k") % 10 == 0, "n/a").when(F.col("k") % 10 == 5, "NaN").otherwise((F.col("k") / 2).cast("string"))
     p = plays(spark, d).select("user_id", F.concat_ws("\t", cell, F.lit("x"), F.col("steps").cast("string")).alias("line"))
