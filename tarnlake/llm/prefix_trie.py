@@ -146,8 +146,8 @@ def split(seqs: DataFrame, limit: int) -> tuple[list[DataFrame], list[DataFrame]
             F.max("above").alias("above"), F.sum("n").alias("n_convs"), F.min("low").alias("conv_id"), F.max(F.when(left == 0, F.col("ends_sha256"))).alias("ends_sha256"),
             F.max(F.element_at("words", level) if level else F.lit(0)).cast("long").alias("words"),
         )
-        own = own.join(sizes.groupBy("prefix").agg(F.count("*").alias("n_children")), "prefix", "left").fillna(0, "n_children")
-        nodes.append(materialize(own))
+        both = own.unionByName(sizes.groupBy("prefix").agg(F.count("*").alias("n_children")), allowMissingColumns=True)  # one row of either for a prefix
+        nodes.append(materialize(both.groupBy("prefix").agg(*[F.max(c).alias(c) for c in own.columns[1:]], F.coalesce(F.max("n_children"), F.lit(0)).alias("n_children"))))
         large = sizes.where((F.col("turns") > limit) & (F.col("seqs") > 1)).select("prefix", "next")
         small.append(going.join(large, ["prefix", "next"], "left_anti").withColumn("level", F.lit(level)))
         if large.isEmpty():
