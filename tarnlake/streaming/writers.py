@@ -11,8 +11,9 @@ import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -45,6 +46,10 @@ def chunked(frames: DataFrame, size: int) -> DataFrame:
     return frames.groupBy("play").applyInPandasWithState(update, CHUNKS, "chunk int, first long, kept string", "append", GroupStateTimeout.NoTimeout)
 
 
+#: Parts of the plays by which chunks are kept, so that publishing reads those alone that hold ended plays.
+PARTS = 64
+
+
 def publisher(path: str) -> Callable[[DataFrame, int], None]:
     """What a batch of chunks does: write them to chunks/batch=N, then the plays that end in it, from
     their chunks of all batches, to plays/batch=N."""
@@ -52,12 +57,15 @@ def publisher(path: str) -> Callable[[DataFrame, int], None]:
     def publish(batch: DataFrame, number: int) -> None:
         spark: SparkSession = batch.sparkSession
         at = f"{path}/chunks/batch={number}"
-        batch.write.mode("overwrite").parquet(at)
-        ended = spark.read.schema(batch.schema).parquet(at).where("ended").select("play")
-        all_ = spark.read.schema(batch.schema).option("basePath", f"{path}/chunks").parquet(f"{path}/chunks").where(F.col("batch") <= number)
-        whole = all_.join(ended, "play", "left_semi").withColumn("last", F.max(F.when(F.col("ended"), F.col("chunk"))).over(Window.partitionBy("play")))
-        rows = whole.select("play", "chunk", "last", F.posexplode("steps").alias("i", "vector"), "first").select("play", (F.col("first") + F.col("i")).alias("step"), "vector", "last")
-        rows.drop("last").write.mode("overwrite").parquet(f"{path}/plays/batch={number}")
+        batch.withColumn("part", F.pmod(F.xxhash64("play"), F.lit(PARTS)).cast("int")).write.mode("overwrite").partitionBy("part").parquet(at)
+        schema = T.StructType([*batch.schema.fields, T.StructField("part", T.IntegerType())])
+        ended = spark.read.schema(schema).parquet(at).where("ended").select("play", "part")
+        parts = [r.part for r in ended.select("part").distinct().collect()]  # PARTS at most
+        kept = T.StructType([*batch.schema.fields, T.StructField("batch", T.LongType()), T.StructField("part", T.IntegerType())])
+        all_ = spark.read.schema(kept).option("basePath", f"{path}/chunks").parquet(f"{path}/chunks").where(F.col("part").isin(parts) & (F.col("batch") <= number))
+        whole = all_.join(ended.select("play"), "play", "left_semi")
+        rows = whole.select("play", F.posexplode("steps").alias("i", "vector"), "first").select("play", (F.col("first") + F.col("i")).alias("step"), "vector")
+        rows.write.mode("overwrite").parquet(f"{path}/plays/batch={number}")
 
     return publish
 
