@@ -60,3 +60,37 @@ def tagged_float(value: Column, tag: Column) -> Column:
     """A recorded double: the value, or NaN and infinities by their tag."""
     special = F.when(tag == "nan", F.lit(float("nan"))).when(tag == "inf", F.lit(float("inf"))).when(tag == "-inf", F.lit(float("-inf")))
     return F.coalesce(special, value)
+
+
+def tagged(value: Column, kind: str, tag: str) -> Column:
+    """JSON of a double, a binary or a time: finite doubles are numbers, all else an object whose `tag` says
+    what it is. Null is null."""
+    if kind == "double":
+        name = F.when(F.isnan(value), "nan").when(value == float("inf"), "inf").when(value == float("-inf"), "-inf")
+        special = F.to_json(F.struct(F.lit("float").alias(tag), name.alias("value")))
+        return F.when(name.isNotNull(), special).when(value.isNotNull(), value.cast("string")).otherwise("null")
+    if kind == "binary":
+        return F.when(value.isNotNull(), F.to_json(F.struct(F.lit("binary").alias(tag), F.base64(value).alias("base64"), F.lit(0).alias("subtype")))).otherwise("null")
+    if kind == "timestamp":
+        return F.when(value.isNotNull(), F.to_json(F.struct(F.lit("datetime").alias(tag), F.date_format(value, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("iso")))).otherwise("null")
+    raise ValueError(f"no such kind: {kind}")
+
+
+def untagged(text: Column, kind: str, tag: str) -> Column:
+    """The double, binary or time of tagged(); an object of another kind, or no value of it, fails the job."""
+    names = {"double": "float", "binary": "binary", "timestamp": "datetime"}
+    if kind not in names:
+        raise ValueError(f"no such kind: {kind}")
+    object_ = F.from_json(text, f"struct<`{tag}`:string,value:string,base64:string,iso:string>")
+    has = F.startswith(F.ltrim(text), F.lit("{"))
+    wrong = F.raise_error(F.concat(F.lit(f"no {kind}: "), text))
+    if kind == "double":
+        name = object_["value"]
+        special = F.when(name == "nan", F.lit(float("nan"))).when(name == "inf", F.lit(float("inf"))).when(name == "-inf", F.lit(float("-inf")))
+        good, number = special, text.try_cast("double")
+        plain = F.when(number.isNotNull(), number).otherwise(wrong.cast("double"))
+    else:
+        good = F.unbase64(object_["base64"]) if kind == "binary" else F.try_to_timestamp(object_["iso"])
+        plain = wrong.cast(kind)
+    ok = (object_[tag] == names[kind]) & good.isNotNull()
+    return F.when(text.isNull() | (F.trim(text) == "null"), F.lit(None).cast(kind)).when(has & F.coalesce(ok, F.lit(False)), good).when(has, wrong.cast(kind)).otherwise(plain)

@@ -26,6 +26,22 @@ def key_moments(rows: DataFrame, play: list[str], order: list[str], outcome: str
     return rows.withColumn("reason", reason).where("reason is not null")
 
 
+def not_waiting(rows: DataFrame, action: str, waits: tuple[str, ...]) -> DataFrame:
+    """Rows with another action than waiting; a null action is none."""
+    return rows.where(~F.coalesce(F.col(action).isin(*waits), F.lit(True)))
+
+
+#: The ways of sampling by name, each a function of the rows and its own columns.
+SAMPLERS = {"all": lambda rows: rows, "non_wait": not_waiting, "key_moments": key_moments}
+
+
+def sampled(rows: DataFrame, way: str, **how) -> DataFrame:
+    """Rows by a named way of sampling; an unknown one raises."""
+    if way not in SAMPLERS:
+        raise ValueError(f"no such way: {way}; there are {sorted(SAMPLERS)}")
+    return SAMPLERS[way](rows, **how)
+
+
 def next_position(frames: DataFrame, key: list[str], frame: str, cols: list[str]) -> DataFrame:
     """Objects with the position that they have in the next frame, their own where they are gone."""
     nxt = frames.select(*key, (F.col(frame) - 1).alias(frame), *[F.col(c).alias(f"_{c}") for c in cols])

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tarnlake.core.session import table
+from tarnlake.functions import text as T
 from tarnlake.operators import observations as O
 from tarnlake.plans.behaviour import ORDER, PLAY
 from tarnlake.plans.bindings import EV, plays
@@ -39,6 +40,23 @@ def key_moments(spark, d):
     return O.key_moments(p, PLAY, ORDER, "outcome", "score", "event_type").select("event_id", "reason")
 
 
+@query("sampled_ways", f"""WITH {EV} SELECT 'all' AS way, CAST(count(*) AS BIGINT) AS n, CAST(sum(event_id) AS BIGINT) AS ids FROM ev UNION ALL SELECT 'non_wait', CAST(count(*) AS BIGINT), CAST(sum(event_id) AS BIGINT) FROM ev WHERE event_type NOT IN ('view', 'error')""")
+def sampled_ways(spark, d):
+    p = plays(spark, d)
+    parts = [O.sampled(p, "all").withColumn("way", F.lit("all")), O.sampled(p, "non_wait", action="event_type", waits=("view", "error")).withColumn("way", F.lit("non_wait"))]
+    return parts[0].unionByName(parts[1]).groupBy("way").agg(F.count("*").alias("n"), F.sum("event_id").alias("ids"))
+
+
+@query("tagged_values", f"""WITH {EV} SELECT event_id, CASE WHEN k % 4 = 0 THEN '{{{{"tag":"float","value":"nan"}}}}' WHEN k % 4 = 1 THEN '{{{{"tag":"float","value":"-inf"}}}}' ELSE CAST(k AS VARCHAR) || '.0' END AS number, '{{{{"tag":"datetime","iso":"' || strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') || '"}}}}' AS time, true AS same FROM ev""".replace("{{", "{").replace("}}", "}"))
+def tagged_values(spark, d):
+    """Doubles, some of them no numbers, and times as tagged JSON and back."""
+    k = F.col("k")
+    x = F.when(k % 4 == 0, float("nan")).when(k % 4 == 1, float("-inf")).otherwise(k.cast("double"))
+    p = plays(spark, d).select("event_id", x.alias("x"), F.col("ts").cast("timestamp").alias("ts")).withColumns({"number": T.tagged(F.col("x"), "double", "tag"), "time": T.tagged(F.col("ts"), "timestamp", "tag")})
+    back = F.col("x").eqNullSafe(T.untagged(F.col("number"), "double", "tag")) & F.col("ts").eqNullSafe(T.untagged(F.col("time"), "timestamp", "tag"))
+    return p.select("event_id", "number", "time", back.alias("same"))
+
+
 OBJ = NUM + ", ob AS (SELECT user_id, level, i AS frame, event_type AS colour, event_id AS uid, k AS x, steps AS y FROM nv)"
 
 

@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tarnlake.operators import observations as O
@@ -41,3 +42,27 @@ def test_lateral(spark):
 def test_pooling_overlaps_when_it_grows(spark):
     df = spark.createDataFrame([([1.0, 3.0],)], "v array<double>")
     assert df.select(O.pooled(F.col("v"), 2, 3).alias("p")).first().p == [1.0, 2.0, 3.0]
+
+
+def test_tagged_values_and_what_is_none(spark):
+    import datetime
+
+    from tarnlake.functions import text as X
+
+    when = datetime.datetime(2024, 1, 2, 3, 4, 5, 60)
+    df = spark.createDataFrame([(1.5, bytearray(b"\x00\xff"), when), (float("inf"), bytearray(b""), when), (None, None, None)], "x double, b binary, t timestamp")
+    kinds = {"x": "double", "b": "binary", "t": "timestamp"}
+    coded = df.select("*", *[X.tagged(F.col(c), k, "$k").alias(f"{c}_") for c, k in kinds.items()])
+    assert [r.x_ for r in coded.collect()] == ["1.5", '{"$k":"float","value":"inf"}', "null"]
+    back = coded.select(*[X.untagged(F.col(f"{c}_"), k, "$k").alias(c) for c, k in kinds.items()]).collect()
+    assert [tuple(r) for r in back] == [tuple(r) for r in df.collect()]
+    for text, kind in (("{}", "double"), ('{"$k":"float","value":"2"}', "double"), ('{"$k":"binary"}', "timestamp"), ("words", "double"), ("7", "binary")):
+        with pytest.raises(Exception, match="no (double|binary|timestamp)"):
+            spark.createDataFrame([(text,)], "t string").select(X.untagged(F.col("t"), kind, "$k")).collect()
+
+
+def test_ways_of_sampling(spark):
+    df = spark.createDataFrame([(0, "wait"), (1, "up"), (2, None)], "i int, a string")
+    assert [r.i for r in O.sampled(df, "non_wait", action="a", waits=("wait",)).collect()] == [1] and O.sampled(df, "all").count() == 3
+    with pytest.raises(ValueError, match="no such way"):
+        O.sampled(df, "whatever")
