@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -85,12 +90,33 @@ def is_sampled(frame: Column, pressed: Column, action_frames_only: bool, stride:
 WIDTHS = (30, 30, 25, 20, 15, 10)
 
 
+def heights(n: np.ndarray) -> np.ndarray:
+    """The largest divisor of each whole number up to its root; of those below 1 it is 1."""
+    values, back = np.unique(n, return_inverse=True)
+    out = np.ones(len(values), np.int64)
+    at = np.flatnonzero(values > 0)
+    left = values[at]
+    for h in range(math.isqrt(int(left[-1])) if len(left) else 1, 1, -1):
+        lo = np.searchsorted(left, h * h)
+        met = left[lo:] % h == 0
+        if met.any():
+            out[at[lo:][met]] = h
+            stay = np.concatenate([np.ones(lo, bool), ~met])
+            left, at = left[stay], at[stay]
+    return out[back]
+
+
 def spatial_size(flat: Column, channels: Column) -> Column:
     """struct(h, w) of a flattened layer: the first of the widths that divides the places of a channel,
     else the largest height up to their root that does."""
     n = (flat.cast("long") / channels).cast("long")
-    root = F.floor(F.sqrt(n.cast("double"))).cast("int")
-    height = F.coalesce(F.array_max(F.filter(F.sequence(F.lit(1), F.greatest(root, F.lit(1))), lambda h: n % h == 0)), F.lit(1)).cast("long")
+    wide = reduce(Column.__or__, [n % w == 0 for w in WIDTHS])
+
+    @F.pandas_udf("long")
+    def tallest(v: pd.Series) -> pd.Series:
+        return pd.Series(heights(v.to_numpy(np.int64)))
+
+    height = tallest(F.when(wide | n.isNull(), F.lit(0).cast("long")).otherwise(n))
     out = F.struct(height.alias("h"), F.floor(n / height).alias("w"))
     for w in reversed(WIDTHS):
         out = F.when((n % w == 0) & (n > 0), F.struct(F.floor(n / w).alias("h"), F.lit(w).cast("long").alias("w"))).otherwise(out)
@@ -98,6 +124,10 @@ def spatial_size(flat: Column, channels: Column) -> Column:
 
 
 def common_resolution(layers: DataFrame, layer: str, flat: str, channels: str) -> DataFrame:
-    """The least height and the least width of each layer over games."""
-    s = layers.select(layer, spatial_size(F.col(flat), F.col(channels)).alias("s"))
-    return s.groupBy(layer).agg(F.min("s.h").alias("h"), F.min("s.w").alias("w"))
+    """The least height and the least width of each layer over games. Each number of places is sized
+    once, however many rows and layers have it."""
+    n = (F.col(flat).cast("long") / F.col(channels)).cast("long")
+    each = layers.select(F.col(layer).alias("_layer"), n.alias("_n")).distinct()
+    sizes = each.select(F.col("_n").alias("_m")).distinct().select("_m", spatial_size(F.col("_m"), F.lit(1)).alias("s"))
+    met = each.join(sizes, F.col("_n").eqNullSafe(F.col("_m")))
+    return met.groupBy(F.col("_layer").alias(layer)).agg(F.min("s.h").alias("h"), F.min("s.w").alias("w"))
