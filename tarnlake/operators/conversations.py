@@ -89,37 +89,62 @@ def merged_steps(plays: DataFrame, frames: DataFrame, gen_plays: DataFrame, gen_
     return good.select(*gen_steps.columns, "pos", "measured_time"), errors
 
 
-def ancestors(types: DataFrame, key: list[str], name: str, parent: str, most: int = 40) -> DataFrame:
-    """(key, name, above): every type with itself and all types above it. Paths double in length every
-    round, so that rounds are as many as the logarithm of the depth; a circle raises."""
+def _all_above(pairs: DataFrame, key: list[str], most: int) -> DataFrame:
+    """(key, a, b) of all paths along pairs of a type a and the type b it stands under. Paths double in
+    length every round, so that rounds are as many as the logarithm of the depth; a circle raises."""
     from tarnlake.core.checks import IntegrityError
-    from tarnlake.core.shared import materialize
+    from tarnlake.core.shared import materialize, release
 
-    pairs = materialize(types.where(F.col(parent).isNotNull()).select(*key, F.col(name).alias("a"), F.col(parent).alias("b"), F.lit(1).cast("long").alias("d")).distinct())
+    pairs = materialize(pairs.select(*key, "a", "b").distinct())
     size = pairs.count()
     for _ in range(most):
         if pairs.where("a = b").limit(1).count():
             raise IntegrityError("a type is its own ancestor")
-        longer = pairs.alias("x").join(pairs.select(*key, F.col("a").alias("b"), F.col("b").alias("c"), F.col("d").alias("e")), [*key, "b"]).select(*key, "a", F.col("c").alias("b"), (F.col("d") + F.col("e")).alias("d"))
-        pairs = materialize(pairs.unionByName(longer).groupBy(*key, "a", "b").agg(F.min("d").alias("d")))
-        before, size = size, pairs.count()
+        longer = pairs.select(*key, "a", F.col("b").alias("_m")).join(pairs.select(*key, F.col("a").alias("_m"), "b"), [*key, "_m"]).select(*key, "a", "b")
+        grown = materialize(pairs.unionByName(longer).distinct())
+        release(pairs)
+        pairs, before, size = grown, size, grown.count()
         if size == before:
-            own = types.select(*key, F.col(name).alias("name"), F.col(name).alias("above"))
-            return own.unionByName(pairs.select(*key, F.col("a").alias("name"), F.col("b").alias("above"))).distinct()
+            return pairs
     raise IntegrityError(f"types are deeper than 2 ** {most}")
 
 
+def ancestors(types: DataFrame, key: list[str], name: str, parent: str, most: int = 40) -> DataFrame:
+    """(key, name, above): every type with itself and all types above it; a circle raises. Paths are
+    followed among the types that others stand under; the others take those of their parents."""
+    pairs = types.where(F.col(parent).isNotNull()).select(*key, F.col(name).alias("a"), F.col(parent).alias("b")).distinct()
+    inner = pairs.join(pairs.select(*key, F.col("b").alias("a")).distinct(), [*key, "a"], "left_semi")
+    far = pairs.select(*key, "a", F.col("b").alias("_m")).join(_all_above(inner, key, most).select(*key, F.col("a").alias("_m"), "b"), [*key, "_m"]).select(*key, "a", "b")
+    own = types.select(*key, F.col(name).alias("name"), F.col(name).alias("above"))
+    return own.unionByName(pairs.unionByName(far).select(*key, F.col("a").alias("name"), F.col("b").alias("above"))).distinct()
+
+
 def known_interactions(types: DataFrame, effects: DataFrame, key: list[str]) -> DataFrame:
     """(key, actor, effect, actee) in colours: each effect between two types holds between the leaves
     below them. types: name, parent, leaf, colour (leaves without one have none); effects: actor,
-    effect, actee. A type that is a leaf itself stands for itself alone; EOS is no type."""
-    up = ancestors(types, key, "name", "parent")
-    leaves = types.where("leaf").select(*key, "name", "colour")
-    under = up.join(leaves, [*key, "name"]).join(leaves.select(*key, F.col("name").alias("above"), F.lit(True).alias("_own")), [*key, "above"], "left")
-    under = under.where("_own is null or name = above").where("colour is not null")
-    side = lambda c: under.select(*key, F.col("above").alias(c), F.upper("colour").alias(f"_{c}")).distinct()
-    met = effects.where("actee <> 'EOS'").join(side("actor"), [*key, "actor"]).join(side("actee"), [*key, "actee"])
-    return met.select(*key, F.col("_actor").alias("actor"), "effect", F.col("_actee").alias("actee")).distinct()
+    effect, actee. A type that is a leaf itself stands for itself alone; EOS is no type.
+
+    Leaves under a parent count as their distinct colours from there on, so that no row is made of a
+    leaf and a type far above it. Types are dealt by name before they are grouped, as grouping within
+    the tasks that read them would hold all names that a task reads."""
+    from tarnlake.core.shared import materialize
+
+    leaf, name = F.coalesce("leaf", F.lit(False)), F.col("name")
+    rows = types.select(*key, "name", "parent", leaf.alias("leaf"), F.when(leaf, F.upper("colour")).alias("colour")).repartition(*key, "name")
+    each = materialize(rows.groupBy(*key, "name").agg(F.collect_set("parent").alias("parents"), F.collect_set("colour").alias("colours"), F.bool_or("leaf").alias("leaf")))
+    pairs = each.select(*key, name.alias("a"), "leaf", F.explode("parents").alias("b"))
+    parents = materialize(pairs.select(*key, F.col("b").alias("a")).distinct())
+    above = _all_above(pairs.join(parents, [*key, "a"], "left_semi"), key, 40)
+    near = each.where("leaf").select(*key, F.explode("parents").alias("above"), "colours").select(*key, "above", F.explode("colours").alias("_c")).distinct()
+    far = near.select(*key, F.col("above").alias("a"), "_c").join(above, [*key, "a"]).select(*key, F.col("b").alias("above"), "_c")
+    alone = each.where("leaf").join(parents.withColumnRenamed("a", "name"), [*key, "name"], "left_semi").select(*key, name.alias("above"))
+    met = materialize(effects.where("actee <> 'EOS'").select(*key, "actor", "effect", "actee").distinct())
+    named = met.select(*key, F.col("actor").alias("name")).unionByName(met.select(*key, F.col("actee").alias("name"))).distinct()
+    own = each.where("leaf").join(named, [*key, "name"], "left_semi").select(*key, name.alias("above"), F.explode("colours").alias("_c"))
+    under = materialize(near.unionByName(far).join(alone, [*key, "above"], "left_anti").unionByName(own).distinct())
+    side = lambda c: under.select(*key, F.col("above").alias(c), F.col("_c").alias(f"_{c}"))
+    half = met.join(side("actor"), [*key, "actor"]).select(*key, "_actor", "effect", "actee").distinct()
+    return half.join(side("actee"), [*key, "actee"]).select(*key, F.col("_actor").alias("actor"), "effect", F.col("_actee").alias("actee")).distinct()
 
 
 def avatar_classes(text: Column) -> Column:

@@ -77,6 +77,23 @@ def test_types_deep_and_in_a_circle(spark):
         C.ancestors(types.withColumn("parent", F.when(F.col("name") == "t20", "t0").otherwise(F.col("parent"))), ["g"], "name", "parent")
 
 
+def test_many_leaves_under_a_deep_type_make_no_pairs(spark, monkeypatch):
+    """2,000 leaves below eight types one over the other, some of them named twice: no written table has more rows than there are types."""
+    from tarnlake.core import shared
+
+    sizes, write = [], shared.materialize
+    monkeypatch.setattr(shared, "materialize", lambda df: sizes.append(write(df)) or sizes[-1])
+    monkeypatch.setattr(shared, "release", lambda *tables: None)
+    leaves = [(1, f"l{i}", f"t{i % 2}", True, ["red", "blue", None][i % 3]) for i in range(2000)]
+    chain = [(1, f"t{i}", f"t{max(i + 1, 2)}", False, "none") for i in range(8)]
+    types = spark.createDataFrame([*leaves, *chain, (1, "l0", "other", True, "green"), (1, "l1", "l4", True, None)], "g int, name string, parent string, leaf boolean, colour string")
+    effects = spark.createDataFrame([(1, "t5", "kill", "l1"), (1, "other", "push", "other"), (1, "l4", "bounce", "l4")], "g int, actor string, effect string, actee string")
+    got = {tuple(r) for r in C.known_interactions(types, effects, ["g"]).collect()}
+    two = [(1, a, "push", b) for a in ("RED", "GREEN") for b in ("RED", "GREEN")]
+    assert got == {(1, "RED", "kill", "BLUE"), (1, "BLUE", "kill", "BLUE"), (1, "GREEN", "kill", "BLUE"), (1, "BLUE", "bounce", "BLUE"), *two}
+    assert sizes and max(t.count() for t in sizes) <= types.count()
+
+
 def test_avatars_and_their_deaths(spark):
     text = "BasicGame\n SpriteSet\n  avatar > MovingAvatar img=x\n\tghost>ShootAvatar\n  wall > Immovable note=Avatar\n  a b > OneAvatar\n"
     df = spark.createDataFrame([(text, [["killSprite", "ghost", "wall"]]), (text, [["killSprite", "wall", "avatar"], ["killSprite"], []]), ("none", [["killSprite", "avatar"]])], "t string, e array<array<string>>")
