@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tarnlake.core import checks
-from tarnlake.core.shared import materialize
+from tarnlake.core.shared import materialize, release
 from tarnlake.operators.windows import numbered
 from tarnlake.sources.archives import located
 
@@ -24,8 +24,9 @@ WRITTEN = "path string, sha256 string, size long, text_sha256 string"
 def write_documents(rows: DataFrame, root: str) -> DataFrame:
     """Write each row's text to ROOT/path, as gzip without a time where path ends in .gz, and return path,
     sha256 and size of the file and text_sha256. A file takes its name when it is complete, and a task
-    that is run again leaves the same. Paths that repeat or leave ROOT raise before anything is written."""
-    own = rows.select(F.col("path").cast("string").alias("path"), F.coalesce("text", F.lit("")).alias("text"))
+    that is run again leaves the same. Paths that repeat or leave ROOT raise before anything is written.
+    The rows are computed once, however many checks there are."""
+    own = materialize(rows.select(F.col("path").cast("string").alias("path"), F.coalesce("text", F.lit("")).alias("text")))
     checks.require_empty(checks.unsafe_paths(own.select("path"), "path"), "a path below the root")
     checks.require_empty(checks.duplicate_keys(own.select("path"), ["path"]), "a path once")
 
@@ -47,7 +48,9 @@ def write_documents(rows: DataFrame, root: str) -> DataFrame:
             cols = list(zip(*out, strict=True)) or [()] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.int64(), pa.string()), strict=True)], ["path", "sha256", "size", "text_sha256"])
 
-    return materialize(own.mapInArrow(write, WRITTEN))
+    done = materialize(own.mapInArrow(write, WRITTEN))
+    release(own)
+    return done
 
 
 def sorted_keys(value: Column, kind: T.DataType) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tarnlake.core import checks
+from tarnlake.core.shared import materialize
 from tarnlake.functions.text import game_identity
 from tarnlake.operators.episodes import sessions, with_previous
 from tarnlake.sources import io
@@ -78,7 +79,7 @@ def csv_episodes(spark: SparkSession, root: str, cohorts: tuple[str, ...], kind:
     an index twice in a file, raise."""
     schema = T.StructType().add("episode_index", "integer").add("resolved_level", "integer").add("episode_len", "double").add("win", "integer")
     raw = spark.read.schema(schema).option("header", True).option("mode", "FAILFAST").option("enforceSchema", False).csv(f"{root.rstrip('/')}/*/*episodes.csv")
-    raw = raw.select("*", F.col("_metadata.file_path").alias("path")).withColumn("game_raw", F.element_at(F.split("path", "/"), -2))
+    raw = materialize(raw.select("*", F.col("_metadata.file_path").alias("path")).withColumn("game_raw", F.element_at(F.split("path", "/"), -2)))  # many small files are opened once
     game, cohort = game_identity(F.col("game_raw"), cohorts)
     files = raw.select(game.alias("game"), cohort.alias("cohort"), "path").distinct()
     checks.require_empty(checks.duplicate_keys(files, ["game", "cohort"]), "a game once")
@@ -96,6 +97,7 @@ RUNS = T.StructType().add("run_id", "string").add("game_raw", "string").add("see
 def json_runs(spark: SparkSession, path: str, cohorts: tuple[str, ...], kind: str = "ddqn", model: str = "DDQN") -> DataFrame:
     """A JSON list of runs with their episodes in order. A (run_id, game_raw) that occurs twice raises."""
     runs = spark.read.schema(RUNS).option("multiLine", True).option("mode", "FAILFAST").json(path).select("*", F.element_at(F.split("_metadata.file_path", "/"), -1).alias("source"))
+    runs = materialize(runs)
     checks.require_empty(checks.duplicate_keys(runs, ["run_id", "game_raw"]), "a run once")
     e = runs.select("run_id", "game_raw", "seed", "source", F.posexplode("episodes").alias("index", "e"))
     e = e.select("run_id", "game_raw", "seed", "source", "index", "e.level", count_of(F.col("e.steps"), model).alias("steps"), outcome_of(F.col("e.win"), model).alias("outcome"))
@@ -156,7 +158,7 @@ def replay_rows(r: DataFrame, cohorts: tuple[str, ...], games: list[str]) -> Dat
     frames of one level and attempt whose time doesn't go back, as labels start anew when a run is
     continued; its steps are the action steps that refer to it, its frames the highest time."""
     game, cohort = game_identity(F.col("game"), cohorts)
-    r = r.withColumns({"g": game, "cohort": cohort}).where(F.col("g").isin(games))
+    r = materialize(r.withColumns({"g": game, "cohort": cohort}).where(F.col("g").isin(games)).select("file", "instance_id", "g", "cohort", "meta", "steps", "states"))
     key = ["file", "instance_id", "g", "cohort"]
     s = r.select(*key, F.posexplode("states").alias("pos", "s")).select(*key, "pos", "s.level", "s.attempt", "s.time")
     s = with_previous(s, key, ["pos"], ["level", "attempt", "time"])

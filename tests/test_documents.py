@@ -64,3 +64,15 @@ def test_a_source_that_changes_is_noticed(spark, tmp_path, change):
         (tmp_path / "b").unlink()
     with pytest.raises(IntegrityError, match="changed while"):
         D.require_unchanged(before, spark, str(tmp_path))
+
+
+def test_rows_are_computed_once_for_all_checks(spark, tmp_path):
+    met = spark.sparkContext.accumulator(0)
+
+    def see(batches):
+        for b in batches:
+            met.add(b.num_rows)
+            yield b
+
+    rows = spark.createDataFrame([(f"a/{i}.txt", "x") for i in range(20)], "path string, text string").mapInArrow(see, "path string, text string")
+    assert D.write_documents(rows, str(tmp_path)).count() == 20 and met.value == 20

@@ -118,3 +118,15 @@ def test_results_under_two_roots(spark, tmp_path):
     assert [tuple(r) for r in R.result_files(spark, [str(tmp_path / "a"), str(tmp_path / "b")], *args).collect()] == [(1, "m1", "3")]
     with pytest.raises(IntegrityError, match="equal copies"):
         R.result_files(spark, [str(tmp_path / "a"), str(tmp_path / "c")], *args)
+
+
+def test_small_files_are_opened_once(spark, tmp_path):
+    """What csv_episodes() and json_runs() return no longer reads the files."""
+    at = tmp_path / "csv" / "sky_c3"
+    at.mkdir(parents=True)
+    (at / "episodes.csv").write_text("episode_index,resolved_level,episode_len,win\n0,1,5,1\n1,1,7,0\n")
+    (tmp_path / "runs.json").write_text('[{"run_id": "r", "game_raw": "sky_c3", "seed": "1", "episodes": [{"level": 1, "steps": 3, "win": 1}]}]')
+    one, two = R.csv_episodes(spark, str(tmp_path / "csv"), ("c3",)), R.json_runs(spark, str(tmp_path / "runs.json"), ("c3",))
+    (at / "episodes.csv").unlink()
+    (tmp_path / "runs.json").unlink()
+    assert [list(r.episode_steps) for r in one.collect()] == [[5, 7]] and [list(r.episode_steps) for r in two.collect()] == [[3]]
