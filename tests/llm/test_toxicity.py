@@ -122,3 +122,19 @@ def test_one_step_of_training_follows_the_numeric_gradient(monkeypatch):
         down[i] -= 1e-4
         g = (loss(up, start.kernels) - loss(down, start.kernels)) / 2e-4
         assert np.isclose(after.out[i] - base[i], -s.rate * g / np.sqrt(1e-3 + g**2), rtol=0.02, atol=1e-7)
+
+
+def test_all_labelled_rows_are_learned(spark, docs_of):
+    """More rows of a class, and longer ones, than any sample had: words that only the last of them have decide."""
+    rng = random.Random(5)
+    rows = [(i, " ".join(f"word{rng.randrange(50)}" for _ in range(8)) + (" vilest" if i % 4 == 0 else "")) for i in range(3600)]
+    rows += [(10_000 + i, "calm " * 26_000 + "scoundrel") for i in range(8)]
+    lab = spark.createDataFrame([(i, 1, int("vilest" in t or "scoundrel" in t)) for i, t in rows], "doc_id long, quality int, toxic int")
+    s = X.Settings(buckets=1 << 12, epochs=3, shard_words=60_000)
+    model = X.fit(docs_of(rows), lab, s)
+    assert np.any(model.table[X.word_rows([b"scoundrel"], s.buckets)[0, 0]])
+    again = X.fit(docs_of(rows).repartition(5), lab, s)
+    assert np.array_equal(model.table, again.table) and model.bias == again.bias and model.thresholds == again.thresholds
+    got = {r.doc_id: r.score for r in X.score(docs_of(rows), model).collect()}
+    held = [(i, "vilest" in t) for i, t in rows[:3600] if X.zlib.crc32(str(i).encode()) % 5 == 0]
+    assert sum((got[i] >= 0.5) == bad for i, bad in held) / len(held) > 0.95
