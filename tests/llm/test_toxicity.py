@@ -1,8 +1,11 @@
 import random
 
 import numpy as np
+import pandas as pd
+import pytest
 
 from tarnlake.llm import toxicity as X
+from tarnlake.llm.words import words_of
 
 SMALL = X.Settings(buckets=1 << 12, max_docs_per_class=200, epochs=12)
 
@@ -138,3 +141,53 @@ def test_all_labelled_rows_are_learned(spark, docs_of):
     got = {r.doc_id: r.score for r in X.score(docs_of(rows), model).collect()}
     held = [(i, "vilest" in t) for i, t in rows[:3600] if X.zlib.crc32(str(i).encode()) % 5 == 0]
     assert sum((got[i] >= 0.5) == bad for i, bad in held) / len(held) > 0.95
+
+
+@pytest.mark.parametrize("broken", [b"", b"\xff\xfeab cd\x1ce"])
+def test_words_at_once_as_one_by_one(broken):
+    texts = [b"  A b\t\tC\x0b d ", None, b"", "\u00e9t\u00e9!! stra\u00dfe \U0001f600\U0001f600x".encode(), b"'x' -- " + b"y" * 100 + b" " + b"Y" * 32 + b" " + b"y" * 33, b" \x00z", b"b A", broken]
+    counts, which, distinct = X.numbered(texts)
+    words = [w for t in texts for w in words_of(t)]
+    assert counts.tolist() == [len(words_of(t)) for t in texts] and len(distinct) == len(set(words))
+    assert np.array_equal(X.word_rows_at_once(distinct, 1 << 18)[which], X.word_rows(words, 1 << 18))
+    nothing = X.numbered([None, b" "])
+    assert nothing[0].tolist() == [0, 0] and X.word_rows_at_once(nothing[2], 64).shape == (0, 3)
+
+
+def shards_of(n, s, seed=2):
+    rng = np.random.default_rng(seed)
+    rows = [rng.integers(0, s.buckets, (30, 3)).astype("<i4") for _ in range(n)]
+    return pd.DataFrame({"shard": np.sort(rng.integers(0, 3, n)), "toxic": rng.integers(0, 2, n), "rows": [r.tobytes() for r in rows]})
+
+
+def sent_model(s):
+    model = X.started(np.random.default_rng(s.seed), s)
+    return type("Sent", (), {"value": (model, X.Sums.before(model, np.zeros(s.buckets, bool)))})()
+
+
+def test_an_epoch_sends_a_row_per_block():
+    """Not a row of ten numbers per slot: that took several times the input's disk and the driver's memory."""
+    s = X.Settings(buckets=1 << 14)
+    sent = sent_model(s)
+    got = pd.concat(X.one_epoch(sent, 0, 0.5, s)(iter([shards_of(90, s)])))
+    assert got["part"].tolist() == [p for p in range(3) for _ in range(5)]  # four blocks of the table, one of all else
+    size = got[["slots", "n", "change"]].map(len).to_numpy().sum()
+    assert size <= 42 * (got["slots"].map(len).sum() // 2)
+    once = [X.added_up(g, s.dim + 1) for _, g in got.groupby("block")]
+    assert all(len(x) == 1 for x in once)
+    n = np.concatenate([np.frombuffer(x["n"][0], "<i4") for x in once])
+    assert set(n.tolist()) <= {1, 2, 3} and set(n[-80:].tolist()) == {3}
+    whole = sum(np.frombuffer(c, "<f4").astype(float).sum() for c in got["change"])
+    assert np.isclose(whole, sum(np.frombuffer(x["change"][0], "<f4").astype(float).sum() for x in once), atol=1e-2)
+    shuffled = got.sample(frac=1, random_state=1)
+    assert all(X.added_up(g, s.dim + 1)["change"][0] == x["change"][0] for (_, g), x in zip(shuffled.groupby("block"), once, strict=True))
+
+
+def test_a_long_shard_is_learned_in_runs(monkeypatch):
+    """All of its rows, in their order, and never more than a run at a time, however they arrive."""
+    s = X.Settings(buckets=1 << 12, shard_words=200)
+    rows, seen = shards_of(60, s), []
+    rows["shard"] = 0
+    monkeypatch.setattr(X, "learn", lambda m, own, texts, y, w, order, s: seen.append([t.tobytes() for t in texts]))
+    list(X.one_epoch(sent_model(s), 0, 0.5, s)(iter([rows[:7], rows[7:20], rows[20:]])))
+    assert [t for r in seen for t in r] == rows["rows"].tolist() and max(map(len, seen)) == 10
