@@ -26,6 +26,8 @@ LAGS = (2, 3, 4, 5)
 EXACT = 2048
 #: Elements of a vector summed by one task.
 TOGETHER = 8
+#: Rows of a batch that become numbers together.
+ROWS = 1000
 
 
 def summed(parts: DataFrame, key: list[str]) -> DataFrame:
@@ -45,7 +47,14 @@ def summed(parts: DataFrame, key: list[str]) -> DataFrame:
 
 
 def matrix(v: pd.Series) -> np.ndarray:
-    return np.stack(v.to_numpy()).astype(np.float64)
+    return np.stack(v.to_numpy()).astype(np.float64, copy=False)
+
+
+def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The batches' rows, at most ROWS at a time, so that several copies of them are small."""
+    for b in batches:
+        for lo in range(0, len(b), ROWS):
+            yield b.iloc[lo : lo + ROWS]
 
 
 def statistics(rows: DataFrame, bands: list[str], partition: str) -> dict:
@@ -54,7 +63,7 @@ def statistics(rows: DataFrame, bands: list[str], partition: str) -> dict:
 
     def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         got: dict = {}
-        for b in batches:
+        for b in pieces(batches):
             for part, g in b.groupby(partition):
                 x = np.column_stack([matrix(g[c]) for c in bands])
                 n, mean, m2 = len(x), x.mean(0), ((x - x.mean(0)) ** 2).sum(0)
@@ -117,10 +126,9 @@ def _collected(parts: DataFrame) -> np.ndarray:
 def _folded(vector: str, of: Callable[[np.ndarray], np.ndarray]) -> Callable:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = None
-        for b in batches:
-            if len(b):
-                got = of(matrix(b[vector]))
-                total = got if total is None else total + got
+        for b in pieces(batches):
+            got = of(matrix(b[vector]))
+            total = got if total is None else total + got
         if total is not None:
             yield pd.DataFrame({"i": np.arange(len(total)), "c": list(total)})
 
@@ -190,9 +198,7 @@ def design_rows(rows: DataFrame, bands: list[str], play: list[str], row: str, pa
             scalings[fold].append(scaling)
 
     def by_fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for g in batches:
-            if not len(g):
-                continue
+        for g in pieces(batches):
             valid = g["valid"].to_numpy()[:, None]
             for fold, scale in scalings.items():
                 out = g[[row, *play, partition, "valid"]].copy()
@@ -212,9 +218,8 @@ def design_rows(rows: DataFrame, bands: list[str], play: list[str], row: str, pa
 
 def _scaled(band: str, scaling: Scaling) -> Callable:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            if len(b):
-                yield pd.DataFrame({band: list(np.clip(scaling(matrix(b[band])), -10, 10))})
+        for b in pieces(batches):
+            yield pd.DataFrame({band: list(np.clip(scaling(matrix(b[band])), -10, 10))})
 
     return run
 
@@ -390,7 +395,7 @@ def _added(key: list[str], other: str | None) -> Callable:
                 frame[name] = v
             return frame[[*key, "i", "c"]]
 
-        for b in batches:
+        for b in pieces(batches):
             for k, g in b.groupby(key, sort=False):
                 x = np.column_stack([matrix(g["x"]), np.ones(len(g))])
                 if other is None:

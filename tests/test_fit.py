@@ -156,3 +156,20 @@ def test_what_cannot_be_fitted_raises(spark):
         X.banded_fit(design, ["a", "b"], "row", "part", targets.where("not (row = 20 and target = 5)"), SEARCH)
     with pytest.raises(ValueError, match="features"):
         X.banded_fit(design, ["a", "b"], "row", "part", targets, SEARCH, most=10)
+
+
+@pytest.mark.parametrize("other", [None, "y"])
+def test_a_large_batch_is_taken_in_pieces(monkeypatch, other):
+    """A batch of Arrow's 10,000 rows of wide arrays isn't copied whole."""
+    rng = np.random.default_rng(4)
+    x, y = rng.normal(size=(10_000, 6)), rng.normal(size=(10_000, 2))
+    frame = X.pd.DataFrame({"fold": 0, "part": np.arange(10_000) // 5_000, "x": list(x), "y": list(y)})
+    sizes, of = [], X.matrix
+    monkeypatch.setattr(X, "matrix", lambda v: sizes.append(len(v)) or of(v))
+    got = X.pd.concat(X._added(["fold", "part"], other)(iter([frame[:0], frame])))
+    assert max(sizes) <= 1000 and sum(sizes) == 10_000 * (1 if other is None else 2)
+    for part, g in got.groupby("part"):
+        own = slice(5_000 * part, 5_000 * (part + 1))
+        a = np.column_stack([x[own], np.ones(5_000)])
+        want = a.T @ a if other is None else np.vstack([a.T @ y[own], (y[own] ** 2).sum(0)])
+        assert np.allclose(np.stack(g.sort_values("i")["c"].to_numpy()), want)
