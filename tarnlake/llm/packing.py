@@ -11,8 +11,10 @@ last. Every piece then finds its place by arithmetic from its rank among the pie
 
 from __future__ import annotations
 
+import threading
 import zlib
 from collections.abc import Iterator
+from contextlib import contextmanager
 from itertools import filterfalse, islice
 
 import numpy as np
@@ -29,6 +31,8 @@ CAPACITY = 2048
 END_ID = 0
 #: Entries a worker's table of known words may hold (about 0.2 kB each); the rest is encoded again.
 WORD_CACHE = 1_100_000
+#: Seconds that a worker keeps its table of words when no task asks for it.
+IDLE = 10.0
 #: Bytes of texts encoded together.
 TOGETHER = 1_000_000
 
@@ -135,13 +139,37 @@ class WordEncoder:
 
 
 _coders: dict[str, WordEncoder] = {}
-
-
-def _coder(path: str) -> WordEncoder:
-    """The worker's encoder; workers outlive tasks, and with them the table of words."""
-    if path not in _coders:
-        _coders[path] = WordEncoder(path)
-    return _coders[path]
+_lock = threading.Lock()
+_uses = 0
+
+
+def _let_go(use: int) -> None:
+    with _lock:
+        if use == _uses:
+            _coders.clear()
+            pa.default_memory_pool().release_unused()
+
+
+@contextmanager
+def _coder(path: str) -> Iterator[WordEncoder]:
+    """The worker's encoder. Workers outlive tasks, and with them the table of words, so that the next task
+    of the stage has it; but they outlive the stage as well, so that what no task takes up within IDLE
+    seconds goes."""
+    global _uses
+    with _lock:
+        _uses += 1
+        if path not in _coders:
+            _coders[path] = WordEncoder(path)
+        coder = _coders[path]
+    try:
+        yield coder
+    finally:
+        del coder
+        with _lock:
+            _uses += 1
+            timer = threading.Timer(IDLE, _let_go, [_uses])
+        timer.daemon = True
+        timer.start()
 
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -151,29 +179,29 @@ def _cut(path: str, capacity: int, end_id: int, with_ids: bool):
     """Arrow batches of (doc_id, text as UTF-8 bytes) to pieces."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = _coder(path)
-        end = np.asarray([end_id], "<u4").tobytes()
-        width = 4 * capacity
-        for batch in batches:
-            sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_pylist()
-            for lo, hi in ranges(sizes, TOGETHER):  # the rest of a batch stays in Arrow's memory
-                ids, texts = (batch.column(c).slice(lo, hi - lo).to_pylist() for c in (0, 1))
-                cols: list[list] = [[], [], [], [], []]
-                raw = []
-                for doc, body in zip(ids, coder.batch([t or b"" for t in texts]), strict=True):
-                    body += end
-                    for k, at in enumerate(range(0, len(body), width)):
-                        part = body[at : at + width]
-                        for c, v in zip(cols, (doc, k, at // 4, len(part) // 4, zlib.crc32(part)), strict=True):
-                            c.append(v)
-                        if with_ids:
-                            raw.append(np.frombuffer(part, "<u4").astype("i4"))
-                out = [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)]
-                names = ["doc_id", "piece", "start", "length", "ids_crc32"]
-                if with_ids:
-                    out.append(pa.array(raw, pa.list_(pa.int32())))
-                    names.append("ids")
-                yield pa.RecordBatch.from_arrays(out, names)
+        with _coder(path) as coder:
+            end = np.asarray([end_id], "<u4").tobytes()
+            width = 4 * capacity
+            for batch in batches:
+                sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_pylist()
+                for lo, hi in ranges(sizes, TOGETHER):  # the rest of a batch stays in Arrow's memory
+                    ids, texts = (batch.column(c).slice(lo, hi - lo).to_pylist() for c in (0, 1))
+                    cols: list[list] = [[], [], [], [], []]
+                    raw = []
+                    for doc, body in zip(ids, coder.batch([t or b"" for t in texts]), strict=True):
+                        body += end
+                        for k, at in enumerate(range(0, len(body), width)):
+                            part = body[at : at + width]
+                            for c, v in zip(cols, (doc, k, at // 4, len(part) // 4, zlib.crc32(part)), strict=True):
+                                c.append(v)
+                            if with_ids:
+                                raw.append(np.frombuffer(part, "<u4").astype("i4"))
+                    out = [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)]
+                    names = ["doc_id", "piece", "start", "length", "ids_crc32"]
+                    if with_ids:
+                        out.append(pa.array(raw, pa.list_(pa.int32())))
+                        names.append("ids")
+                    yield pa.RecordBatch.from_arrays(out, names)
 
     return run
 

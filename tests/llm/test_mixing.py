@@ -67,3 +67,11 @@ def test_a_small_source_in_a_large_mix_meets_its_target(docs_of):
     for _, g in got.groupby("source"):
         assert abs(g.taken.sum() - g.target.iloc[0]) <= 1
     assert got[got.source == "s0"].taken.sum() == 3000 and (got.taken <= 3 * got["size"]).all()
+
+
+def test_words_are_counted_without_lists_of_them(docs_of):
+    texts = [None, "", " ", "\t\n\x0b\x0c\r ", "a", " a", "a ", "\ta\r\nb  c\x0b", "\x00 x\xa0y  z 𝒳 𝒳𝒴", "x" * 70_000, "$1 \\ x", "\x1c\x85 a\x1fb"]
+    docs = docs_of(list(enumerate(texts)))
+    got = {r.doc_id: r.n for r in docs.select("doc_id", M.n_words("text").alias("n")).collect()}
+    assert got == {i: None if t is None else len(M.RE_WORD.findall(t)) for i, t in enumerate(texts)}
+    assert "regexp_extract_all" not in M.mixed_documents(docs)._jdf.queryExecution().optimizedPlan().toString()

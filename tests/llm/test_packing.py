@@ -1,7 +1,10 @@
 import random
+import time
+import weakref
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tarnlake.llm import packing as P
@@ -84,3 +87,20 @@ def test_pack_matches_the_tokenizer(odd):
 
 def test_pack_empty(none):
     assert P.pack(none).count() == 0
+
+
+def test_an_idle_worker_lets_go_of_its_table(monkeypatch):
+    monkeypatch.setattr(P, "IDLE", 0.5)
+    path = P.default_tokenizer()
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([b"some words"])], ["doc_id", "text"])
+    task = P._cut(path, 16, 0, False)
+    first = next(task(iter([batch])))
+    assert list(task(iter([batch]))) == [first]
+    kept = weakref.ref(P._coders[path])
+    list(task(iter([batch])))
+    assert P._coders[path] is kept()  # the next task has it
+    until = time.monotonic() + 20
+    while P._coders and time.monotonic() < until:
+        time.sleep(0.05)
+    assert not P._coders
+    assert list(task(iter([batch]))) == [first]
