@@ -24,13 +24,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnlake.core.session import table
 from tarnlake.core.shared import materialize
 from tarnlake.llm.components import components
-from tarnlake.llm.words import WordTable, free_name, words_of
+from tarnlake.llm.words import WordTable, free_name, ranges, words_of
 
 
 @dataclass(frozen=True)
@@ -54,6 +55,8 @@ class Settings:
 
 #: Bounds of a block of sets: documents, and bytes of their sets (one document may have more).
 BLOCK_DOCS, BLOCK_BYTES = 256, 2_000_000
+#: Bytes of texts of a batch that become Python's at a time.
+TOGETHER = 2_000_000
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -98,6 +101,14 @@ def signature(sh: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
+def _slices(batches: Iterator[pa.RecordBatch], *texts: int) -> Iterator[pa.RecordBatch]:
+    """The batches in slices with about TOGETHER bytes in the columns named."""
+    for batch in batches:
+        sizes = sum(pc.fill_null(pc.binary_length(batch.column(c)), 0).to_numpy().astype(np.int64) for c in texts)
+        for lo, hi in ranges(sizes.tolist(), TOGETHER):
+            yield batch.slice(lo, hi - lo)
+
+
 def describe(s: Settings):
     """Arrow batches of (doc_id, text as bytes) to what banding needs of a document."""
 
@@ -105,7 +116,7 @@ def describe(s: Settings):
         words = WordTable(word_hashes)
         a, b = _permutations(s)
         salt = np.arange(s.bands, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        for batch in batches:
+        for batch in _slices(batches, 1):
             n, low, high, sig, bands = [], [], [], [], []
             for text in batch.column(1).to_pylist():
                 sh = shingles(words.of(words_of(text)), s.width)
@@ -193,7 +204,7 @@ def _confirm(s: Settings):
             last.move_to_end(key)
             return last[key]
 
-        for batch in batches:
+        for batch in _slices(batches, 2, 3):
             keep = []
             for a, b, ta, tb in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 x, y = of(a, ta), of(b, tb)
@@ -209,7 +220,7 @@ def _sets(s: Settings):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordTable(word_hashes)
-        for b in batches:
+        for b in _slices(batches, 1):
             got = [shingles(words.of(words_of(t)), s.width).tobytes() for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got, pa.binary())], ["doc_id", "shingles"])
 
@@ -248,10 +259,10 @@ def _blocks(s: Settings):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b = [], []
-            for left, right in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                x, y = ([np.frombuffer(m["shingles"], np.uint64) for m in side] for side in (left, right))
-                ids = [np.asarray([m["doc_id"] for m in side]) for side in (left, right)]
-                parts = [np.asarray([m["component"] for m in side]) for side in (left, right)]
+            for k in range(batch.num_rows):
+                sides = [batch.column(c)[k].values for c in (0, 1)]  # two blocks at a time become numbers
+                x, y = ([np.frombuffer(m, np.uint64) for m in side.field("shingles").to_pylist()] for side in sides)
+                ids, parts = ([side.field(f).to_numpy() for side in sides] for f in ("doc_id", "component"))
                 both = shared_counts(x, y)
                 sizes = np.asarray([len(v) for v in x])[:, None] + np.asarray([len(v) for v in y])[None, :]
                 link = (100 * both >= s.percent * (sizes - both)) & (parts[0][:, None] != parts[1][None, :])
@@ -271,9 +282,10 @@ def _alike(s: Settings):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at, a, b = [], [], []
-            for group, left, right in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                ids, parts, sizes = ([np.asarray([m[f] for m in side]) for side in (left, right)] for f in ("doc_id", "component", "n"))
-                x, y = (np.frombuffer(b"".join(m["sig"] for m in side), np.uint8).reshape(len(side), s.checks) for side in (left, right))
+            for row in range(batch.num_rows):
+                group, sides = batch.column(0)[row].as_py(), [batch.column(c)[row].values for c in (1, 2)]  # two blocks at a time become numbers
+                ids, parts, sizes = ([side.field(f).to_numpy() for side in sides] for f in ("doc_id", "component", "n"))
+                x, y = (np.frombuffer(b"".join(side.field("sig").to_pylist()), np.uint8).reshape(len(side), s.checks) for side in sides)
                 alive = parts[0][:, None] != parts[1][None, :]
                 alive &= 100 * np.minimum(sizes[0][:, None], sizes[1][None, :]) >= s.percent * np.maximum(sizes[0][:, None], sizes[1][None, :])
                 equal = np.zeros(alive.shape, np.uint8)

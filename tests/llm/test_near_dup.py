@@ -1,6 +1,8 @@
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 
 from tarnlake.llm import near_dup as D
 from tarnlake.llm.components import components
@@ -109,3 +111,30 @@ def test_components_of_a_path_and_a_star(spark):
     got = {r.id: r.component for r in components(spark.createDataFrame(path + star + [(5, 5)], "a long, b long")).collect()}
     assert all(got[i] == 0 for i in range(41)) and all(got[1000 + i] == 1000 for i in range(200))
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_blocks_become_numbers_two_at_a_time():
+    s, rng = D.Settings(few=0), np.random.default_rng(3)
+    sigs = rng.integers(0, 256, (10, s.checks), np.uint8)
+    sets = [np.arange(k, k + 40, dtype=np.uint64) for k in range(10)]
+    kind = pa.struct([("doc_id", pa.int64()), ("component", pa.int64()), ("n", pa.int64()), ("sig", pa.binary()), ("shingles", pa.binary())])
+    left, right = ([{"doc_id": i, "component": i, "n": 40, "sig": sigs[i % 10].tobytes(), "shingles": sets[i % 10].tobytes()} for i in range(a, a + 60)] for a in (0, 100))
+
+    def batch(rows):
+        return pa.RecordBatch.from_arrays([pa.array(range(rows)), *(pa.array([x] * rows, pa.list_(kind)) for x in (left, right))], ["at", "left", "right"])
+
+    def peak(b):
+        tracemalloc.start()
+        got = list(D._alike(s)(iter([b])))
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert [x for g in got for x in g.column(0).to_pylist()] == b.column(0).to_pylist()
+        return most
+
+    few, many = batch(10), batch(300)
+    peak(few)
+    assert peak(many) < 3 * peak(few)
+
+    links = {p for b in D._blocks(s)(iter([many.slice(2, 3).select(["left", "right"])])) for p in zip(*(c.to_pylist() for c in b.columns), strict=True)}
+    want = {(i, j) for i in range(60) for j in range(100, 160) if 100 * len(np.intersect1d(sets[i % 10], sets[j % 10])) >= 75 * len(np.union1d(sets[i % 10], sets[j % 10]))}
+    assert links == want and len(want) > 100
